@@ -24,6 +24,13 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("digest")
 
 
+def op4_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmesh.llm.secrets import scan
+
+    found = scan(table(spark, sf_dir, "documents"), shared_dir(spark), path="doc_id")
+    return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "blob")
+
+
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmesh.llm.repetition import repetition_stats
 
@@ -36,5 +43,17 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_bitplane_ids, op2_decontaminate, op5_repetition, op6_simhash)}
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmesh.llm.pseudonyms import pseudonyms
+
+    return pseudonyms(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmesh.llm.suffixes import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_bitplane_ids, op2_decontaminate, op4_blob_ledger, op5_repetition, op6_simhash, op7_pseudonyms, op10_suffix_arrays)}
 ORACLE_SQL: dict[str, str] = {}
