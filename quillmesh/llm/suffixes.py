@@ -140,6 +140,8 @@ def common_prefixes(data: np.ndarray, room: np.ndarray, order: np.ndarray) -> np
 
 def repeated_starts(texts: list[bytes], size: int, at_once: int = PIECE_BYTES) -> list[np.ndarray]:
     """For each text, whether each of its windows of `size` bytes starts twice or more in all of them."""
+    if not texts:
+        return []
     pieces, held = [[]], 0
     for i, t in enumerate(texts):
         if held and held + len(t) > at_once:
