@@ -24,6 +24,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("digest")
 
 
+def op3_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmesh.llm.fm_index import word_dedup
+
+    return word_dedup(table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
 def op4_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmesh.llm.secrets import scan
 
@@ -49,11 +55,17 @@ def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms(table(spark, sf_dir, "documents"))
 
 
+def op8_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmesh.llm.ctw import scores
+
+    return scores(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmesh.llm.suffixes import substring_dedup
 
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_bitplane_ids, op2_decontaminate, op4_blob_ledger, op5_repetition, op6_simhash, op7_pseudonyms, op10_suffix_arrays)}
+QUERIES = {f.__name__: f for f in (op1_bitplane_ids, op2_decontaminate, op3_fm_dedup, op4_blob_ledger, op5_repetition, op6_simhash, op7_pseudonyms, op8_ctw_scores, op10_suffix_arrays)}
 ORACLE_SQL: dict[str, str] = {}
