@@ -61,11 +61,17 @@ def op8_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(table(spark, sf_dir, "documents"))
 
 
+def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmesh.llm.mixing import draws
+
+    return draws(table(spark, sf_dir, "documents"), max_repeats=2.0)
+
+
 def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmesh.llm.suffixes import substring_dedup
 
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_bitplane_ids, op2_decontaminate, op3_fm_dedup, op4_blob_ledger, op5_repetition, op6_simhash, op7_pseudonyms, op8_ctw_scores, op10_suffix_arrays)}
+QUERIES = {f.__name__: f for f in (op1_bitplane_ids, op2_decontaminate, op3_fm_dedup, op4_blob_ledger, op5_repetition, op6_simhash, op7_pseudonyms, op8_ctw_scores, op9_temperature_mix, op10_suffix_arrays)}
 ORACLE_SQL: dict[str, str] = {}

@@ -8,6 +8,12 @@ fingerprints); differing bits of 64 pairs at once go through carry-save counters
 of lanes is abandoned once every lane exceeds the radius. Groups give a spanning forest of
 their links, not all pairs, and components come from min-label contraction of those edges.
 
+Where a similarity is asked for, 64 bits tell it too coarsely: `similar_groups` uses 512 bits
+(the same hashes, mixed anew for each 64), a table for each band of 16 bits, and the radius that
+a Jaccard similarity of the shingle sets of 0.8 stays within in 93 of 100 cases (one of 0.85 in
+all but one of a thousand). A pair at exactly 0.8 shares a band in 91 of 100 cases, at 0.85 in
+99, at 0.9 in all but one of ten thousand.
+
 A text without words has the fingerprint zero. Null texts count as empty, rows with a null
 doc_id get a fingerprint and the component of their fingerprint's rows (null if it has no
 other). Repeated rows give repeated results. Extra columns are not looked at.
@@ -16,6 +22,7 @@ other). Repeated rows give repeated results. Extra columns are not looked at.
 from __future__ import annotations
 
 from itertools import combinations
+from math import acos, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -24,12 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import column, shared_dir, slices, utf8, written
+from quillmesh.llm.common import column, mix64, shared_dir, slices, utf8, written
 
 BANDS = 6
 RADIUS = 4
 #: Fingerprints of one key that one task compares; larger groups are cut and compared part by part.
 PART = 8192
+#: Groups up to this size are compared many at once, larger ones each by its own planes.
+SMALL = 24
+#: 64-bit words of a fingerprint that has to tell a similarity.
+WIDE = 8
 #: Rows of the band tables that one task sorts.
 BUCKET_ROWS = 200_000
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -73,15 +84,15 @@ def fingerprints(docs: DataFrame, k: int = 4, doc_id: str = "doc_id", text: str
 
 
 def planes(values: np.ndarray) -> np.ndarray:
-    """Vertical form: row b holds bit b of all values, 64 values a word."""
-    n = -(-len(values) // 64) * 64
-    padded = np.zeros(n, np.uint64)
-    padded[: len(values)] = values
-    bits = np.unpackbits(padded.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    """Vertical form of rows of 64-bit words: plane b holds bit b of all rows, 64 rows a word."""
+    n, width = values.shape
+    padded = np.zeros((-(-n // 64) * 64, width), np.uint64)
+    padded[:n] = values
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
-def beyond(diff_of, shape: tuple, radius: int = RADIUS, bits: int = 64) -> np.ndarray:
+def beyond(diff_of, shape: tuple, radius: int, bits: int) -> np.ndarray:
     """Sliced over lanes: a lane's bit is 1 if its pair differs in more than `radius` bits.
 
     diff_of(b) gives plane b of the differences. A counter of bit planes starts at such a value
@@ -133,9 +144,16 @@ def link_small(fps: np.ndarray, group: np.ndarray, radius: int, forest: Forest,
             return
         for at in range(0, len(idx), 1 << 16):
             part = idx[at : at + (1 << 16)]
-            diff = planes(fps[part] ^ fps[part + s])
-            near = np.unpackbits((~beyond(diff.__getitem__, diff.shape[1:], radius)).view(np.uint8), bitorder="little")[: len(part)]
-            for i in part[near > 0].tolist():
+            # Wide fingerprints go on after 128 bits only where those leave a chance.
+            for lo in range(0, fps.shape[1], 2) if fps.shape[1] > 2 else (0,):
+                hi = lo + 2 if fps.shape[1] > 2 else fps.shape[1]
+                cut = slice(0, hi)
+                diff = planes(fps[part, cut] ^ fps[part + s, cut])
+                near = np.unpackbits((~beyond(diff.__getitem__, diff.shape[1:], radius, len(diff))).view(np.uint8), bitorder="little")[: len(part)]
+                part = part[near > 0]
+                if not len(part):
+                    break
+            for i in part.tolist():
                 forest.join(int(rows[i]), [rows[i + s]])
         s += 1
 
@@ -147,8 +165,8 @@ def link_block(left: np.ndarray, right: np.ndarray, radius: int, forest: Forest,
     step = max(1, (1 << 17) // max(1, sliced.shape[1]))
     for at in range(0, len(left), step):
         some = left[at : at + step]
-        masks = [np.where(some >> np.uint64(b) & np.uint64(1), full, np.uint64(0))[:, None] for b in range(64)]
-        near = ~beyond(lambda b: sliced[b][None, :] ^ masks[b], (len(some), sliced.shape[1]), radius)  # noqa: B023
+        mask = lambda b: np.where(some[:, b // 64] >> np.uint64(b % 64) & np.uint64(1), full, np.uint64(0))[:, None]  # noqa: B023, E731
+        near = ~beyond(lambda b: sliced[b][None, :] ^ mask(b), (len(some), sliced.shape[1]), radius, len(sliced))  # noqa: B023
         for q in np.flatnonzero(near.any(axis=1)).tolist():
             hits = np.flatnonzero(np.unpackbits(near[q].view(np.uint8), bitorder="little")[: len(right)])
             if len(hits):
@@ -162,33 +180,30 @@ def band_keys(fp, table: int, pair: tuple[int, int]):
     return F.lit(table << 44).cast("long") + F.shiftleft(cut(pair[0]), 16) + cut(pair[1])
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fps: distinct fp. Edges (a, b) whose components are those of all pairs within the radius."""
-    if not 0 <= radius <= BANDS - 2:
-        raise ValueError(f"the band tables find all pairs up to {BANDS - 2} differing bits")
-    pairs = list(combinations(range(BANDS), 2))
-    keyed = fps.select("fp", F.explode(F.array(*(band_keys(F.col("fp"), i, p) for i, p in enumerate(pairs)))).alias("key"))
+def links(keyed: DataFrame, radius: int, n_rows: int) -> DataFrame:
+    """keyed: (node, fp as an array of longs, key). Edges (a, b) of nodes; their components are those
+    of all pairs that share a key and lie within the radius. n_rows: of keyed, for sizing."""
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = keyed.join(sizes, "key")
     # A group of more than PART fingerprints is cut by hash; each part meets itself and all others.
     n_parts = F.ceil(F.col("size") / PART).cast("int")
-    own = F.pmod(F.xxhash64("fp"), n_parts).cast("int")
-    rows = rows.select("fp", "key", own.alias("own"), n_parts.alias("n_parts"))
-    rows = rows.select("fp", "key", "own", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("other"))
-    rows = rows.select("fp", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    buckets = max(1, fps.count() * len(pairs) // BUCKET_ROWS)
+    own = F.pmod(F.xxhash64("node"), n_parts).cast("int")
+    rows = rows.select("node", "fp", "key", own.alias("own"), n_parts.alias("n_parts"))
+    rows = rows.select("node", "fp", "key", "own", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("other"))
+    rows = rows.select("node", "fp", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    buckets = max(1, n_rows // BUCKET_ROWS)
     rows = rows.withColumn("bucket", F.when(F.col("lo") + F.col("hi") > 0, F.xxhash64("key", "lo", "hi")).otherwise(F.pmod(F.xxhash64("key"), F.lit(buckets))))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "lo", "hi"], kind="stable")
-        fp = pdf["fp"].to_numpy().astype(np.int64).view(np.uint64)
-        every, at = np.unique(fp, return_inverse=True)
+        every, at = np.unique(pdf["node"].to_numpy(), return_inverse=True)
+        fp = np.stack(pdf["fp"].to_list()).astype(np.int64).view(np.uint64)
         key = pdf[["key", "lo", "hi"]].to_numpy()
         own, lo, hi = (pdf[c].to_numpy() for c in ("own", "lo", "hi"))
         change = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
         ends = np.r_[change[1:], len(pdf)]
         group = np.repeat(np.arange(len(change)), ends - change)
-        small = np.repeat(ends - change <= 24, ends - change) & (lo == hi)
+        small = np.repeat(ends - change <= SMALL, ends - change) & (lo == hi)
         forest = Forest(len(every))
         link_small(fp[small], group[small], radius, forest, at[small])
         for a, b in zip(change.tolist(), ends.tolist(), strict=True):
@@ -198,11 +213,20 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                 link_block(fp[a:b][left], fp[a:b][right], radius, forest, at[a:b][left], at[a:b][right])
         root = np.array([forest.root(i) for i in range(len(every))], np.int64)
         other = root != np.arange(len(every))
-        return pd.DataFrame({"a": every[other].view(np.int64), "b": every[root[other]].view(np.int64)})
+        return pd.DataFrame({"a": every[other], "b": every[root[other]]})
 
     return rows.groupBy("bucket").applyInPandas(compare, "a long, b long")
 
 
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fps: distinct fp. Edges (a, b) whose components are those of all pairs within the radius."""
+    if not 0 <= radius <= BANDS - 2:
+        raise ValueError(f"the band tables find all pairs up to {BANDS - 2} differing bits")
+    pairs = list(combinations(range(BANDS), 2))
+    keyed = fps.select(F.col("fp").alias("node"), F.array("fp").alias("fp"), F.explode(F.array(*(band_keys(F.col("fp"), i, p) for i, p in enumerate(pairs)))).alias("key"))
+    return links(keyed, radius, fps.count() * len(pairs))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (the smallest node of its component by value) of every node of an edge.
 
@@ -238,3 +262,41 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = RADIUS, doc_id: s
     smallest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     of_fp = classes.join(smallest, "root").select("fp", "component_id")
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    return [fingerprint(hashes if not w else mix64(hashes + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1))) for w in range(WIDE)]
+
+
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, node, component_id of every row: groups of documents whose k-word shingle sets are as similar as that."""
+    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+    def run(batches):
+        for batch in slices(batches):
+            rows = np.array([wide_fingerprint(shingle_hashes(x, k)) for x in utf8(column(batch, "text"))], np.uint64)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(list(rows.view(np.int64)), pa.list_(pa.int64()))], names=["doc_id", "fp"])
+
+    fps = written(picked.mapInArrow(run, "doc_id long, fp array<long>").withColumn("node", F.xxhash64("fp")))
+    distinct = written(fps.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("low")))
+    bands = F.flatten(F.transform("fp", lambda x, i: F.array(*(F.shiftleft((i * 4 + j).cast("long"), 16) + F.shiftrightunsigned(x, 16 * j).bitwiseAND(F.lit(65535)) for j in range(4)))))
+    differ = acos(2 * similarity / (1 + similarity)) / pi
+    radius = int(64 * WIDE * differ + 1.5 * sqrt(64 * WIDE * differ * (1 - differ)))
+    keyed = distinct.select("node", "fp", F.explode(bands).alias("key"))
+    roots = components(links(keyed, radius, distinct.count() * 4 * WIDE)).select("node", "root")
+    classes = distinct.select("node", "low").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low")
+    smallest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
+    return fps.select("doc_id", "node").join(classes.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group, that of the smallest doc_id, with all its columns.
+
+    Of several rows with that doc_id one stays, an arbitrary one of equal texts. Rows with a null
+    doc_id have nothing to be known by and stay.
+    """
+    found = similar_groups(docs, k, similarity, doc_id, text).where("doc_id IS NOT NULL")
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    ids = docs[doc_id].cast("long")
+    stay = docs.join(kept, ids == kept["__kept"], "left_semi")
+    return stay.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
