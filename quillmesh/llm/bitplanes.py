@@ -21,6 +21,8 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from collections import defaultdict
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,13 @@ from quillmesh.llm.common import column, n_groups, slices, utf8
 MAGIC = b"QMPLANE1"
 SHARD_IDS = 1 << 20
 BLOCK_IDS = 1 << 16
-#: Words whose ids a worker remembers; the memory is emptied when it is full.
+#: Words whose ids a worker remembers; when it is full, those that were used least are forgotten.
 REMEMBERED = 400_000
+_SPACE, _LETTER, _LATIN, _STOP = (np.zeros(256, bool) for _ in range(4))
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LETTER[97:123] = True
+_LATIN[[*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]] = True  # after 0xC3: letters, but not the signs of times and division
+_STOP[list(b".,")] = True
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -96,51 +103,83 @@ def read_ids(shard: bytes, index: dict) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint32), *(read_block(shard, e, index["kind"]) for e in index["blocks"])]).astype("<u4")
 
 
+def pieces(texts: list[bytes]) -> list[list[bytes]]:
+    """Words in lower case, a stop or comma at a word's end apart from the letter before it: the tokenizer takes each alone.
+
+    Texts with the look of a special token keep their case, which tells one from ordinary text.
+    """
+    low = [t if b"<|" in t else t.lower() for t in texts]
+    data = np.frombuffer(b"\n\n" + b"\n".join(low) + b"\n", np.uint8)
+    here, before = data[2:-1], data[1:-2]
+    at = np.flatnonzero(_STOP[here] & _SPACE[data[3:]])
+    at = at[_LETTER[before[at]] | (_LATIN[before[at]] & (data[at] == 0xC3))]
+    spaced = np.insert(here, at, 0x20).tobytes()
+    ends = np.cumsum(np.fromiter(map(len, low), np.int64, len(low)) + 1) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    starts, ends = starts + np.searchsorted(at, starts), ends + np.searchsorted(at, ends)
+    return [spaced[a:b].split() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
 class WordEncoder:
     """Ids of whole texts, with the words' ids remembered.
 
     The tokenizer drops white space and none of its pieces spans it, so a text's ids are those
-    of its words, one after another; each distinct word goes through the library once.
+    of its words, one after another; a word goes through the library once while it is remembered.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
+        self.numbered({})
+        self.start, self.size, self.uses = (np.zeros(REMEMBERED, np.int64) for _ in range(3))
+        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
 
-    def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.start, self.size, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 16, np.uint32), 0
+    def numbered(self, known: dict[bytes, int]) -> None:
+        """A word that is looked up for the first time gets the next number."""
+        self.number: dict[bytes, int] = defaultdict(count(len(known)).__next__, known)
 
-    def learn(self, words: list[bytes]) -> None:
-        first = len(self.number)
+    def forget(self) -> None:
+        """Keeps at most half of the words, those that were used most."""
+        have, least = len(self.number), 1
+        keep = np.arange(have)
+        while len(keep) > REMEMBERED // 2:
+            least *= 2
+            keep = np.flatnonzero(self.uses[:have] >= least)
+        words, sizes = list(self.number), self.size[keep]
+        self.numbered(dict(zip((words[i] for i in keep.tolist()), range(len(keep)), strict=True)))
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.start[keep] - (ends - sizes), sizes) + np.arange(sizes.sum())
+        self.pool, self.used = self.pool[at], len(at)
+        self.size[: len(keep)], self.start[: len(keep)], self.uses[: len(keep)] = sizes, ends - sizes, self.uses[keep] // 2
+
+    def learn(self, first: int) -> None:
+        """The ids of the words from this number on."""
+        words = list(islice(self.number, first, None))
+        while len(self.start) < len(self.number):
+            self.start, self.size, self.uses = (np.concatenate([x, x * 0]) for x in (self.start, self.size, self.uses))
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         ids = [e.ids for e in found]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         total, end = int(sizes.sum()), first + len(words)
-        while len(self.start) < end:
-            self.start, self.size = np.concatenate([self.start, self.start * 0]), np.concatenate([self.size, self.size * 0])
-        while len(self.pool) < self.used + total:
-            self.pool = np.concatenate([self.pool, self.pool * 0])
-        self.pool[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.size[first:end] = sizes
+        if len(self.pool) < self.used + total:
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(total, self.used), np.uint32)])
+        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.size[first:end], self.uses[first:end] = sizes, 0
         self.start[first:end] = self.used + np.cumsum(sizes) - sizes
         self.used += total
-        self.number.update(zip(words, range(first, end), strict=True))
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id after each text, and the count of each text."""
-        words = [t.split() for t in texts]
-        new = {w for ws in words for w in ws if w not in self.number}
-        if new and len(self.number) + len(new) > REMEMBERED:
+        words = pieces(texts)
+        if len(self.number) > REMEMBERED:
             self.forget()
-            new = {w for ws in words for w in ws}
-        if new:
-            self.learn(list(new))
-        get = self.number.__getitem__
+        have = len(self.number)
         counts = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter((i for ws in words for i in map(get, ws)), np.int64, int(counts.sum()))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        if len(self.number) > have:
+            self.learn(have)
+        self.uses[: len(self.number)] += np.bincount(at, minlength=len(self.number))
         sizes = self.size[at]
         before = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.pool[np.repeat(self.start[at] - before[:-1], sizes) + np.arange(before[-1])]
