@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.sources.shared import shared_dir, written
+
+__all__ = ["shared_dir", "written"]
+
 #: Words are separated by these bytes only; bytes.split() uses the same six.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Text that one group of documents holds, so that a Python worker stays within a few hundred MB.
@@ -22,29 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir).
-
-    Where the setting is absent the session is a local one, as in tests, and gets a folder of its own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="quillmesh-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/quillmesh-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and outlives any executor."""
-    path = path or shared_dir(df.sparkSession)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def n_groups(docs: DataFrame, text: str = "text", each: int = GROUP_BYTES) -> int:
     """How many groups of about `each` bytes of text to make; a scan of all rows."""
     total = docs.agg(F.sum(F.octet_length(text) + F.lit(64)).alias("b")).first()["b"] or 0
