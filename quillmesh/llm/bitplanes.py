@@ -36,6 +36,8 @@ from quillmesh.llm.common import column, n_groups, slices, utf8
 MAGIC = b"QMPLANE1"
 SHARD_IDS = 1 << 20
 BLOCK_IDS = 1 << 16
+#: The shard table.
+SHARDS = "part int, seq int, n_docs long, n_ids long, shard binary"
 #: Words whose ids a worker remembers; when it is full, those that were used least are forgotten.
 REMEMBERED = 400_000
 _SPACE, _LETTER, _LATIN, _STOP = (np.zeros(256, bool) for _ in range(4))
@@ -224,7 +226,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, ki
             yield shard()
 
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("shard", pa.binary())])
-    ordered.mapInArrow(run, "part int, seq int, n_docs long, n_ids long, shard binary").write.mode("overwrite").parquet(path)
+    ordered.mapInArrow(run, SHARDS).write.mode("overwrite").parquet(path)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:

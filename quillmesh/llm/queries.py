@@ -11,11 +11,11 @@ from quillmesh.llm.common import shared_dir, table
 def op1_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from quillmesh.llm.bitplanes import read_documents, write_shards
+    from quillmesh.llm.bitplanes import SHARDS, read_documents, write_shards
 
     path = shared_dir(spark)
     write_shards(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    return read_documents(spark.read.parquet(path))
+    return read_documents(spark.read.schema(SHARDS).parquet(path))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +74,38 @@ def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bitplane_ids, op2_decontaminate, op3_fm_dedup, op4_blob_ledger, op5_repetition, op6_simhash, op7_pseudonyms, op8_ctw_scores, op9_temperature_mix, op10_suffix_arrays)}
-ORACLE_SQL: dict[str, str] = {}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_ITEM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP2 = f"""WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents), i AS (SELECT item_id::VARCHAR AS item_id, {_ITEM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[s:s + 9], ' ') AS win FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+dw AS (SELECT doc_id, s, size, array_to_string(w[s:s + size - 1], ' ') AS win FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM d, (SELECT DISTINCT size FROM win))),
+hits AS (SELECT doc_id, s, size, item_id FROM dw JOIN win USING (win, size)), p AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS q FROM hits) GROUP BY 1),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM hits GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+_OP3 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), win AS (SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d)),
+first AS (SELECT win, min(doc_id) AS low FROM win GROUP BY 1), gone AS (SELECT doc_id, list(DISTINCT q) AS g FROM (SELECT doc_id, unnest(range(s, s + 13)) AS q FROM win JOIN first USING (win) WHERE low < doc_id) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed, sha256(CASE WHEN g IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(g, i)), ' ') END) AS kept_sha256 FROM d LEFT JOIN gone USING (doc_id)"""
+
+
+def _op5() -> str:
+    from quillmesh.llm.repetition import LIMITS, MAX_DUP_LINE_CHARS, MAX_REPEAT_WORDS_PCT, MIN_WORDS
+
+    parts, joins = [], []
+    for k in LIMITS:
+        parts.append(f"g{k} AS (SELECT doc_id, list(s) AS ss FROM (SELECT doc_id, s, array_to_string(w[s:s + {k - 1}], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS s FROM d)) GROUP BY doc_id, win HAVING count(*) > 1), c{k} AS (SELECT doc_id, count(*) AS words, sum(length(w[q])) AS chars FROM (SELECT DISTINCT doc_id, unnest(range(s, s + {k})) AS q FROM (SELECT doc_id, unnest(ss) AS s FROM g{k})) JOIN d USING (doc_id) GROUP BY 1)")
+        joins.append(f"LEFT JOIN c{k} USING (doc_id)")
+    told = ", ".join(f"coalesce(c{k}.chars, 0)::BIGINT AS dup_chars_{k}" for k in LIMITS)
+    verdict = " AND ".join(f"dup_chars_{k} <= {share} * word_chars" for k, share in LIMITS.items())
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents), {", ".join(parts)},
+lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS r FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+dup AS (SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g'))) AS dup_line_chars FROM lines WHERE r > 1 GROUP BY 1),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(c5.words, 0) AS n_repeat_words, coalesce(dup_line_chars, 0)::BIGINT AS dup_line_chars, {told} FROM d LEFT JOIN dup USING (doc_id) {" ".join(joins)}),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_WORDS_PCT} * n_words AS base_failed FROM m) SELECT *, NOT base_failed AND dup_line_chars <= {MAX_DUP_LINE_CHARS} * word_chars AND {verdict} AS kept FROM f""".replace("\\\\", "\\")
+
+
+#: The other operators hash, encode, search by position or iterate beyond SQL; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": _OP2, "op3_fm_dedup": _OP3, "op5_repetition": _op5()}

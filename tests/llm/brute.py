@@ -123,3 +123,47 @@ def op10(docs, n=400):
         runs = int(np.count_nonzero(np.diff(np.r_[0, mask.astype(int)]) == 1))
         out.append((d, len(b), int(mask.sum()), runs, sha(bytes(np.frombuffer(b, np.uint8)[~mask]))))
     return out
+
+
+def op8(docs, depth=3):
+    """Base and context-tree scores, node by node."""
+    import math
+
+    out_of = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    tokens = lambda t: [*WORD.findall((t or "").translate(ASCII_LOWER)), None]
+    counts = Counter(w for d, t in docs if not out_of(d) for w in tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    seen, below = defaultdict(lambda: [0, 0]), defaultdict(set)
+
+    def decisions(text):
+        b = bytes(depth) + (text or "").encode()
+        for i in range(depth, len(b)):
+            for k in range(8):
+                yield b, i, 1 << k | b[i] >> (8 - k), b[i] >> (7 - k) & 1
+
+    for d, t in docs:
+        for b, i, q, bit in decisions(t) if not out_of(d) else ():
+            for e in range(depth + 1):
+                seen[b[i - e : i], q][bit] += 1
+                if e:
+                    below[b[i - e + 1 : i], q].add((b[i - e : i], q))
+    kt = lambda z: math.lgamma(z[0] + 0.5) + math.lgamma(z[1] + 0.5) - math.lgamma(sum(z) + 1) - math.log(math.pi)
+    weight = {}
+    for key in sorted(seen, key=lambda k: -len(k[0])):
+        a = kt(seen[key])
+        weight[key] = a if len(key[0]) == depth else float(np.logaddexp(a, sum(weight[x] for x in below[key]))) - math.log(2)
+
+    def score(text):
+        total = 0.0
+        for b, i, q, bit in decisions(text):
+            p = None
+            for e in range(depth, -1, -1):
+                key = b[i - e : i], q
+                z = seen.get(key, [0, 0])
+                own = (z[bit] + 0.5) / (sum(z) + 1)
+                stop = math.exp(kt(z) - math.log(2) - weight[key]) if key in weight else 0.5
+                p = own if p is None else stop * own + (1 - stop) * p
+            total += math.log10(p)
+        return total
+
+    return {d: (out_of(d), len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(t)), score(t)) for d, t in docs}
