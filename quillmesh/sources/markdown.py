@@ -106,7 +106,10 @@ def _block(lines: list[tuple[int, str]], at: int, indent: int):
 
 def load_yaml(text: str):
     if yaml is not None:
-        return yaml.load(text, Loader=yaml.BaseLoader)
+        try:
+            return yaml.load(text, Loader=yaml.BaseLoader)
+        except yaml.YAMLError as e:
+            raise ValueError(f"cannot read the frontmatter: {e}") from e
     lines = [(len(x) - len(x.lstrip()), x.strip()) for x in text.split("\n") if x.strip() and not x.lstrip().startswith("#")]
     if not lines:
         return {}
