@@ -2,7 +2,7 @@
 
 Rolling hashes of several n-gram lengths, in numpy, tell which words stand in an n-gram that
 the same text holds twice or more; the share of characters inside such n-grams and inside
-repeated lines decides. Each text is judged alone, so the operator needs no shuffle.
+repeated lines decides, with the ratio of symbols to words. Each text is judged alone, so the operator needs no shuffle.
 
 Null and empty texts have no words and fail the base rule. A null doc_id is passed through.
 Rows are judged one by one: repeated rows give repeated results. Extra columns are kept by
@@ -22,6 +22,8 @@ from quillmesh.llm.common import column, gram_hashes, mix64, slices, utf8
 #: n-gram length -> largest share of characters inside n-grams of that length found twice or more.
 LIMITS = {5: 0.25, 8: 0.20, 10: 0.15}
 MAX_DUP_LINE_CHARS = 0.30
+#: The usual symbol-to-word ratio of such rules.
+MAX_SYMBOLS_PER_WORD = 0.1
 MIN_WORDS = 10
 MAX_REPEAT_WORDS_PCT = 20
 
@@ -88,7 +90,7 @@ def measure(text: bytes) -> tuple:
         else:
             inside.append(0)
     failed = n < MIN_WORDS or 100 * repeat > MAX_REPEAT_WORDS_PCT * n
-    kept = not failed and dup_line_chars <= MAX_DUP_LINE_CHARS * word_chars and all(x <= share * word_chars for x, share in zip(inside, LIMITS.values(), strict=True))
+    kept = not failed and n_symbols <= MAX_SYMBOLS_PER_WORD * n and dup_line_chars <= MAX_DUP_LINE_CHARS * word_chars and all(x <= share * word_chars for x, share in zip(inside, LIMITS.values(), strict=True))
     return n, word_chars, n_symbols, n_dup_lines, repeat, dup_line_chars, *inside, failed, kept
 
 
