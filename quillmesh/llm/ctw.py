@@ -34,7 +34,7 @@ from quillmesh.llm.common import column, utf8, written
 
 DEPTH = 3
 FOLDS, HELD_OUT = 7, 2
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 5 << 20
 _BITS = np.arange(8)
 LN2 = np.log(2.0)
 
