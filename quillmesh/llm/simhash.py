@@ -8,7 +8,9 @@ fingerprints); differing bits of 64 pairs at once go through carry-save counters
 of lanes is abandoned once every lane exceeds the radius. Groups give a spanning forest of
 their links, not all pairs, and components come from min-label contraction of those edges.
 
-Where a similarity is asked for, 64 bits tell it too coarsely: `similar_groups` uses 512 bits
+Where a similarity is asked for, `similar_groups` takes each text's set of distinct shingles and
+verifies every link by the sets' Jaccard similarity (exact up to collisions of 64-bit hashes).
+Candidates come from 512 bits, as 64 tell a similarity too coarsely
 (the same hashes, mixed anew for each 64), a table for each band of 16 bits, and the radius that
 a Jaccard similarity of the shingle sets of 0.8 stays within in 93 of 100 cases (one of 0.85 in
 all but one of a thousand). A pair at exactly 0.8 shares a band in 91 of 100 cases, at 0.85 in
@@ -41,6 +43,8 @@ PART = 8192
 SMALL = 24
 #: 64-bit words of a fingerprint that has to tell a similarity.
 WIDE = 8
+#: Shingles of one candidate component that one task compares; larger components are cut and compared part by part.
+SET_PART = 2_000_000
 #: Rows of the band tables that one task sorts.
 BUCKET_ROWS = 200_000
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -268,22 +272,98 @@ def wide_fingerprint(hashes: np.ndarray) -> list[int]:
     return [fingerprint(hashes if not w else mix64(hashes + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1))) for w in range(WIDE)]
 
 
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """The distinct shingle hashes in ascending order."""
+    return np.unique(shingle_hashes(text, k))
+
+
+def link_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float, forest: Forest, at: np.ndarray) -> None:
+    """Joins each pair (left, right) whose sets are as similar as that; pairs that hang together already are left out.
+
+    left and right: places in sets; at: each place's node in the forest.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    every, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    ids = np.split(ids, ends[:-1])
+    inside = np.zeros(len(every), bool)
+    right = right[sizes[right] > 0]
+    for i in left.tolist():
+        n = sizes[i]
+        some = right[(right > i) | ~np.isin(right, left)]
+        some = some[(np.minimum(sizes[some], n) >= similarity * np.maximum(sizes[some], n) - 1e-9)]
+        root = forest.root(int(at[i]))
+        some = some[[forest.root(int(at[j])) != root for j in some.tolist()]] if len(some) else some
+        if not len(some):
+            continue
+        inside[ids[i]] = True
+        for first in range(0, len(some), 512):
+            part = some[first : first + 512]
+            starts = np.cumsum(sizes[part]) - sizes[part]
+            common = np.add.reduceat(inside[np.concatenate([ids[j] for j in part.tolist()])], starts, dtype=np.int64)
+            near = part[common >= similarity * (n + sizes[part] - common) - 1e-9]
+            if len(near):
+                forest.join(int(at[i]), at[near])
+        inside[ids[i]] = False
+
+
+def verified(members: DataFrame, similarity: float) -> DataFrame:
+    """members: (node, root, n, shingles) of candidate components. Edges (a, b) whose components are
+    those of all pairs of one root with a Jaccard similarity of the sets as high as that."""
+    sizes = members.groupBy("root").agg(F.sum("n").alias("size"))
+    rows = members.join(sizes, "root")
+    # A component of more than SET_PART shingles is cut by hash; each part meets itself and all others.
+    n_parts = F.ceil(F.col("size") / SET_PART).cast("int")
+    own = F.pmod(F.xxhash64("node"), n_parts).cast("int")
+    rows = rows.select("node", "root", "shingles", own.alias("own"), n_parts.alias("n_parts"))
+    rows = rows.select("node", "root", "shingles", "own", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("other"))
+    rows = rows.select("node", "root", "shingles", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    buckets = max(1, int(members.agg(F.sum("n")).first()[0] or 0) // SET_PART)
+    rows = rows.withColumn("bucket", F.when(F.col("lo") + F.col("hi") > 0, F.xxhash64("root", "lo", "hi")).otherwise(F.pmod(F.xxhash64("root"), F.lit(buckets))))
+
+    def compare(key, t):
+        t = t.sort_by([("root", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("node", "ascending")])
+        node, root, own, lo, hi = (t[c].to_numpy() for c in ("node", "root", "own", "lo", "hi"))
+        change = np.flatnonzero(np.r_[True, (root[1:] != root[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+        every, at = np.unique(node, return_inverse=True)
+        forest = Forest(len(every))
+        for a, b in zip(change.tolist(), [*change[1:].tolist(), len(node)], strict=True):
+            sets = [np.frombuffer(x, "<u8") for x in t["shingles"][a:b].to_pylist()]
+            link_sets(sets, np.flatnonzero(own[a:b] == lo[a]), np.flatnonzero(own[a:b] == hi[a]), similarity, forest, at[a:b])
+        up = np.array([forest.root(i) for i in range(len(every))], np.int64)
+        other = up != np.arange(len(every))
+        return pa.table({"a": every[other], "b": every[up[other]]})
+
+    return rows.groupBy("bucket").applyInArrow(compare, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, node, component_id of every row: groups of documents whose k-word shingle sets are as similar as that."""
+    """doc_id, node, component_id of every row: groups of documents whose k-word shingle sets are as similar as that.
+
+    Sketches only tell which documents to compare; each link is verified by the sets themselves.
+    """
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches):
         for batch in slices(batches):
-            rows = np.array([wide_fingerprint(shingle_hashes(x, k)) for x in utf8(column(batch, "text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(list(rows.view(np.int64)), pa.list_(pa.int64()))], names=["doc_id", "fp"])
-
-    fps = written(picked.mapInArrow(run, "doc_id long, fp array<long>").withColumn("node", F.xxhash64("fp")))
+            sets = [shingle_set(x, k) for x in utf8(column(batch, "text"))]
+            blobs = [x.astype("<u8").tobytes() for x in sets]
+            nodes = np.fromiter(map(xxhash.xxh64_intdigest, blobs), np.uint64, len(blobs)).view(np.int64)
+            rows = np.array([wide_fingerprint(x) for x in sets], np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "doc_id"), pa.array(nodes), pa.array(list(rows.view(np.int64)), pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array(blobs, pa.binary())],
+                names=["doc_id", "node", "fp", "n", "shingles"],
+            )
+
+    fps = written(picked.mapInArrow(run, "doc_id long, node long, fp array<long>, n long, shingles binary"))
     distinct = written(fps.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("low")))
     bands = F.flatten(F.transform("fp", lambda x, i: F.array(*(F.shiftleft((i * 4 + j).cast("long"), 16) + F.shiftrightunsigned(x, 16 * j).bitwiseAND(F.lit(65535)) for j in range(4)))))
     differ = acos(2 * similarity / (1 + similarity)) / pi
     radius = int(64 * WIDE * differ + 1.5 * sqrt(64 * WIDE * differ * (1 - differ)))
     keyed = distinct.select("node", "fp", F.explode(bands).alias("key"))
-    roots = components(links(keyed, radius, distinct.count() * 4 * WIDE)).select("node", "root")
+    maybe = written(components(links(keyed, radius, distinct.count() * 4 * WIDE)).select("node", "root"))
+    sets = fps.join(maybe, "node").groupBy("node", "root").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    roots = components(verified(written(sets), similarity))
     classes = distinct.select("node", "low").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low")
     smallest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     return fps.select("doc_id", "node").join(classes.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "node", "component_id")

@@ -212,6 +212,23 @@ def test_near_copies_go(spark):
     assert simhash.drop_near_duplicates(docs).where("doc_id IS NULL").count() == 2
 
 
+def kept_ids(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return sorted(r["doc_id"] for r in simhash.drop_near_duplicates(frame).collect())
+
+
+def test_repeats_do_not_make_texts_alike(spark):
+    """Unrelated texts with the same run of one word or line stay; copies but for such a run go."""
+    r = random.Random(17)
+    word = lambda: f"v{r.randrange(10**6)}"
+    texts = [" ".join([word() for _ in range(950)] + ["."] * 50) for _ in range(4)]
+    line = " ".join(word() for _ in range(15))
+    texts += [" ".join([word() for _ in range(1500)] + [line] * 48) for _ in range(3)]
+    copy = [word() for _ in range(300)]
+    texts += [" ".join(copy), " ".join(copy + ["."] * 400)]
+    assert kept_ids(spark, texts) == list(range(8))
+
+
 PII = "Call +1 (212) 555-7713 or mail jo.doe7@mail.example.com; card 4539 1488 0343 6467, not 4539 1488 0343 6468; host 10.2.33.254, not 300.1.1.1; on 2024-02-29 or 31.12.1999, not 2023-02-29; 123-45-6789."
 
 
