@@ -10,11 +10,9 @@ their links, not all pairs, and components come from min-label contraction of th
 
 Where a similarity is asked for, `similar_groups` takes each text's set of distinct shingles and
 verifies every link by the sets' Jaccard similarity (exact up to collisions of 64-bit hashes).
-Candidates come from 512 bits, as 64 tell a similarity too coarsely
-(the same hashes, mixed anew for each 64), a table for each band of 16 bits, and the radius that
-a Jaccard similarity of the shingle sets of 0.8 stays within in 93 of 100 cases (one of 0.85 in
-all but one of a thousand). A pair at exactly 0.8 shares a band in 91 of 100 cases, at 0.85 in
-99, at 0.9 in all but one of ten thousand.
+Candidates come from MinHash: 24 bands of 5 hashes, of which a pair at exactly 0.8 misses all in 7
+of 100,000 cases. Documents of one band hang together as a candidate component, whose sets are
+then compared pair by pair.
 
 A text without words has the fingerprint zero. Null texts count as empty, rows with a null
 doc_id get a fingerprint and the component of their fingerprint's rows (null if it has no
@@ -24,7 +22,6 @@ other). Repeated rows give repeated results. Extra columns are not looked at.
 from __future__ import annotations
 
 from itertools import combinations
-from math import acos, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -41,12 +38,13 @@ RADIUS = 4
 PART = 8192
 #: Groups up to this size are compared many at once, larger ones each by its own planes.
 SMALL = 24
-#: 64-bit words of a fingerprint that has to tell a similarity.
-WIDE = 8
+#: MinHash bands of a set, and the hashes of each.
+TABLES, ROWS = 24, 5
 #: Shingles of one candidate component that one task compares; larger components are cut and compared part by part.
 SET_PART = 2_000_000
 #: Rows of the band tables that one task sorts.
 BUCKET_ROWS = 200_000
+_TURNS = mix64(np.arange(1, TABLES * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -148,15 +146,9 @@ def link_small(fps: np.ndarray, group: np.ndarray, radius: int, forest: Forest,
             return
         for at in range(0, len(idx), 1 << 16):
             part = idx[at : at + (1 << 16)]
-            # Wide fingerprints go on after 128 bits only where those leave a chance.
-            for lo in range(0, fps.shape[1], 2) if fps.shape[1] > 2 else (0,):
-                hi = lo + 2 if fps.shape[1] > 2 else fps.shape[1]
-                cut = slice(0, hi)
-                diff = planes(fps[part, cut] ^ fps[part + s, cut])
-                near = np.unpackbits((~beyond(diff.__getitem__, diff.shape[1:], radius, len(diff))).view(np.uint8), bitorder="little")[: len(part)]
-                part = part[near > 0]
-                if not len(part):
-                    break
+            diff = planes(fps[part] ^ fps[part + s])
+            near = np.unpackbits((~beyond(diff.__getitem__, diff.shape[1:], radius, len(diff))).view(np.uint8), bitorder="little")[: len(part)]
+            part = part[near > 0]
             for i in part.tolist():
                 forest.join(int(rows[i]), [rows[i + s]])
         s += 1
@@ -268,15 +260,22 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = RADIUS, doc_id: s
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_fingerprint(hashes: np.ndarray) -> list[int]:
-    return [fingerprint(hashes if not w else mix64(hashes + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1))) for w in range(WIDE)]
-
-
 def shingle_set(text: bytes, k: int) -> np.ndarray:
     """The distinct shingle hashes in ascending order."""
     return np.unique(shingle_hashes(text, k))
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """MinHash bands: TABLES hashes, of which sets of Jaccard similarity J share each with chance J ** ROWS."""
+    least = np.full(len(_TURNS), ~np.uint64(0))
+    for at in range(0, len(shingles), 256):
+        np.minimum(least, (shingles[at : at + 256, None] * _TURNS).min(axis=0), out=least)
+    rows, key = least.reshape(TABLES, ROWS), np.arange(TABLES, dtype=np.uint64)
+    for j in range(ROWS):
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, j])
+    return key.view(np.int64)
+
+
 def link_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float, forest: Forest, at: np.ndarray) -> None:
     """Joins each pair (left, right) whose sets are as similar as that; pairs that hang together already are left out.
 
@@ -349,19 +348,17 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id:
             sets = [shingle_set(x, k) for x in utf8(column(batch, "text"))]
             blobs = [x.astype("<u8").tobytes() for x in sets]
             nodes = np.fromiter(map(xxhash.xxh64_intdigest, blobs), np.uint64, len(blobs)).view(np.int64)
-            rows = np.array([wide_fingerprint(x) for x in sets], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array(nodes), pa.array(list(rows.view(np.int64)), pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array(blobs, pa.binary())],
-                names=["doc_id", "node", "fp", "n", "shingles"],
+                [column(batch, "doc_id"), pa.array(nodes), pa.array([sketch(x) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array(blobs, pa.binary())],
+                names=["doc_id", "node", "keys", "n", "shingles"],
             )
 
-    fps = written(picked.mapInArrow(run, "doc_id long, node long, fp array<long>, n long, shingles binary"))
-    distinct = written(fps.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("low")))
-    bands = F.flatten(F.transform("fp", lambda x, i: F.array(*(F.shiftleft((i * 4 + j).cast("long"), 16) + F.shiftrightunsigned(x, 16 * j).bitwiseAND(F.lit(65535)) for j in range(4)))))
-    differ = acos(2 * similarity / (1 + similarity)) / pi
-    radius = int(64 * WIDE * differ + 1.5 * sqrt(64 * WIDE * differ * (1 - differ)))
-    keyed = distinct.select("node", "fp", F.explode(bands).alias("key"))
-    maybe = written(components(links(keyed, radius, distinct.count() * 4 * WIDE)).select("node", "root"))
+    fps = written(picked.mapInArrow(run, "doc_id long, node long, keys array<long>, n long, shingles binary"))
+    distinct = written(fps.groupBy("node").agg(F.first("keys").alias("keys"), F.min("doc_id").alias("low")))
+    keyed = distinct.select("node", F.explode("keys").alias("key"))
+    # A key's documents hang on its smallest one: only their component matters, as that is compared in full.
+    lows = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("key", "b")
+    maybe = written(components(keyed.join(lows, "key").select(F.col("node").alias("a"), "b")).select("node", "root"))
     sets = fps.join(maybe, "node").groupBy("node", "root").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
     roots = components(verified(written(sets), similarity))
     classes = distinct.select("node", "low").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low")

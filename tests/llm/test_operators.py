@@ -229,6 +229,32 @@ def test_repeats_do_not_make_texts_alike(spark):
     assert kept_ids(spark, texts) == list(range(8))
 
 
+def test_similarity_at_the_threshold(spark):
+    """Pairs at 0.8 (288 of 360 shingles) lose one text, pairs just below (287 of 361) none."""
+    r = random.Random(23)
+    texts, want = [], []
+    for i in range(80):
+        words = [f"u{r.randrange(10**7)}" for _ in range(328)]
+        n = 292 if i % 2 else 291
+        texts += [" ".join(words), " ".join(words[:n] + [f"z{r.randrange(10**7)}" for _ in range(328 - n)])]
+        a, b = ({tuple(t.split()[j : j + 5]) for j in range(324)} for t in texts[-2:])
+        assert (len(a & b) / len(a | b) >= 0.8) == bool(i % 2)
+        want += [2 * i] if i % 2 else [2 * i, 2 * i + 1]
+    assert kept_ids(spark, texts) == want
+
+
+def test_large_components_in_parts(spark, monkeypatch):
+    """Chains of copies that change word by word, cut into parts: all that hang together keep one."""
+    r, texts = random.Random(29), []
+    for _ in range(3):
+        words = [f"u{r.randrange(10**7)}" for _ in range(120)]
+        for i in range(40):
+            words[(7 * i) % 120] = f"z{r.randrange(10**7)}"
+            texts.append(" ".join(words))
+    monkeypatch.setattr(simhash, "SET_PART", 500)
+    assert kept_ids(spark, texts) == [0, 40, 80]
+
+
 PII = "Call +1 (212) 555-7713 or mail jo.doe7@mail.example.com; card 4539 1488 0343 6467, not 4539 1488 0343 6468; host 10.2.33.254, not 300.1.1.1; on 2024-02-29 or 31.12.1999, not 2023-02-29; 123-45-6789."
 
 
