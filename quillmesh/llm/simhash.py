@@ -336,12 +336,17 @@ def verified(members: DataFrame, similarity: float) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(compare, "a long, b long")
 
 
+def text_hash(text: str):
+    """Tells rows of one doc_id apart by their texts."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, node, component_id of every row: groups of documents whose k-word shingle sets are as similar as that.
+    """doc_id, text_hash, root of every row (root: its group's number): groups of documents whose k-word shingle sets are as similar as that.
 
     Sketches only tell which documents to compare; each link is verified by the sets themselves.
     """
-    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_hash(text).alias("text_hash"))
 
     def run(batches):
         for batch in slices(batches):
@@ -349,31 +354,29 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id:
             blobs = [x.astype("<u8").tobytes() for x in sets]
             nodes = np.fromiter(map(xxhash.xxh64_intdigest, blobs), np.uint64, len(blobs)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array(nodes), pa.array([sketch(x) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array(blobs, pa.binary())],
-                names=["doc_id", "node", "keys", "n", "shingles"],
+                [column(batch, "doc_id"), column(batch, "text_hash"), pa.array(nodes), pa.array([sketch(x) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array(blobs, pa.binary())],
+                names=["doc_id", "text_hash", "node", "keys", "n", "shingles"],
             )
 
-    fps = written(picked.mapInArrow(run, "doc_id long, node long, keys array<long>, n long, shingles binary"))
-    distinct = written(fps.groupBy("node").agg(F.first("keys").alias("keys"), F.min("doc_id").alias("low")))
+    fps = written(picked.mapInArrow(run, "doc_id long, text_hash long, node long, keys array<long>, n long, shingles binary"))
+    distinct = written(fps.groupBy("node").agg(F.first("keys").alias("keys")))
     keyed = distinct.select("node", F.explode("keys").alias("key"))
     # A key's documents hang on its smallest one: only their component matters, as that is compared in full.
     lows = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("key", "b")
     maybe = written(components(keyed.join(lows, "key").select(F.col("node").alias("a"), "b")).select("node", "root"))
     sets = fps.join(maybe, "node").groupBy("node", "root").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
     roots = components(verified(written(sets), similarity))
-    classes = distinct.select("node", "low").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low")
-    smallest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    return fps.select("doc_id", "node").join(classes.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
+    return fps.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group, that of the smallest doc_id, with all its columns.
 
-    Of several rows with that doc_id one stays, an arbitrary one of equal texts. Rows with a null
-    doc_id have nothing to be known by and stay.
+    Of several rows with that doc_id in the group one stays, an arbitrary one of equal texts; rows of
+    other groups are not touched by it. Rows with a null doc_id have nothing to be known by and stay.
     """
     found = similar_groups(docs, k, similarity, doc_id, text).where("doc_id IS NOT NULL")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    ids = docs[doc_id].cast("long")
-    stay = docs.join(kept, ids == kept["__kept"], "left_semi")
-    return stay.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select(F.col("row.doc_id").alias("__kept"), F.col("row.text_hash").alias("__hash"))
+    known = docs.where(F.col(doc_id).isNotNull()).withColumn("__text_hash", text_hash(text))
+    stay = known.join(kept, (known[doc_id].cast("long") == kept["__kept"]) & (known["__text_hash"] == kept["__hash"]), "left_semi")
+    return stay.dropDuplicates([doc_id, "__text_hash"]).drop("__text_hash").unionByName(docs.where(F.col(doc_id).isNull()))

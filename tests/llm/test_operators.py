@@ -255,6 +255,12 @@ def test_large_components_in_parts(spark, monkeypatch):
     assert kept_ids(spark, texts) == [0, 40, 80]
 
 
+def test_other_texts_of_a_doc_id_stay(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = spark.createDataFrame([(1, a), (2, b), (2, c), (3, c), (4, b), (1, a), (5, a)], "doc_id long, text string")
+    assert rows(simhash.drop_near_duplicates(docs), "doc_id", "text") == [(1, a), (2, b), (2, c)]
+
+
 PII = "Call +1 (212) 555-7713 or mail jo.doe7@mail.example.com; card 4539 1488 0343 6467, not 4539 1488 0343 6468; host 10.2.33.254, not 300.1.1.1; on 2024-02-29 or 31.12.1999, not 2023-02-29; 123-45-6789."
 
 
