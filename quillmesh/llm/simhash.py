@@ -41,7 +41,7 @@ SMALL = 24
 #: MinHash bands of a set, and the hashes of each.
 TABLES, ROWS = 24, 5
 #: Shingles of one candidate component that one task compares; larger components are cut and compared part by part.
-SET_PART = 2_000_000
+SET_PART = 400_000
 #: Rows of the band tables that one task sorts.
 BUCKET_ROWS = 200_000
 _TURNS = mix64(np.arange(1, TABLES * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -348,24 +348,32 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id:
     """
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_hash(text).alias("text_hash"))
 
-    def run(batches):
+    def sketches(batches):
+        for batch in slices(batches):
+            nodes, keys = [], []
+            for x in utf8(column(batch, "text")):
+                shingles = shingle_set(x, k)
+                nodes.append(xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes()))
+                keys.append(sketch(shingles))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text_hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "keys"])
+
+    def sets(batches):
         for batch in slices(batches):
-            sets = [shingle_set(x, k) for x in utf8(column(batch, "text"))]
-            blobs = [x.astype("<u8").tobytes() for x in sets]
-            nodes = np.fromiter(map(xxhash.xxh64_intdigest, blobs), np.uint64, len(blobs)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), column(batch, "text_hash"), pa.array(nodes), pa.array([sketch(x) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array(blobs, pa.binary())],
-                names=["doc_id", "text_hash", "node", "keys", "n", "shingles"],
-            )
-
-    fps = written(picked.mapInArrow(run, "doc_id long, text_hash long, node long, keys array<long>, n long, shingles binary"))
+            found = [shingle_set(x, k) for x in utf8(column(batch, "text"))]
+            yield pa.RecordBatch.from_arrays([column(batch, "node"), column(batch, "root"), pa.array([len(x) for x in found], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], names=["node", "root", "n", "shingles"])
+
+    fps = written(picked.mapInArrow(sketches, "doc_id long, text_hash long, node long, keys array<long>"))
     distinct = written(fps.groupBy("node").agg(F.first("keys").alias("keys")))
     keyed = distinct.select("node", F.explode("keys").alias("key"))
     # A key's documents hang on its smallest one: only their component matters, as that is compared in full.
     lows = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("key", "b")
     maybe = written(components(keyed.join(lows, "key").select(F.col("node").alias("a"), "b")).select("node", "root"))
-    sets = fps.join(maybe, "node").groupBy("node", "root").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-    roots = components(verified(written(sets), similarity))
+    # Sets are made again for one row of each candidate, which takes less room than to keep all.
+    chosen = fps.select("node", "doc_id", "text_hash").join(maybe, "node").groupBy("node", "root").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
+    chosen = written(chosen.select("node", "root", F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash")))
+    texts = picked.join(chosen, (picked["text_hash"] == chosen["__hash"]) & picked["doc_id"].eqNullSafe(chosen["__id"])).select("node", "root", "text")
+    members = texts.mapInArrow(sets, "node long, root long, n long, shingles binary").groupBy("node", "root").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    roots = components(verified(written(members), similarity))
     return fps.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 
