@@ -125,7 +125,7 @@ def op10(docs, n=400):
     return out
 
 
-def op8(docs, depth=3):
+def op8(docs, depth=6):
     """Base and context-tree scores, node by node."""
     import math
 
