@@ -4,8 +4,8 @@ Matches are found by one pattern, validated (Luhn digit, calendar date, octets),
 under a key within their own format; what fails validation stays as it is. The permutation
 depends on the value and the key alone, so equal values stay linked across documents.
 
-* Card numbers (13 to 19 digits, Luhn): digits but the first and last are permuted; the last is recomputed.
-* Telephone numbers (+country and grouped digits): digits after the country code are permuted.
+* Card numbers (13 to 19 digits, Luhn), alone or with other numbers beside them: digits but the first and last are permuted; the last is recomputed.
+* Telephone numbers (+country and grouped digits): digits after the country code are permuted. A last group of another number behind a space does not belong to it.
 * E-mail addresses: letters and digits before the @ are permuted, each within its class.
 * IPv4 addresses: a permutation of the 2^32 addresses.
 * Dates (YYYY-MM-DD, DD.MM.YYYY, MM/DD/YYYY) of 1800 to 2199: a permutation of those 146,097 days.
@@ -16,8 +16,9 @@ one half within their class (digits, lower, upper) by bytes of SHA-512 over key,
 and the other half. Days and addresses go through a network on two numbers by addition modulo
 their sizes. Every round can be undone with the key.
 
-Null texts stay null and count no matches; empty texts stay empty. Repeated rows give repeated
-rows. Extra columns are not looked at.
+Null texts stay null and count no matches; empty texts stay empty, texts of any length are read
+whole. Repeated rows give repeated rows. Null doc_ids are passed through. Extra columns are not
+looked at. Whoever has the key can undo the pseudonyms, so there is no default.
 """
 
 from __future__ import annotations
@@ -29,15 +30,24 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 KINDS = ("email", "phone", "card", "ip", "date", "ssn")
-#: In this order of preference at one place.
+#: In this order of preference at one place. Repeated groups are possessive: Java walks those without recursion, so texts may be long.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})[ .-]?\d{2,4}[ .-]?\d{2,4}(?:[ .-]?\d{2,4})?(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}-\d{3}-\d{4}(?![\d-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "phone": "|".join([
+        r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
+        r"\+\d{1,3}[ .-]?\d{1,3}(?:[ .-]\d{2}){3,4}+(?![ .-]?\d)",
+        r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})[ .-]?\d{2,4}[ .-]?\d{2,4}(?:[.-]?\d{2,4})?(?!\d)",
+        r"\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
+        r"(?<![\d.-])\d{3}-\d{3}-\d{4}(?![\d-])",
+    ]),
     "date": r"(?<![\d.])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d.]*\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
-    "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
-}
+    # Unseparated, or groups of two to six digits; card() tries the spans of groups that can be a card.
+    "card": r"(?<!\d)(?:\d{13,19}|\d{2,6}(?:[ -]\d{2,6}){2,9}+)(?!\d)",
+}
+#: Lengths of card numbers, the usual first.
+CARD_DIGITS = (16, 15, 19, 14, 13, 18, 17)
 ANY = "|".join(PATTERNS.values())
 _DAY_0, _DAYS_A, _DAYS_B = "1800-01-01", 189, 773  # 189 * 773 = 146,097 days of 400 years
 
@@ -49,13 +59,15 @@ def _noise(key: str, kind: str, step: Column, size: Column, half: Column) -> Col
 def _shifted(half: Column, noise: Column) -> Column:
     """Each digit or ASCII letter moved within its class by a byte of the noise (of 64, again and again)."""
 
-    def one(c, i):
+    def one(noise, c, i):
         by = F.conv(F.substr(noise, 2 * F.pmod(i, F.lit(64)) + 1, F.lit(2)), 16, 10).cast("int")
         code = F.ascii(c)
         turn = lambda first, n: F.chr((F.lit(first) + F.pmod(code - first + by, F.lit(n))).cast("long"))
         return F.when(c.between("0", "9"), turn(48, 10)).when(c.between("a", "z"), turn(97, 26)).when(c.between("A", "Z"), turn(65, 26)).otherwise(c)
 
-    return F.array_join(F.transform(F.filter(F.split(half, ""), lambda c: c != ""), one), "")
+    # The noise is bound as an element, so that it is made once and not for each character.
+    chars = F.filter(F.split(half, ""), lambda c: c != "")
+    return F.transform(F.array(noise), lambda bound: F.array_join(F.transform(chars, lambda c, i: one(bound, c, i)), ""))[0]
 
 
 def permuted_text(value: Column, key: str, kind: str) -> Column:
@@ -106,13 +118,31 @@ def _refilled(pattern_of: Column, digits: Column) -> Column:
     return F.aggregate(chars, F.struct(F.lit(1).alias("i"), F.lit("").alias("s")), put, lambda acc: acc["s"])
 
 
-def card(value: Column, key: str) -> Column:
-    digits = F.regexp_replace(value, "[^0-9]", "")
+def _card(span: Column, key: str) -> Column:
+    """The pseudonym of a valid card number; null for others."""
+    digits = F.regexp_replace(span, "[^0-9]", "")
     n = F.length(digits)
     body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), permuted_text(F.substr(digits, F.lit(2), n - 2), key, "card"))
     check = F.pmod(10 - F.pmod(luhn_sum(body, 1), F.lit(10)), F.lit(10)).cast("string")
-    valid = n.between(13, 19) & (F.pmod(luhn_sum(digits, 0), F.lit(10)) == 0)
-    return F.when(valid, _refilled(value, F.concat(body, check)))
+    return _refilled(span, F.concat(body, check))
+
+
+def card(value: Column, key: str) -> Column:
+    """The first span of whole groups, by CARD_DIGITS and then from the left, that has such a length and a valid Luhn digit; what stands around it stays."""
+    parts = F.regexp_extract_all(value, F.lit(r"[ -]?\d+"), F.lit(0))
+
+    def spans(i):
+        def one(n):
+            span = F.array_join(F.slice(parts, i, n), "")
+            return F.struct(F.array_position(F.array(*map(F.lit, CARD_DIGITS)), F.length(F.regexp_replace(span, "[^0-9]", ""))).alias("rank"), i.alias("at"), n.alias("n"), span.alias("span"))
+
+        return F.transform(F.sequence(F.lit(1), F.size(parts) - i + 1), one)
+
+    some = F.filter(F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), spans)), lambda s: s["rank"] > 0)
+    found = F.array_min(F.filter(some, lambda s: F.pmod(luhn_sum(F.regexp_replace(s["span"], "[^0-9]", ""), 0), F.lit(10)) == 0))
+    before = F.array_join(F.slice(parts, F.lit(1), found["at"] - 1), "")
+    after = F.array_join(F.slice(parts, found["at"] + found["n"], F.size(parts)), "")
+    return F.when(found.isNotNull(), F.concat(before, _card(found["span"], key), after))
 
 
 def phone(value: Column, key: str) -> Column:
@@ -152,7 +182,7 @@ def ssn(value: Column, key: str) -> Column:
 MAKERS = {"email": email, "phone": phone, "date": date, "ssn": ssn, "ip": ip, "card": card}
 
 
-def pseudonyms(docs: DataFrame, key: str = "quillmesh", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pseudonyms(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text with pseudonyms, n_<kind> of those replaced, of every row."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("found"))
 

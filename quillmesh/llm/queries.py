@@ -52,7 +52,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmesh.llm.pseudonyms import pseudonyms
 
-    return pseudonyms(table(spark, sf_dir, "documents"))
+    return pseudonyms(table(spark, sf_dir, "documents"), key="the key of this query")
 
 
 def op8_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
