@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import mix64, n_groups
+from quillmesh.llm.common import bounded_batches, mix64, n_groups
 
 #: Text of one group of documents.
 GROUP_BYTES = 4 << 20
@@ -31,7 +31,7 @@ REQUEST = "shard int, g int, blob binary"
 
 def grouped(docs: DataFrame, doc_id: str, text: str, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int]:
     """(doc_id, text, row, g) dealt by g, and the count of groups."""
-    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    picked = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = n_groups(picked, each=group_bytes)
     row = F.xxhash64("doc_id", "text")
     return picked.withColumn("row", row).withColumn("g", F.pmod(F.col("row"), F.lit(n)).cast("int")).repartition(n, "g"), n

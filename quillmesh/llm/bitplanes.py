@@ -13,7 +13,9 @@ Shard, little-endian: MAGIC, blocks (planes one after another), index = zstd(JSO
 arrays), u32 length of the index, MAGIC.
 
 A null text is empty and still gets the end id. Rows with a null doc_id come first. Rows with
-equal doc_id are ordered by a hash of their text, then the text. Extra columns are not looked at.
+equal doc_id are ordered by a hash of their text, then the text; repeated rows are written as often
+as they stand there. A very long text makes a long shard of its own. An empty table gives no
+shards. Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import column, n_groups, slices, utf8
+from quillmesh.llm.common import SPACE, bounded_batches, column, n_groups, numbered_words, slices, utf8
 
 MAGIC = b"QMPLANE1"
 SHARD_IDS = 1 << 20
@@ -40,8 +42,14 @@ BLOCK_IDS = 1 << 16
 SHARDS = "part int, seq int, n_docs long, n_ids long, shard binary"
 #: Words whose ids a worker remembers; when it is full, those that were used least are forgotten.
 REMEMBERED = 400_000
-_SPACE, _LETTER, _LATIN, _STOP = (np.zeros(256, bool) for _ in range(4))
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Words that go through the tokenizer in one text.
+AT_ONCE = 4096
+#: Every special token of the tokenizers served begins like this.
+MARK = b"<|"
+#: The tokenizer's parts that `pieces` relies on.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_LETTER, _LATIN, _STOP = (np.zeros(256, bool) for _ in range(3))
 _LETTER[97:123] = True
 _LATIN[[*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]] = True  # after 0xC3: letters, but not the signs of times and division
 _STOP[list(b".,")] = True
@@ -105,21 +113,29 @@ def read_ids(shard: bytes, index: dict) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint32), *(read_block(shard, e, index["kind"]) for e in index["blocks"])]).astype("<u4")
 
 
-def pieces(texts: list[bytes]) -> list[list[bytes]]:
-    """Words in lower case, a stop or comma at a word's end apart from the letter before it: the tokenizer takes each alone.
+def pieces(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words, the place of each text's words among them, end to end, and how many each text has.
 
-    Texts with the look of a special token keep their case, which tells one from ordinary text.
+    Words are in lower case, a stop or comma at a word's end apart from the letter before it: the
+    tokenizer takes each alone. Texts with the look of a special token keep their case, which tells
+    one from ordinary text.
     """
-    low = [t if b"<|" in t else t.lower() for t in texts]
+    low = [t if MARK in t else t.lower() for t in texts]
     data = np.frombuffer(b"\n\n" + b"\n".join(low) + b"\n", np.uint8)
     here, before = data[2:-1], data[1:-2]
-    at = np.flatnonzero(_STOP[here] & _SPACE[data[3:]])
+    at = np.flatnonzero(_STOP[here] & SPACE[data[3:]])
     at = at[_LETTER[before[at]] | (_LATIN[before[at]] & (data[at] == 0xC3))]
-    spaced = np.insert(here, at, 0x20).tobytes()
+    spaced = np.insert(here, at, 0x20)
     ends = np.cumsum(np.fromiter(map(len, low), np.int64, len(low)) + 1) - 1
-    starts = np.r_[0, ends[:-1] + 1]
-    starts, ends = starts + np.searchsorted(at, starts), ends + np.searchsorted(at, ends)
-    return [spaced[a:b].split() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    ends += np.searchsorted(at, ends)
+    return numbered_words(spaced, ends)
+
+
+def splits_at_spaces(path: str) -> bool:
+    """Whether the tokenizer's file has the normaliser and the split that `pieces` relies on; others get whole texts."""
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    return parts.get("normalizer") == NORMALIZER and parts.get("pre_tokenizer") == PRE_TOKENIZER and parts.get("post_processor") is None
 
 
 class WordEncoder:
@@ -127,12 +143,16 @@ class WordEncoder:
 
     The tokenizer drops white space and none of its pieces spans it, so a text's ids are those
     of its words, one after another; a word goes through the library once while it is remembered.
+    Words to learn go through it many at a time, with its own special token between them.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = splits_at_spaces(path)
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word) and t.content.startswith(MARK.decode())]
+        self.between = special[0] if special else None
         self.numbered({})
         self.start, self.size, self.uses = (np.zeros(REMEMBERED, np.int64) for _ in range(3))
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
@@ -155,33 +175,58 @@ class WordEncoder:
         self.pool, self.used = self.pool[at], len(at)
         self.size[: len(keep)], self.start[: len(keep)], self.uses[: len(keep)] = sizes, ends - sizes, self.uses[keep] // 2
 
+    def library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids end to end and their count of each text, each text by itself."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+
+    def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As library, for words without the look of a special token."""
+        if not self.between:
+            return self.library([w.decode("utf-8", "replace") for w in words])
+        sep, parts = self.between.encode(), [np.zeros(0, np.uint32)]
+        for at in range(0, len(words), AT_ONCE):
+            text = (sep.join(words[at : at + AT_ONCE]) + sep).decode("utf-8", "replace")
+            parts.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+        ids = np.concatenate(parts)
+        mark = ids == self.tokenizer.token_to_id(self.between)
+        ends = np.flatnonzero(mark)
+        if len(ends) != len(words):
+            raise ValueError("the special token does not keep words apart")
+        return ids[~mark], np.diff(ends, prepend=-1) - 1
+
     def learn(self, first: int) -> None:
         """The ids of the words from this number on."""
         words = list(islice(self.number, first, None))
         while len(self.start) < len(self.number):
             self.start, self.size, self.uses = (np.concatenate([x, x * 0]) for x in (self.start, self.size, self.uses))
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, end = int(sizes.sum()), first + len(words)
-        if len(self.pool) < self.used + total:
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(total, self.used), np.uint32)])
-        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.size[first:end], self.uses[first:end] = sizes, 0
-        self.start[first:end] = self.used + np.cumsum(sizes) - sizes
-        self.used += total
+        odd = np.fromiter((MARK in w for w in words), bool, len(words)) if MARK in b" ".join(words) else np.zeros(len(words), bool)
+        for some, encode in ((np.flatnonzero(~odd), self.of_words), (np.flatnonzero(odd), lambda ws: self.library([w.decode("utf-8", "replace") for w in ws]))):
+            if not len(some):
+                continue
+            ids, sizes = encode([words[i] for i in some.tolist()])
+            if len(self.pool) < self.used + len(ids):
+                self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(ids), self.used), np.uint32)])
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.size[first + some], self.uses[first + some] = sizes, 0
+            self.start[first + some] = self.used + np.cumsum(sizes) - sizes
+            self.used += len(ids)
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id after each text, and the count of each text."""
-        words = pieces(texts)
+        if not self.by_words:
+            ids, lengths = self.library([t.decode("utf-8", "replace") for t in texts])
+            return np.insert(ids, np.cumsum(lengths), np.uint32(end_id)), lengths + 1
+        words, place, counts = pieces(texts)
         if len(self.number) > REMEMBERED:
             self.forget()
         have = len(self.number)
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         if len(self.number) > have:
             self.learn(have)
-        self.uses[: len(self.number)] += np.bincount(at, minlength=len(self.number))
+        self.uses[numbers] += np.bincount(place, minlength=len(words))
+        at = numbers[place]
         sizes = self.size[at]
         before = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.pool[np.repeat(self.start[at] - before[:-1], sizes) + np.arange(before[-1])]
@@ -200,10 +245,11 @@ def encoder_for(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, kind: str = "byte", doc_id: str = "doc_id", text: str = "text") -> None:
-    """Writes the shard table: part (of the doc_id order), seq, n_docs, n_ids, shard."""
-    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = picked.withColumn("tie", F.xxhash64("text")).repartitionByRange(n_groups(picked, each=32 << 20), F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text").select("doc_id", "text")
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, kind: str = "byte", doc_id: str = "doc_id", text: str = "text", order: list[Column] | None = None) -> None:
+    """Writes the shard table: part (of the order, by default that of doc_id), seq, n_docs, n_ids, shard."""
+    picked = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(c.alias(f"__{i}") for i, c in enumerate(order or [])))
+    by = [f"__{i}" for i in range(len(order or []))] + [F.col("doc_id").asc_nulls_first(), "tie"]
+    ordered = picked.withColumn("tie", F.xxhash64("text")).repartitionByRange(n_groups(picked, each=32 << 20), *by).sortWithinPartitions(*by, "text").select("doc_id", "text")
 
     def run(batches):
         encoder, part, seq = encoder_for(tokenizer), TaskContext.get().partitionId(), 0
@@ -213,7 +259,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, ki
             data = pack_shard(np.concatenate(held_ids), held_docs, held_lengths, kind)
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "n_docs": [len(held_docs)], "n_ids": [held], "shard": [data]}, schema)
 
-        for batch in slices(batches, 1 << 20):
+        for batch in slices(batches, 2 << 20):
             ids, lengths = encoder.encode(utf8(column(batch, "text")), end_id)
             held_ids.append(ids)
             held_docs += column(batch, "doc_id").to_pylist()

@@ -16,14 +16,25 @@ __all__ = ["shared_dir", "written"]
 
 #: Words are separated by these bytes only; bytes.split() uses the same six.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: As a table of bytes.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Text that one group of documents holds, so that a Python worker stays within a few hundred MB.
 GROUP_BYTES = 8 << 20
+#: What goes to a Python worker at once; Spark's own bound of 10,000 records is no bound for texts.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """docs, in a session whose Arrow batches have BATCH_BYTES or one row from here on."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return docs
+
+
 def n_groups(docs: DataFrame, text: str = "text", each: int = GROUP_BYTES) -> int:
     """How many groups of about `each` bytes of text to make; a scan of all rows."""
     total = docs.agg(F.sum(F.octet_length(text) + F.lit(64)).alias("b")).first()["b"] or 0
@@ -56,6 +67,24 @@ def slices(batches, most: int = 4 << 20, text: str = "text"):
             start = end
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """In ascending order; sorts, which for numbers takes less than numpy's hashing."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
+def numbered_words(data: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of texts that lie end to end with white space between them, the place of each word among them, and how many each text has."""
+    inside = ~SPACE[data]
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    first, last = edge[::2], edge[1::2]
+    offsets = np.concatenate([[0], np.cumsum(last - first)])
+    words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+    _, edges, raw = words.dictionary.buffers()
+    edges, raw = np.frombuffer(edges, np.int64, len(words.dictionary) + 1).tolist(), raw.to_pybytes() if raw else b""
+    return [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)], words.indices.to_numpy(), np.diff(np.searchsorted(first, ends), prepend=0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit."""
     x = x.astype(np.uint64)
