@@ -1,8 +1,8 @@
 """Mixing sources to target weights by temperature.
 
 A source's share of the tokens is raised to an exponent and normalised: 1 keeps the shares, 0
-makes all sources equal. The exponent is bisected until the mix meets a target entropy, or
-until the source that repeats most is read `max_repeats` times; sums over sources at PARTS
+makes all sources equal, above 1 large sources gain. The exponent is bisected until the mix meets
+a target entropy, or until the source that repeats most is read `max_repeats` times; sums over sources at PARTS
 exponents are taken in one Spark aggregation and the bracket shrinks by that factor, so that
 only those sums reach the driver, however many sources there are.
 
@@ -27,6 +27,8 @@ from quillmesh.llm.common import written
 PARTS = 64
 BLOCK_TOKENS = 1 << 18
 TOLERANCE = 1e-9
+#: Exponents above one that are tried; the weights of all but the largest sources are then below any count of tokens.
+HIGHEST = 1024.0
 
 
 def tokens_of(text) -> F.Column:
@@ -38,52 +40,64 @@ def source_key(source) -> F.Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
-def bisect(sources: DataFrame, reached, low: float = 0.0, high: float = 1.0) -> float:
-    """Smallest exponent in [low, high] at which reached(sums) holds, where it holds from there on.
+def bisect(sources: DataFrame, reached, low: float = 0.0, high: float = 1.0, highest: float = 1.0) -> float:
+    """Smallest exponent at which reached(sums) holds, where it holds from there on.
 
-    sources: (p). sums of an exponent a: z = sum p^a, s = sum p^a ln p, and the largest and smallest p.
+    sources: (r), shares by the largest share. sums of an exponent a: z = sum r^a, s = sum r^a ln r,
+    and the smallest r. `high` doubles up to `highest`; if even that does not do, there is none.
     """
-    while high - low > TOLERANCE:
+    while True:
         grid = [low + (high - low) * i / PARTS for i in range(PARTS + 1)]
-        power = [F.pow("p", F.lit(a)) for a in grid]
-        row = sources.agg(F.max("p").alias("most"), F.min("p").alias("least"), *(F.sum(x).alias(f"z{i}") for i, x in enumerate(power)), *(F.sum(x * F.ln("p")).alias(f"s{i}") for i, x in enumerate(power))).first()
-        first = next((i for i, a in enumerate(grid) if reached(a, row[f"z{i}"], row[f"s{i}"], row["most"], row["least"])), PARTS)
-        if first == 0:
-            return grid[0]
-        low, high = grid[first - 1], grid[first]
-    return high
+        power = [F.pow("r", F.lit(a)) for a in grid]
+        row = sources.agg(F.min("r").alias("least"), *(F.sum(x).alias(f"z{i}") for i, x in enumerate(power)), *(F.sum(x * F.ln("r")).alias(f"s{i}") for i, x in enumerate(power))).first()
+        first = next((i for i, a in enumerate(grid) if reached(a, row[f"z{i}"], row[f"s{i}"], row["least"])), None)
+        if first is None:
+            if high >= highest:
+                raise ValueError("no exponent meets the target")
+            low, high = high, min(2 * high, highest)
+        elif first == 0 or high - low <= TOLERANCE * max(1.0, high):
+            return grid[first]
+        else:
+            low, high = grid[first - 1], grid[first]
 
 
 def weights(documents: DataFrame, target_entropy: float | None = None, max_repeats: float | None = 2.0, budget: float | None = None) -> DataFrame:
     """documents: (src, n_tokens). src, tokens, share, exponent, weight, epochs of every source.
 
-    target_entropy is in bits. With a budget, repeats are those of the budget.
+    target_entropy is in bits; it may lie below that of the shares, which takes an exponent above 1.
+    With a budget, repeats are those of the budget. A target that no exponent meets is an error.
     """
     from math import log
 
     sizes = written(documents.groupBy("src").agg(F.sum("n_tokens").alias("tokens")))
-    total = sizes.agg(F.sum("tokens").alias("t")).first()["t"]
+    row = sizes.agg(F.sum("tokens").alias("t"), F.max("tokens").alias("m")).first()
+    total, most = row["t"], row["m"]
     if not total:
         return sizes.select("src", "tokens", *(F.lit(1.0).alias(c) for c in ("share", "exponent", "weight", "epochs")))
-    shares = sizes.withColumn("p", F.col("tokens") / F.lit(float(total)))
+    shares = sizes.withColumn("r", F.col("tokens") / F.lit(float(most)))
 
-    def repeats(a, z, most, least):
-        """Epochs of the source that repeats most."""
-        if budget is not None:
-            return least ** (a - 1) / z * budget / total
-        return (most / least) ** (1 - a)
+    def repeats(a, z, least):
+        """Epochs of the source that repeats most: the smallest for a < 1, the largest for a > 1."""
+        if budget is None:
+            return least ** (a - 1)
+        return max(1.0, least ** (a - 1)) / z * budget / most
 
-    def reached(a, z, s, most, least):
+    def reached(a, z, s, least):
         if target_entropy is not None:
-            return (log(z) - a * s / z) / log(2) <= target_entropy
-        return repeats(a, z, most, least) <= max_repeats
-
-    exponent = bisect(shares, reached)
-    z, most = (lambda r: (r["z"], r["m"]))(shares.agg(F.sum(F.pow("p", F.lit(exponent))).alias("z"), F.max("p").alias("m")).first())
-    weight = F.pow("p", F.lit(exponent)) / F.lit(z)
-    # Epochs fall as the share grows, so the largest source is read least.
-    tokens = budget if budget is not None else total * most ** (1 - exponent) * z
-    return shares.select("src", "tokens", F.col("p").alias("share"), F.lit(exponent).alias("exponent"), weight.alias("weight"), (weight * F.lit(float(tokens)) / F.col("tokens")).alias("epochs"))
+            return (log(z) - a * s / z) / log(2) <= target_entropy + TOLERANCE
+        return repeats(a, z, least) <= max_repeats * (1 + TOLERANCE)
+
+    if target_entropy is not None and (log(sizes.count()) / log(2) if target_entropy > 0 else 0) < target_entropy - TOLERANCE:
+        raise ValueError("no mix of these sources has so much entropy")
+    # Beyond 1 repeats only grow; entropy falls to that of the largest sources alone.
+    exponent = bisect(shares, reached, highest=HIGHEST if target_entropy is not None else 1.0)
+    z = shares.agg(F.sum(F.pow("r", F.lit(exponent))).alias("z")).first()["z"]
+    weight = F.pow("r", F.lit(exponent)) / F.lit(z)
+    # Without a budget nothing is dropped: the source with the fewest epochs is read once. Epochs go
+    # as r ^ (exponent - 1), which falls with the share below 1 and grows with it above.
+    fewest = 1.0 if exponent <= 1 else shares.agg(F.min("r").alias("r")).first()["r"] ** (exponent - 1)
+    tokens = budget if budget is not None else most * z / fewest
+    return shares.select("src", "tokens", (F.col("tokens") / F.lit(float(total))).alias("share"), F.lit(exponent).alias("exponent"), weight.alias("weight"), (weight * F.lit(float(tokens)) / F.col("tokens")).alias("epochs"))
 
 
 def draws(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", key: str = "quillmesh", keep: bool = False, **target) -> DataFrame:
@@ -106,5 +120,8 @@ def draws(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **target) -> DataFrame:
-    """The rows of docs, each as often as it is drawn, with all their columns."""
-    return draws(docs, doc_id, text, source, keep=True, **target).select("row.*")
+    """The rows of docs, each as often as it is drawn, with all their columns, in the order of the draws' ranks.
+
+    Written to files, the rows stand in that order from file to file.
+    """
+    return draws(docs, doc_id, text, source, keep=True, **target).repartitionByRange("rank").sortWithinPartitions("rank", "doc_id", "epoch").select("row.*")
