@@ -33,8 +33,12 @@ def op3_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmesh.llm.secrets import scan
 
-    found = scan(table(spark, sf_dir, "documents"), shared_dir(spark), path="doc_id")
-    return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "blob")
+    # Two versions of the corpus, first its English part and then all of it: the second scan reads
+    # only blobs that the ledger lacks, and every row gets its findings from either.
+    documents, ledger = table(spark, sf_dir, "documents"), shared_dir(spark)
+    scan(documents.where(F.col("lang") == "en"), ledger, path="doc_id", label="first")
+    found = scan(documents, ledger, path="doc_id", label="second")
+    return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "blob", "scan")
 
 
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +96,7 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_remov
 
 
 def _op5() -> str:
-    from quillmesh.llm.repetition import LIMITS, MAX_DUP_LINE_CHARS, MAX_REPEAT_WORDS_PCT, MAX_SYMBOLS_PER_WORD, MIN_WORDS
+    from quillmesh.llm.repetition import LIMITS, MAX_DUP_LINE_CHARS, MAX_REPEAT_WORDS_PCT, MIN_WORDS
 
     parts, joins = [], []
     for k in LIMITS:
@@ -104,7 +108,7 @@ def _op5() -> str:
 lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS r FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 dup AS (SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g'))) AS dup_line_chars FROM lines WHERE r > 1 GROUP BY 1),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(c5.words, 0) AS n_repeat_words, coalesce(dup_line_chars, 0)::BIGINT AS dup_line_chars, {told} FROM d LEFT JOIN dup USING (doc_id) {" ".join(joins)}),
-f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_WORDS_PCT} * n_words AS base_failed FROM m) SELECT *, NOT base_failed AND n_symbols <= {MAX_SYMBOLS_PER_WORD} * n_words AND dup_line_chars <= {MAX_DUP_LINE_CHARS} * word_chars AND {verdict} AS kept FROM f""".replace("\\\\", "\\")
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_WORDS_PCT} * n_words AS base_failed FROM m) SELECT *, NOT base_failed AND dup_line_chars <= {MAX_DUP_LINE_CHARS} * word_chars AND {verdict} AS kept FROM f""".replace("\\\\", "\\")
 
 
 #: The other operators hash, encode, search by position or iterate beyond SQL; tests hold them against brute force.

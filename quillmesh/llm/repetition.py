@@ -2,9 +2,11 @@
 
 Rolling hashes of several n-gram lengths, in numpy, tell which words stand in an n-gram that
 the same text holds twice or more; the share of characters inside such n-grams and inside
-repeated lines decides, with the ratio of symbols to words. Each text is judged alone, so the operator needs no shuffle.
+repeated lines decides. Symbols are counted and do not decide. Each text is judged alone, so the
+operator needs no shuffle.
 
-Null and empty texts have no words and fail the base rule. A null doc_id is passed through.
+Null and empty texts have no words and fail the base rule; very long ones are measured whole, in
+memory of some times their size. A null doc_id is passed through.
 Rows are judged one by one: repeated rows give repeated results. Extra columns are kept by
 `quality_filter` and never looked at.
 """
@@ -17,14 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmesh.llm.common import column, gram_hashes, mix64, slices, utf8
+from quillmesh.llm.anchors import Rolling
+from quillmesh.llm.common import bounded_batches, column, mix64, slices, utf8
 
 #: n-gram length -> largest share of characters inside n-grams of that length found twice or more.
 LIMITS = {5: 0.25, 8: 0.20, 10: 0.15}
 MAX_DUP_LINE_CHARS = 0.30
-#: The usual symbol-to-word ratio of such rules.
-MAX_SYMBOLS_PER_WORD = 0.1
 MIN_WORDS = 10
+#: Of the rolling hashes; odd.
+BASE = 0xA24BAED4963EE407
 MAX_REPEAT_WORDS_PCT = 20
 
 _SPACE = np.zeros(256, bool)
@@ -38,13 +41,12 @@ STATS = [
 ]
 
 
-def covered(ids: np.ndarray, k: int) -> np.ndarray:
-    """Which words stand in a window of k words that occurs twice or more."""
-    n = len(ids)
+def covered(roll: Rolling, n: int, k: int) -> np.ndarray:
+    """Which of n words stand in a window of k words that occurs twice or more."""
     out = np.zeros(n, bool)
     if n <= k:
         return out
-    hashes = gram_hashes(ids, k)
+    hashes = roll.every(k)
     order = np.argsort(hashes, kind="stable")
     same = hashes[order[1:]] == hashes[order[:-1]]
     if not same.any():
@@ -78,9 +80,9 @@ def measure(text: bytes) -> tuple:
     numbers: dict[bytes, int] = {}
     ids = mix64(np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in words), np.uint64, n))
     chars = None
-    inside, repeat = [], 0
+    inside, repeat, roll = [], 0, Rolling(ids, BASE)
     for k in LIMITS:
-        mask = covered(ids, k)
+        mask = covered(roll, n, k)
         if k == 5:
             repeat = int(np.count_nonzero(mask))
         if mask.any():
@@ -90,13 +92,13 @@ def measure(text: bytes) -> tuple:
         else:
             inside.append(0)
     failed = n < MIN_WORDS or 100 * repeat > MAX_REPEAT_WORDS_PCT * n
-    kept = not failed and n_symbols <= MAX_SYMBOLS_PER_WORD * n and dup_line_chars <= MAX_DUP_LINE_CHARS * word_chars and all(x <= share * word_chars for x, share in zip(inside, LIMITS.values(), strict=True))
+    kept = not failed and dup_line_chars <= MAX_DUP_LINE_CHARS * word_chars and all(x <= share * word_chars for x, share in zip(inside, LIMITS.values(), strict=True))
     return n, word_chars, n_symbols, n_dup_lines, repeat, dup_line_chars, *inside, failed, kept
 
 
 def repetition_stats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and STATS of every row."""
-    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    picked = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = T.StructType([picked.schema["doc_id"], *(T.StructField(a, b) for a, b in STATS)])
 
     def run(batches):
@@ -114,4 +116,4 @@ def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in slices(batches, text=text):
             yield batch.filter(pa.array([measure(x)[-1] for x in utf8(column(batch, text))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
