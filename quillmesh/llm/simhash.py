@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import column, mix64, shared_dir, slices, utf8, written
+from quillmesh.llm.common import bounded_batches, column, distinct, mix64, shared_dir, slices, utf8, written
 
 BANDS = 6
 RADIUS = 4
@@ -75,7 +75,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, k: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) of every row."""
-    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    picked = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches):
         for batch in slices(batches):
@@ -94,25 +94,47 @@ def planes(values: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
+def add(a, b, c):
+    """Carry-save adder over lanes: sum and carry of three bits."""
+    either = a ^ b
+    return either ^ c, (a & b) | (either & c)
+
+
+def exceeds(digits: list, number: int):
+    """Lanes whose binary number (low digit first) is greater than that."""
+    over, equal = np.zeros_like(digits[0]), ~np.zeros_like(digits[0])
+    for j in range(len(digits) - 1, -1, -1):
+        if number >> j & 1:
+            equal = equal & digits[j]
+        else:
+            over = over | (equal & digits[j])
+            equal = equal & ~digits[j]
+    return over
+
+
 def beyond(diff_of, shape: tuple, radius: int, bits: int) -> np.ndarray:
-    """Sliced over lanes: a lane's bit is 1 if its pair differs in more than `radius` bits.
+    """Sliced over lanes: a lane's bit is 1 if its pair differs in more than `radius` bits, of 7 at most.
 
-    diff_of(b) gives plane b of the differences. A counter of bit planes starts at such a value
-    that it overflows at radius + 1; each plane is added by carry-save, and the work ends once
-    all lanes have overflowed.
+    diff_of(b) gives plane b of the differences. Eight planes at a time go through a tree of
+    carry-save adders into counters of ones, twos and fours; what carries out of the fours is more
+    than the radius. The work ends once all lanes exceed it.
     """
-    width = radius.bit_length()
-    start = (1 << width) - 1 - radius
-    counter = [np.full(shape, ~np.uint64(0) if start >> j & 1 else np.uint64(0), np.uint64) for j in range(width)]
-    over = np.zeros(shape, np.uint64)
-    for b in range(bits):
-        carry = diff_of(b)
-        for j in range(width):
-            counter[j], carry = counter[j] ^ carry, counter[j] & carry
-        over |= carry
-        if b % 8 == 7 and (over == ~np.uint64(0)).all():
+    if radius > 7 or bits % 8:
+        raise ValueError("the counters hold a radius of 7 over whole octets of planes")
+    ones, twos, fours, over = (np.zeros(shape, np.uint64) for _ in range(4))
+    for b in range(0, bits, 8):
+        halves = []
+        for at in (b, b + 4):
+            ones, left = add(ones, diff_of(at), diff_of(at + 1))
+            ones, right = add(ones, diff_of(at + 2), diff_of(at + 3))
+            twos, half = add(twos, left, right)
+            halves.append(half)
+        fours, eights = add(fours, *halves)
+        over |= eights
+        out = over | exceeds([ones, twos, fours], radius)
+        if (out == ~np.uint64(0)).all():
             break
-    return over
+    return out
 
 
 class Forest:
@@ -262,7 +284,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = RADIUS, doc_id: s
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
     """The distinct shingle hashes in ascending order."""
-    return np.unique(shingle_hashes(text, k))
+    return distinct(shingle_hashes(text, k))
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -346,7 +368,7 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id:
 
     Sketches only tell which documents to compare; each link is verified by the sets themselves.
     """
-    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_hash(text).alias("text_hash"))
+    picked = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_hash(text).alias("text_hash"))
 
     def sketches(batches):
         for batch in slices(batches):
