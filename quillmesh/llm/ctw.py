@@ -29,7 +29,6 @@ only: their contexts go on over the cuts. Extra columns are not looked at.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm import anchors as A
-from quillmesh.llm.common import mix64, utf8, written
+from quillmesh.llm.common import distinct, mix64, numbered_words, utf8, written
 
 DEPTH, SPLIT, TOPS = 6, 4, 64
 FOLDS, HELD_OUT = 7, 2
@@ -87,7 +86,7 @@ class Grams:
                     pieces, docs, held = [], [], 0
         if pieces:
             self._add(pieces, docs)
-        self.keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(b[0] for b in self.blocks)]))
+        self.keys = distinct(np.concatenate([np.zeros(0, np.uint64), *(b[0] for b in self.blocks)]))
 
     def _add(self, pieces, docs) -> None:
         keys = gram_keys(pieces)
@@ -237,27 +236,24 @@ class Tokens:
     """A group's distinct words, lower-cased, with an end token (the empty word), dealt to shards.
 
     The shard comes from one hash and the entry from another, so that words are told apart by
-    more bits as the input grows.
+    more bits as the input grows. `place` has every token's word, text by text.
     """
 
     def __init__(self, texts: list[bytes], train: list[bool], n_shards: int):
-        counts: Counter = Counter()
-        rest: set[bytes] = set()
-        for t, use in zip(texts, train, strict=True):
-            words = t.lower().split()
-            if use:
-                counts.update(words)
-                counts[b""] += 1
-            else:
-                rest.update(words)
-                rest.add(b"")
-        self.words = [*counts, *(w for w in rest if w not in counts)]
-        self.counts = np.zeros(len(self.words), np.int64)
-        self.counts[: len(counts)] = np.fromiter(counts.values(), np.int64, len(counts))
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        words, place, n = numbered_words(np.frombuffer((b" ".join(texts) + b" ").lower(), np.uint8), ends)
+        self.words = [*words, b""]
+        self.place = np.insert(place.astype(np.int64), np.cumsum(n), len(words))
+        self.n = n + 1
+        self.counts = np.bincount(self.place[np.repeat(np.array(train, bool), self.n)], minlength=len(self.words)).astype(np.int64)
         self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
         shard = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words)) % np.uint64(n_shards)
         self.dealt = list(A.deal(shard.astype(np.int64), n_shards))
 
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Each text's sum of its tokens' values."""
+        return np.add.reduceat(values[self.place], np.cumsum(self.n) - self.n) if len(self.n) else np.zeros(0)
+
 
 def by_kind(rows: pa.Table) -> dict[bytes, list[tuple[int, bytes]]]:
     """(g, rest of the blob) of each kind (first byte), ordered by g."""
@@ -270,7 +266,7 @@ def by_kind(rows: pa.Table) -> dict[bytes, list[tuple[int, bytes]]]:
 def shard_levels(sent: list[tuple[int, bytes]]) -> tuple[list[Level], list[np.ndarray]]:
     """Depths DEPTH to SPLIT of the groups' grams, and each group's places among the deepest entries."""
     parts = [unpack_grams(b) for _, b in sent]
-    keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)]))
+    keys = distinct(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)]))
     places, n = [], np.zeros(len(keys))
     for k, c in parts:
         at = np.searchsorted(keys, k)
@@ -403,15 +399,9 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_by
         c = np.zeros(len(tokens.words), np.int64)
         for s, places in tokens.dealt:
             c[places] = np.frombuffer(got[b"t", s], "<i8", -1, 1)
-        logs = np.log10(c + 1)
-        number = dict(zip(tokens.words, range(len(tokens.words)), strict=True))
-        out = {k: [] for k in schema.names[1:]}
-        for i, (x, use) in enumerate(zip(texts, train, strict=True)):
-            own = np.fromiter(map(number.__getitem__, [*x.lower().split(), b""]), np.int64)
-            told_ = (not use, len(own), int(np.count_nonzero(c[own])), float(logs[own].sum()), float(score[i]), -float(score[i]) / np.log10(2) / len(x) if x else None)
-            for k, v in zip(out, told_, strict=True):
-                out[k].append(v)
-        return pa.table({"doc_id": t["doc_id"], **out}, schema)
+        bits = [-x / np.log10(2) / len(t) if t else None for x, t in zip(score.tolist(), texts, strict=True)]
+        values = (t["doc_id"], pa.array([not use for use in train], pa.bool_()), tokens.n, tokens.sums((c > 0).astype(np.int64)), tokens.sums(np.log10(c + 1)), score, pa.array(bits, pa.float64()))
+        return pa.table(dict(zip(schema.names, values, strict=True)), schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
     to_bucket = "shard int, bucket int, blob binary"
