@@ -16,7 +16,7 @@ sha = lambda s: hashlib.sha256(s if isinstance(s, bytes) else s.encode()).hexdig
 
 def op1(docs, tokenizer, end_id=1):
     out, start = [], 0
-    for doc_id, text in sorted(docs):
+    for doc_id, text in sorted(docs, key=lambda x: (x[0] is not None, x[0], spark_hash(x[1]), x[1] or "")):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, end_id]
         out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -125,7 +125,12 @@ def op10(docs, n=400):
     return out
 
 
-def op8(docs, depth=6):
+def op8_rows(docs):
+    """(doc_id, n_tokens, score) of every row, also where doc_ids repeat."""
+    return op8(docs, as_rows=True)
+
+
+def op8(docs, depth=6, as_rows=False):
     """Base and context-tree scores, node by node."""
     import math
 
@@ -166,4 +171,134 @@ def op8(docs, depth=6):
             total += math.log10(p)
         return total
 
+    if as_rows:
+        return [(d, len(tokens(t)), score(t)) for d, t in docs]
     return {d: (out_of(d), len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(t)), score(t)) for d, t in docs}
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of strings, longs (int) and 32-bit integers (given as bytes), as a signed number; null is passed by."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v if isinstance(v, bytes) else v.to_bytes(8, "little", signed=True), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def op9(docs, max_repeats, block_tokens, key="quillmesh"):
+    """(src, doc_id, n_tokens, epoch, block, rank) of every draw; docs: (doc_id, text, source)."""
+    import math
+
+    rows = [("n" if s is None else f"s{s}", d, len(WORD.findall(t or "")) + 1, spark_hash(t)) for d, t, s in docs]
+    sizes = Counter()
+    for src, _, n, _ in rows:
+        sizes[src] += n
+    most, least = max(sizes.values()), min(sizes.values())
+    a = max(0.0, 1 - math.log(max_repeats) / math.log(most / least)) if most > least else 0.0
+    blocks = defaultdict(list)
+    for src, d, n, tie in rows:
+        blocks[src, spark_hash(key, src, d, tie) % max(1, math.ceil(sizes[src] / block_tokens))].append((d, n, tie))
+    out = []
+    for (src, block), held in blocks.items():
+        epochs = (most / sizes[src]) ** (1 - a) + 1e-9
+        whole = math.floor(epochs)
+        held.sort(key=lambda x: (spark_hash(key, whole.to_bytes(4, "little"), x[0], x[2]), x[0] is not None, x[0] or 0, x[2]))
+        budget, before = sum(n for _, n, _ in held) * (epochs - whole), 0
+        for d, n, tie in held:
+            times = whole + (before + n / 2 <= budget)
+            before += n
+            out += [(src, d, n, e, block, spark_hash(key, e.to_bytes(4, "little"), d, tie)) for e in range(times)]
+    return out
+
+
+DIGIT, LOWER, UPPER = ("0", 10), ("a", 26), ("A", 26)
+
+
+def op7(text, key):
+    """The text with pseudonyms, and how many of each kind."""
+    import datetime
+
+    from quillmesh.llm.pseudonyms import ANY, CARD_DIGITS, KINDS, PATTERNS  # the fixed patterns; the rest is made anew
+
+    def noise(kind, step, size, half):
+        return hashlib.sha512(f"{key}|{kind}|{step}|{size}|{half}".encode()).hexdigest()
+
+    def shifted(half, hexes):
+        out = []
+        for i, c in enumerate(half):
+            by = int(hexes[2 * (i % 64) : 2 * (i % 64) + 2], 16)
+            kind = DIGIT if "0" <= c <= "9" else LOWER if "a" <= c <= "z" else UPPER if "A" <= c <= "Z" else None
+            out.append(chr(ord(kind[0]) + (ord(c) - ord(kind[0]) + by) % kind[1]) if kind else c)
+        return "".join(out)
+
+    def chars(s, kind):
+        a, b = s[: len(s) // 2], s[len(s) // 2 :]
+        for r in range(1, 5):
+            a = shifted(a, noise(kind, 2 * r, len(s), b))
+            b = shifted(b, noise(kind, 2 * r + 1, len(s), a))
+        return a + b
+
+    def pair(v, n, m, kind):
+        a, b = divmod(v, m)
+        for r in range(1, 5):
+            a = (a + int(noise(kind, 2 * r, n, b)[:14], 16)) % n
+            b = (b + int(noise(kind, 2 * r + 1, m, a)[:14], 16)) % m
+        return a * m + b
+
+    only = lambda s: re.sub("[^0-9]", "", s)
+    luhn = lambda s, double: sum(sum(divmod(int(c) * (2 if (i + double) % 2 else 1), 10)) for i, c in enumerate(reversed(s)))
+
+    def refilled(old, digits):
+        it = iter(digits)
+        return "".join(next(it) if "0" <= c <= "9" else c for c in old)
+
+    def new(kind, v):
+        if kind == "email":
+            user, host = v.split("@")
+            return chars(user, kind) + "@" + host
+        if kind == "phone":
+            head = m[0] if (m := re.match(r"\+[0-9]{1,3}[ .-]?(?=\(?[0-9])", v)) else ""
+            return head + refilled(v[len(head) :], chars(only(v[len(head) :]), kind)) if 8 <= len(only(v)) <= 15 else None
+        if kind == "date":
+            form = "%Y-%m-%d" if "-" in v else "%d.%m.%Y" if "." in v else "%m/%d/%Y"
+            try:
+                n = (datetime.datetime.strptime(v, form).date() - datetime.date(1800, 1, 1)).days
+            except ValueError:
+                return None
+            if not 0 <= n < 146097:
+                return None
+            d = datetime.date(1800, 1, 1) + datetime.timedelta(pair(n, 189, 773, kind))
+            return form.replace("%Y", f"{d.year:04}").replace("%m", f"{d.month:02}").replace("%d", f"{d.day:02}")
+        if kind == "ssn":
+            area, group, serial = v.split("-")
+            if area in ("000", "666") or area >= "900" or group == "00" or serial == "0000":
+                return None
+            x = chars(group + serial, kind)
+            return f"{area}-{x[:2]}-{x[2:]}"
+        if kind == "ip":
+            o = [int(x) for x in v.split(".")]
+            if max(o) > 255:
+                return None
+            n = pair(int.from_bytes(bytes(o)), 65536, 65536, kind)
+            return ".".join(str(x) for x in n.to_bytes(4))
+        parts = re.findall("[ -]?[0-9]+", v)
+        spans = [(CARD_DIGITS.index(len(only("".join(parts[i:j])))), i, j) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1) if len(only("".join(parts[i:j]))) in CARD_DIGITS]
+        spans = [s for s in spans if luhn(only("".join(parts[s[1] : s[2]])), 0) % 10 == 0]
+        if not spans:
+            return None
+        _, i, j = min(spans)
+        old = "".join(parts[i:j])
+        digits = only(old)
+        body = digits[0] + chars(digits[1:-1], kind)
+        return "".join(parts[:i]) + refilled(old, body + str(-luhn(body, 1) % 10)) + "".join(parts[j:])
+
+    counts = Counter()
+
+    def put(m):
+        kind = next(k for k in PATTERNS if re.fullmatch(PATTERNS[k], m[0], re.A))
+        made = new(kind, m[0])
+        counts[kind] += made is not None
+        return m[0] if made is None else made
+
+    done = re.sub(ANY, put, text, flags=re.A) if text is not None else None
+    return (done, *(counts[k] for k in KINDS))
