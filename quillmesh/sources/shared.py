@@ -4,10 +4,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths made inside the innermost `passing` blocks.
+_MADE: list[list[str]] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is written to the shared folder inside the block goes with its end: results that read it must be written elsewhere by then."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            remove(spark, path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir).
 
@@ -21,7 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/quillmesh-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/quillmesh-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
