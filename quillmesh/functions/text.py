@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it.
 SPACES = r"(?U)\s+"
+#: A heading of level one, hashtags, links to pages, addresses, and what opens a page's header.
+HEADING = r"(?dm)^#\s+(.+)$"
+HASHTAG = r"(?:^|\s)#([a-zA-Z][a-zA-Z0-9_-]*)"
+WIKILINK = r"\[\[([^\]]+)\]\]"
+ADDRESS = r"https?://[^\s\)>\]]+"
+HEADER = r"(?s)\A\s*---\n(.+?)\n---\n?(.*)"
 
 
 def trimmed(text: Column) -> Column:
@@ -36,16 +42,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
 
 
-def strip_code_fences(body: Column) -> Column:
-    """Drops fence lines and what stands between them; every line that stays ends in a newline."""
+#: A fence line, the lines up to the next one, and that one; possessive, so that long texts need no stack.
+FENCED = r"(?Udm)^[^\S\n]*+```[^\n]*+\n(?:(?![^\S\n]*+```)[^\n]*+\n)*+(?:[^\S\n]*+```[^\n]*+\n)?+"
 
-    def step(acc: Column, line: Column) -> Column:
-        fence = trimmed(line).startswith("```")
-        out = F.when(fence | acc["inside"], acc["out"]).otherwise(F.concat(acc["out"], line, F.lit("\n")))
-        return F.struct((acc["inside"] != fence).alias("inside"), out.alias("out"))
 
-    start = F.struct(F.lit(False).alias("inside"), F.lit("").alias("out"))
-    return F.aggregate(F.split(body, "\n", -1), start, step, lambda acc: acc["out"])
+def strip_code_fences(body: Column) -> Column:
+    """Drops fence lines and what stands between them; every line that stays ends in a newline."""
+    return F.regexp_replace(F.concat(body, F.lit("\n")), FENCED, "")
 
 
 def strip_code(body: Column) -> Column:
@@ -58,25 +61,25 @@ def strip_code(body: Column) -> Column:
 
 def extract_title(body: Column, base: Column) -> Column:
     """First heading of level one outside fences, else the file's name."""
-    heading = F.regexp_extract(strip_code_fences(body), r"(?dm)^#\s+(.+)$", 1)
+    heading = F.regexp_extract(strip_code_fences(body), HEADING, 1)
     named = trimmed(F.regexp_replace(base, "[-_]", " "))
     return F.when(heading == "", named).otherwise(trimmed(heading))
 
 
 def extract_hashtags(body: Column) -> Column:
-    found = F.regexp_extract_all(strip_code_fences(body), F.lit(r"(?:^|\s)#([a-zA-Z][a-zA-Z0-9_-]*)"), F.lit(1))
+    found = F.regexp_extract_all(strip_code_fences(body), F.lit(HASHTAG), F.lit(1))
     return F.array_distinct(F.transform(found, F.lower))
 
 
 def extract_wikilinks(body: Column) -> Column:
     """Distinct slugs of [[links]] outside code, as edges of type related-to and strength 0.5."""
-    found = F.regexp_extract_all(strip_code(body), F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1))
+    found = F.regexp_extract_all(strip_code(body), F.lit(WIKILINK), F.lit(1))
     slugs = F.array_distinct(F.transform(found, slugify))
     return F.transform(slugs, lambda s: F.struct(s.alias("target"), F.lit("related-to").alias("type"), F.lit(0.5).alias("strength")))
 
 
 def extract_urls(body: Column) -> Column:
-    found = F.regexp_extract_all(body, F.lit(r"https?://[^\s\)>\]]+"), F.lit(0))
+    found = F.regexp_extract_all(body, F.lit(ADDRESS), F.lit(0))
     return F.array_distinct(F.transform(found, lambda u: F.rtrim(u, F.lit(".,;:!?"))))
 
 
@@ -98,8 +101,13 @@ def body_preview(body: Column, n: int) -> Column:
     return F.when(F.size(words(body)) <= n, body).otherwise(F.array_join(F.slice(words(body), 1, n), " "))
 
 
+def first_bytes(text: Column, n: int) -> Column:
+    """What the first n bytes of the UTF-8 text decode to."""
+    return F.decode(F.substring(F.encode(text, "UTF-8"), 1, n), "UTF-8")
+
+
 def truncated(text: Column, n: int) -> Column:
-    return F.when(F.octet_length(text) <= n, text).otherwise(F.concat(F.substring(text, 1, n), F.lit("...")))
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.concat(first_bytes(text, n), F.lit("...")))
 
 
 def one_line(text: Column) -> Column:
@@ -125,7 +133,7 @@ def embedding_text(title: Column, body: Column) -> Column:
 
 
 def has_frontmatter(text: Column) -> Column:
-    return text.rlike(r"(?s)\A\s*---\n(.+?)\n---\n?(.*)")
+    return text.rlike(HEADER)
 
 
 def is_entity_type(kind: Column) -> Column:

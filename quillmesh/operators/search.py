@@ -1,57 +1,63 @@
 """Ranked search: weighted fuzzy matches over seven fields, decay, embeddings and reranking.
 
 A query is a column expression over the pages, so a search is one scan: filter and top-k are
-Catalyst's. A batch of queries meets the pages in a join with the queries broadcast, which is
-done only up to MAX_QUERIES of them; more are an error, to be run in blocks.
+Catalyst's. The fields' matches are one expression, which the optimizer copies once, into the
+filter above the scan. A batch of queries is compared with the distinct
+values of all pages, BLOCK queries at a time, and the matches meet the pages by value.
 """
 
 from __future__ import annotations
 
+import logging
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.matching import best_of, best_word, match_type, type_score
+from quillmesh.functions.matching import best_match, code_score, code_type, distinct_words, match_code
 from quillmesh.functions.temporal import multiplier
 from quillmesh.functions.vectors import blended, cosine, unit_score
 from quillmesh.schema import MATCH
+from quillmesh.sources.shared import written
 
 #: Weight of a match in each field, in the order in which they are added up.
 WEIGHTS = {"title": 7, "entity-name": 10, "alias": 8, "tag": 5, "semantic-hint": 3, "relationship-target": 2, "body": 1}
 RERANKED = 20
 EMBEDDING_WEIGHT = 0.3
-MAX_QUERIES = 1000
+#: Queries that are broadcast at once.
+BLOCK = 1000
 
 
 def normalised(query: str) -> str:
     return query.strip().lower()
 
 
-def field_matches(query: Column) -> dict[str, Column]:
-    """struct(value, type) of the best match in each field; null where there is none."""
-    title = match_type(query, F.col("title"))
+def field_values() -> dict[str, Column]:
+    """The values of each field."""
     return {
-        "title": F.when(title.isNotNull(), F.struct(F.col("title").alias("value"), title.alias("type"))),
-        "entity-name": best_of(query, F.col("entities.name")),
-        "alias": best_of(query, F.flatten("entities.aliases")),
-        "tag": best_of(query, F.col("tags")),
-        "semantic-hint": best_of(query, F.col("semantic_hints")),
-        "relationship-target": best_of(query, F.col("relationships.target")),
-        "body": best_word(query, F.col("body")),
-    }
+        "title": F.array("title"), "entity-name": F.col("entities.name"), "alias": F.flatten("entities.aliases"), "tag": F.col("tags"),
+        "semantic-hint": F.col("semantic_hints"), "relationship-target": F.col("relationships.target"), "body": distinct_words(F.col("body")),
+    }
+
+
+def keyword_score(code_of) -> Column:
+    """The weighted sum of the fields' matches, added up in the fields' order. code_of(field): the code of its best match."""
+    return reduce(lambda total, f: total + F.lit(float(WEIGHTS[f])) * code_score(code_of(f)), WEIGHTS, F.lit(0.0))
 
 
 def scored(pages: DataFrame, query: Column) -> DataFrame:
     """pages with `keyword` (weighted sum) and `matches` (field, value, type of each field that matches)."""
-    found = pages.select("*", *(m.alias(f"__{i}") for i, m in enumerate(field_matches(query).values())))
-    keyword = F.lit(0.0)
-    parts = []
-    for i, (field, weight) in enumerate(WEIGHTS.items()):
-        m = F.col(f"__{i}")
-        keyword = keyword + F.lit(float(weight)) * type_score(m["type"])
-        parts.append(F.when(m.isNotNull(), F.struct(F.lit(field).alias("field"), m["value"].alias("value"), m["type"].alias("type"))))
-    matches = F.array_compact(F.array(*parts)).cast(f"array<{MATCH.simpleString()}>")
-    return found.withColumns({"keyword": keyword, "matches": matches}).drop(*(f"__{i}" for i in range(len(WEIGHTS))))
+    best = F.struct(*(best_match(query, values).alias(f"m{i}") for i, values in enumerate(field_values().values())))
+    place = {f: f"m{i}" for i, f in enumerate(WEIGHTS)}
+
+    def told(b: Column) -> Column:
+        parts = [F.when(b[m].isNotNull(), F.struct(F.lit(f).alias("field"), b[m]["value"].alias("value"), code_type(b[m]["code"]).alias("type"))) for f, m in place.items()]
+        return F.struct(keyword_score(lambda f: b[place[f]]["code"]).alias("keyword"), F.array_compact(F.array(*parts)).cast(f"array<{MATCH.simpleString()}>").alias("matches"))
+
+    # The matches are bound as an element, so that every use of one is the same comparison.
+    found = pages.withColumn("__found", F.transform(F.array(best), told)[0])
+    return found.withColumns({"keyword": F.col("__found.keyword"), "matches": F.col("__found.matches")}).drop("__found")
 
 
 def ordered(results: DataFrame) -> DataFrame:
@@ -87,44 +93,67 @@ def reranked(found: DataFrame, query: str, reranker, top: int = RERANKED) -> Dat
     """The first `top` results in the reranker's order (place) and with its scores, then the rest as they were.
 
     reranker(query, ids, texts, scores) gives (index, score) pairs, best first; what it leaves out is dropped.
-    The head is at most `top` rows, so it fits one task.
+    Where it fails, the failure is logged and the results stay as they were. The head is at most
+    `top` rows, so it fits one task.
     """
+    found = written(found)  # one scoring for the head, its rows and the rest
     head = ordered(found).limit(top)
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values(["score", "title", "id"], ascending=[False, True, True], kind="stable")
-        order = reranker(query, batch["id"].tolist(), batch["body"].tolist(), batch["score"].tolist())
-        return pd.DataFrame({"id": pd.Series([batch["id"].iloc[i] for i, _ in order], dtype=object), "__score": [float(s) for _, s in order], "place": range(len(order))})
-
-    ranks = head.select("id", "title", "body", "score").groupBy().applyInPandas(run, "id string, __score double, place int")
+        try:
+            order = reranker(query, batch["id"].tolist(), batch["body"].tolist(), batch["score"].tolist())
+            order, failed = [(int(i), float(s)) for i, s in order], False
+        except Exception as e:  # noqa: BLE001  whatever a model does, the search still has its results
+            logging.getLogger(__name__).warning("the reranker failed, results stay as they were: %s", e)
+            order, failed = list(enumerate(batch["score"].tolist())), True
+        return pd.DataFrame({"id": pd.Series([batch["id"].iloc[i] for i, _ in order], dtype=object), "__score": [s for _, s in order], "place": range(len(order)), "__failed": failed})
+
+    ranks = head.select("id", "title", "body", "score").groupBy().applyInPandas(run, "id string, __score double, place int, __failed boolean")
     no_matches = F.array().cast(f"array<{MATCH.simpleString()}>")
-    top_rows = found.join(ranks, "id").withColumns({"score": F.col("__score"), "matches": no_matches}).drop("__score")
+    top_rows = found.join(ranks, "id").withColumns({"score": F.col("__score"), "matches": F.when(F.col("__failed"), F.col("matches")).otherwise(no_matches)}).drop("__score", "__failed")
     rest = found.join(head.select("id"), "id", "left_anti").withColumn("place", F.lit(top))
     return top_rows.select(*rest.columns).unionByName(rest)
 
 
+def value_matches(values: DataFrame, queries: DataFrame) -> DataFrame:
+    """values: (value), lower-case; queries: (query_id, q). query_id, value, code of every match, with the queries broadcast BLOCK by BLOCK."""
+    n = queries.count()
+    blocks = 1 if n <= BLOCK else -(-2 * n // BLOCK)  # half full on average, as they are dealt by hash
+    parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries for i in range(blocks)]
+    compared = [values.crossJoin(F.broadcast(p.select("query_id", "q"))).select("query_id", "value", match_code(F.col("q"), F.col("value")).alias("code")) for p in parts]
+    return reduce(DataFrame.unionByName, compared).where("code IS NOT NULL")
+
+
 def search_many(pages: DataFrame, queries: DataFrame, now: Column, per_query: int = 0) -> DataFrame:
-    """queries: (query_id, query). query_id, rank, id, title, score, best first within each query."""
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; run them in blocks")
-    asked = queries.where("query <> ''").select("query_id", F.lower(F.trim("query")).alias("__q"))
-    found = scored(pages.crossJoin(F.broadcast(asked)), F.col("__q")).where("keyword > 0")
+    """queries: (query_id, query). query_id, rank, id, title, score, best first within each query. Pages are told apart by id."""
+    asked = queries.where("query <> ''").select("query_id", F.lower(F.trim("query")).alias("q"))
     t = F.col("temporal")
-    found = found.withColumn("score", F.col("keyword") * multiplier(F.col("confidence"), t["decay_rate"], t["last_verified"], now))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "title", "id")))
+    about = pages.select("id", "title", multiplier(F.col("confidence"), t["decay_rate"], t["last_verified"], now).alias("decay"))
+
+    def numbered(field: int):
+        return lambda x, i: F.struct(F.lit(field).alias("field"), i.alias("place"), F.lower(x).alias("value"))
+
+    values = F.concat(*(F.transform(v, numbered(f)) for f, v in enumerate(field_values().values())))
+    held = written(pages.select("id", F.inline(values)))
+    found = held.join(value_matches(held.select("value").distinct(), asked), "value")
+    best = found.groupBy("query_id", "id").agg(*(F.min(F.when(F.col("field") == i, F.col("code"))).alias(f"__{i}") for i in range(len(WEIGHTS))))
+    place = {f: F.col(f"__{i}") for i, f in enumerate(WEIGHTS)}
+    results = best.select("query_id", "id", keyword_score(place.__getitem__).alias("keyword")).join(about, "id").withColumn("score", F.col("keyword") * F.col("decay"))
+    ranked = results.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "title", "id")))
     out = ranked.select("query_id", "rank", "id", "title", "score")
     return out.where(F.col("rank") <= per_query) if per_query else out
 
 
 def for_llm(results: DataFrame) -> DataFrame:
     """results with `text`: title, confidence, edges, hints and the start of the body, for a prompt."""
-    from quillmesh.functions.text import trimmed
+    from quillmesh.functions.text import first_bytes, trimmed
 
     kind = F.when(F.col("entity_type") == "", "").otherwise(F.format_string(" (%s)", "entity_type"))
     edges = F.array_join(F.transform("relationships", lambda r: F.concat(r["target"], F.lit(" ("), r["type"], F.lit(")"))), ", ")
     hints = F.array_join("semantic_hints", ", ")
     body = trimmed(F.col("body"))
-    excerpt = F.decode(F.substring(F.encode(body, "UTF-8"), 1, 500), "UTF-8")
+    excerpt = first_bytes(body, 500)
     text = F.concat(
         F.lit("# "), F.col("title"), kind, F.lit("\n"), F.format_string("Confidence: %.2f\n", "confidence"),
         F.when(F.size("relationships") > 0, F.concat(F.lit("Relationships: "), edges, F.lit("\n"))).otherwise(""),
