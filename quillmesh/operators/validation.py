@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmesh.schema import ISSUE
 
 Rule = Callable[[], Column]
+#: Fixed value: which strings count as dates.
 DATE = r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])$"
 
 
@@ -29,20 +30,20 @@ def number(x: Column) -> Column:
 
 def required_fields() -> Column:
     names = (("id", "id"), ("title", "title"), ("entity_type", "entity-type"))
-    return only(*((F.col(c) == "", issue(F.lit(n), F.lit(f"{n} is required"), f"add a non-empty '{n}' field to the frontmatter")) for c, n in names))
+    return only(*((F.col(c) == "", issue(F.lit(n), F.lit(f"the page has no {n}"), f"give the page's header a {n}")) for c, n in names))
 
 
 def confidence_range() -> Column:
     c = F.col("confidence")
-    return only(((c < 0) | (c > 1), issue(F.lit("confidence"), F.concat(F.lit("confidence must be in [0, 1], got "), number(c)), "set confidence to a value between 0.0 and 1.0")))
+    return only(((c < 0) | (c > 1), issue(F.lit("confidence"), F.concat(F.lit("a confidence lies between 0 and 1, not at "), number(c)), "choose a share from 0 to 1")))
 
 
 def relationships() -> Column:
     def of(r: Column, i: Column) -> Column:
         at = lambda part: F.concat(F.lit("relationships["), i.cast("string"), F.lit(f"].{part}"))
-        missing = [(r[p] == "", issue(at(p), F.lit(f"relationship {p} is required"), f"set a non-empty '{p}' for the relationship")) for p in ("target", "type")]
+        missing = [(r[p] == "", issue(at(p), F.lit(f"this edge has no {p}"), f"name the edge's {p} or drop the edge")) for p in ("target", "type")]
         s = r["strength"]
-        return only(*missing, ((s < 0) | (s > 1), issue(at("strength"), F.concat(F.lit("relationship strength must be in [0, 1], got "), number(s)), "set strength to a value between 0.0 and 1.0")))
+        return only(*missing, ((s < 0) | (s > 1), issue(at("strength"), F.concat(F.lit("an edge's strength lies between 0 and 1, not at "), number(s)), "choose a share from 0 to 1")))
 
     return F.flatten(F.transform("relationships", of))
 
@@ -50,19 +51,19 @@ def relationships() -> Column:
 def temporal_dates() -> Column:
     def of(column: str) -> tuple[Column, Column]:
         name, value = column.replace("_", "-"), F.col(f"temporal.{column}")
-        return (value != "") & ~value.rlike(DATE), issue(F.lit(f"temporal.{name}"), F.concat(F.lit(f'{name} must be in YYYY-MM-DD format, got "'), value, F.lit('"')), "use YYYY-MM-DD date format (e.g. 2024-01-15)")
+        return (value != "") & ~value.rlike(DATE), issue(F.lit(f"temporal.{name}"), F.concat(F.lit("no date (year-month-day): "), value), "write the day like 2024-01-31, or nothing")
 
     return only(*map(of, ("valid_from", "valid_until", "last_verified")))
 
 
 def entity_names() -> Column:
-    of = lambda e, i: only((e["name"] == "", issue(F.concat(F.lit("entities["), i.cast("string"), F.lit("].name")), F.lit("entity name must not be empty"), "set a non-empty 'name' for the entity")))
+    of = lambda e, i: only((e["name"] == "", issue(F.concat(F.lit("entities["), i.cast("string"), F.lit("].name")), F.lit("this entity has no name"), "name the entity or drop it")))
     return F.flatten(F.transform("entities", of))
 
 
 def decay_rate() -> Column:
     r = F.col("temporal.decay_rate")
-    return only((r < 0, issue(F.lit("temporal.decay-rate"), F.concat(F.lit("decay-rate must be non-negative, got "), number(r)), "set decay-rate to 0 or a positive value")))
+    return only((r < 0, issue(F.lit("temporal.decay-rate"), F.concat(F.lit("a rate of decay is not below 0: "), number(r)), "use 0 for what does not age")))
 
 
 RULES: list[Rule] = [required_fields, confidence_range, relationships, temporal_dates, entity_names, decay_rate]
