@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import asdict, dataclass, field, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from quillmesh.functions.text import content_hash, embedding_text, strip_fence
 from quillmesh.operators import enrich, models, search, traverse, validation
 from quillmesh.operators.graph import KnowledgeGraph
 from quillmesh.sources import markdown, store
+from quillmesh.sources.shared import written
 
 PREFILTER = 20
 
@@ -55,6 +56,29 @@ class Settings:
         return out
 
 
+    @classmethod
+    def of_files(cls, *paths: str, environment: dict | None = None) -> Settings:
+        """The cascade of YAML files, global before local; one that is not there is empty."""
+        import yaml
+
+        layers = []
+        for path in paths:
+            if os.path.exists(path):
+                with open(path, encoding="utf-8") as f:
+                    held = yaml.safe_load(f) or {}
+                if not isinstance(held, dict):
+                    raise ValueError(f"{path} holds no settings")
+                layers.append({str(k).replace("-", "_"): v for k, v in held.items() if v is not None})
+        return cls.cascade(*layers, environment=environment)
+
+    def save(self, path: str) -> None:
+        """Those that differ from the defaults, as YAML."""
+        import yaml
+
+        mine = {k: list(v) if isinstance(v, tuple) else v for k, v in asdict(self).items() if v != getattr(Settings(), k)}
+        markdown.write_file(path, yaml.safe_dump(mine, sort_keys=True))
+
+
 class Engine:
     def __init__(self, spark: SparkSession, pages: DataFrame, warnings: DataFrame | None = None, settings: Settings | None = None, vectors: DataFrame | None = None, embed: models.Embed | None = None, reranker=None):
         self.spark, self.settings, self.vectors, self.embed, self.reranker = spark, settings or Settings(), vectors, embed or models.HashEmbedder(64), reranker
@@ -138,15 +162,14 @@ class Engine:
     def reason(self, question: str, chat: models.Chat, max_pages: int = PREFILTER, now: Column | None = None) -> DataFrame:
         """Pages that a chat model picks out of a summary of the graph around the best matches, with `place`.
 
-        The summary is at most the neighbourhood of max_pages pages. Where nothing matches the
+        The summary is the whole neighbourhood of the best max_pages pages, as the prompt needs it. Where nothing matches the
         question the model sees the first max_pages pages, and not the whole graph.
         """
         pages = self.graph.pages
         if pages.limit(max_pages + 1).count() > max_pages:
             seeds = self.search(question, limit=max_pages, now=now).select("id")
-            around = traverse.grown(self.graph, seeds).limit(10 * max_pages)
-            ids = [r["id"] for r in around.collect()] or [r["id"] for r in self.graph.filtered(max_pages=max_pages).select("id").collect()]
-            nodes = self.graph.summary_nodes(page_ids=ids)
+            around = written(traverse.grown(self.graph, seeds))
+            nodes = self.graph.summary_nodes(max_pages=max_pages) if around.isEmpty() else self.graph.summary_nodes(page_ids=around)
         else:
             nodes = self.graph.summary_nodes()
         told = "\n".join(r["j"] for r in nodes.select(F.to_json(F.struct("*")).alias("j")).collect())
@@ -163,9 +186,20 @@ class Engine:
         return self.graph.export()
 
 
+def ignore_store(root: str, entry: str = f"{markdown.PRUNED}/") -> None:
+    """Adds the store's folder to the ignore file of a knowledge base under version control, once."""
+    path, held = os.path.join(root, ".gitignore"), ""
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            held = f.read()
+    if entry not in map(str.strip, held.split("\n")):
+        markdown.write_file(path, held + ("" if held.endswith("\n") or not held else "\n") + f"{entry}\n")
+
+
 def scaffold(root: str) -> None:
     """A small knowledge base to start from."""
     os.makedirs(root, exist_ok=True)
+    ignore_store(root)
     pages = {
         "welcome": {"id": "welcome", "title": "Welcome", "entity_type": "document", "confidence": 1.0, "relationships": [{"target": "first-topic", "type": "introduces", "strength": 0.8}]},
         "first-topic": {"id": "first-topic", "title": "First topic", "entity_type": "concept", "confidence": 0.8, "tags": ["sample"]},

@@ -93,7 +93,7 @@ class KnowledgeGraph:
     @cached_property
     def dangling(self) -> DataFrame:
         """Unresolved edges: target, src, semantic."""
-        return self.declared.where(~F.col("resolved")).select("target", "src", "semantic")
+        return self.declared.where(~F.col("resolved")).select("target", "src", "semantic").orderBy("target", "src")
 
     def get(self, page_id: str) -> DataFrame:
         return self.pages.where(F.col("id") == page_id)
@@ -125,10 +125,12 @@ class KnowledgeGraph:
         edges = self.edges.agg(F.count(F.lit(1)).alias("relationships"))
         return self.pages.agg(F.count(F.lit(1)).alias("pages")).crossJoin(names).crossJoin(edges).crossJoin(tags)
 
-    def filtered(self, page_ids: list[str] | None = None, entity_type: str = "", tag: str = "", max_pages: int = 0) -> DataFrame:
-        """Pages that pass all filters (an empty one is off), then the first max_pages by id."""
+    def filtered(self, page_ids: list[str] | DataFrame | None = None, entity_type: str = "", tag: str = "", max_pages: int = 0) -> DataFrame:
+        """Pages that pass all filters (an empty one is off, but for a frame of ids), then the first max_pages by id."""
         pages = self.pages
-        if page_ids:
+        if isinstance(page_ids, DataFrame):
+            pages = pages.join(page_ids.select("id").distinct(), "id", "left_semi")
+        elif page_ids:
             pages = pages.where(F.col("id").isin(page_ids))
         if entity_type:
             pages = pages.where(F.col("entity_type") == entity_type)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.operators.enrich import SPO_STRENGTH, TYPE_PRIORITY, UNKNOWN_PRIORITY
+from quillmesh.operators.enrich import SPO_STRENGTH, TRIPLE_STRENGTH, TYPE_PRIORITY, UNKNOWN_PRIORITY
 
 BATCH = 100
 Embed = Callable[[Sequence[str]], Sequence[Sequence[float]]]
@@ -142,14 +142,46 @@ def most_frequent(roles: Sequence[str]) -> str:
     return min(counts, key=lambda r: (-counts[r], TYPE_PRIORITY.get(r, UNKNOWN_PRIORITY), r), default="").lower()
 
 
-def parse_extraction(text: str) -> dict:
-    """entity_type, summary, entities (name, role) and relationships (target, type, strength) of a model's answer."""
+def parse_object(text: str) -> dict:
+    """The JSON object of an answer, mended if it must be; ParseError with the answer's start."""
     try:
         raw = json.loads(repaired(unfenced(text)))
         if not isinstance(raw, dict):
             raise ValueError("not an object")
     except ValueError as e:
         raise ParseError(f"{e}\nraw: {text[:500]}") from e
+    return raw
+
+
+def parse_generic(text: str) -> dict:
+    """An answer that already has the result's own fields."""
+    raw = parse_object(text)
+    strings = lambda rows: [str(x) for x in rows or [] if isinstance(x, str)]
+    objects = lambda rows: [x for x in rows or [] if isinstance(x, dict)]
+    entities = [{"name": scalar(e.get("name")).strip(), "role": scalar(e.get("role") or e.get("type")).strip()} for e in objects(raw.get("entities"))]
+    edges = [{"target": scalar(r.get("target")).strip(), "type": scalar(r.get("type")).strip(), "strength": float(r.get("strength") or 0)} for r in objects(raw.get("relationships"))]
+    return {"entity_type": scalar(raw.get("entity_type")).strip().lower(), "summary": scalar(raw.get("summary")).strip(), "entities": entities, "relationships": edges, "semantic_hints": strings(raw.get("semantic_hints")), "possible_questions": strings(raw.get("possible_questions"))}
+
+
+def parse_triples(text: str) -> dict:
+    """An answer with `entities_and_triples`: "[n], TYPE:name" items, and "(n, predicate, m)" items between them."""
+    items = [x for x in parse_object(text).get("entities_and_triples") or [] if isinstance(x, str)]
+    names, entities, edges = {}, [], []
+    for m in filter(None, (re.match(r"\[(.*?)\], ([^:]*):(.*)$", x, re.S) for x in items)):
+        names[m[1]] = m[3].strip()
+        entities.append({"name": m[3].strip(), "role": m[2].strip()})
+    for x in items:
+        parts = [p.strip() for p in x.removeprefix("(").removesuffix(")").split(", ")] if x.startswith("(") else []
+        if len(parts) == 3 and parts[0] in names and parts[2] in names:
+            edges.append({"target": names[parts[2]], "type": parts[1], "strength": TRIPLE_STRENGTH})
+    counts = Counter(e["role"] for e in entities)
+    kind = min(counts, key=lambda r: (-counts[r], r), default="")
+    return {"entity_type": kind.lower(), "summary": "", "entities": entities, "relationships": edges}
+
+
+def parse_extraction(text: str) -> dict:
+    """entity_type, summary, entities (name, role) and relationships (target, type, strength) of a model's answer with subject, predicate and object; either list may be missing."""
+    raw = parse_object(text)
     entities = [{"name": str(e.get("name") or "").strip(), "role": scalar(e.get("type")).strip()} for e in raw.get("entities") or [] if isinstance(e, dict)]
     entities = [e for e in entities if e["name"]]
     known = {e["name"].lower(): e["name"] for e in entities}
@@ -166,15 +198,33 @@ def parse_extraction(text: str) -> dict:
 EXTRACTION = "entity_type string, summary string, entities array<struct<name:string,role:string>>, relationships array<struct<target:string,type:string,strength:double>>"
 
 
-def extracted(docs: DataFrame, chat: Chat, prompt: str = "") -> DataFrame:
-    """docs: (id, body). id, status (ok, parse-error, model-error), error, and the fields of EXTRACTION."""
+#: Parsers of the shapes of an answer.
+PARSERS: dict[str, Callable[[str], dict]] = {"spo": parse_extraction, "generic": parse_generic, "triples": parse_triples}
+_FIELDS = ("entity_type", "summary", "entities", "relationships")
+
+
+def is_two_part_model(name: str) -> bool:
+    """Whether a model of this name is asked for entities and relationships in its own form."""
+    return name.lower().rsplit("/", 1)[-1].startswith(TEMPLATE_MODELS)
+
+
+#: Fixed value: how the names of models begin that fill templates.
+TEMPLATE_MODELS = "nuextract-2.0-"
+
+
+def extracted(docs: DataFrame, chat: Chat, prompt: str = "", shape: str = "spo") -> DataFrame:
+    """docs: (id, body). id, status (ok, parse-error, model-error), error, and the fields of EXTRACTION.
+
+    shape: which of PARSERS reads the answer.
+    """
+    parse = PARSERS[shape]
 
     def run(batches):
         for pdf in batches:
             rows = []
             for i, body in zip(pdf["id"], pdf["body"], strict=True):
                 try:
-                    rows.append({"id": i, "status": "ok", "error": "", **parse_extraction(chat(prompt, body))})
+                    rows.append({"id": i, "status": "ok", "error": "", **{k: v for k, v in parse(chat(prompt, body)).items() if k in _FIELDS}})
                 except Exception as e:  # one failed row must not lose the others
                     rows.append({"id": i, "status": "parse-error" if isinstance(e, ParseError) else "model-error", "error": str(e), "entity_type": "", "summary": "", "entities": [], "relationships": []})
             yield pd.DataFrame(rows)

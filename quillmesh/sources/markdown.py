@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -227,10 +228,11 @@ def replaced(page: dict, text: str) -> str:
 
 
 def write_file(path: str, text: str) -> None:
-    """Whole or not at all."""
-    with open(path + ".tmp", "w", encoding="utf-8", newline="") as f:
+    """Whole or not at all, also where two attempts of a task write it."""
+    made = f"{path}.{uuid.uuid4().hex}.tmp"
+    with open(made, "w", encoding="utf-8", newline="") as f:
         f.write(text)
-    os.replace(path + ".tmp", path)
+    os.replace(made, path)
 
 
 def scan(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
@@ -261,13 +263,18 @@ def load(spark: SparkSession, root: str, pattern: str = "*.md", ignore_errors: b
     auto_enrich: files that can't be read strictly are read permissively and get what can be
     extracted from them; nothing is written back, that is a sink's work.
     """
+    files = scan(spark, root, pattern)
+    if not ignore_errors and not auto_enrich and (first := parsed(files).where("error <> ''").select("source_path", "error").first()):
+        raise ValueError(f"{first['source_path']}: {first['error']}")
+    return read_pages(files, root, auto_enrich)
+
+
+def read_pages(files: DataFrame, root: str, auto_enrich: bool = False) -> tuple[DataFrame, DataFrame]:
+    """pages and warnings (path, message) of (path, text)."""
     from quillmesh.operators.enrich import merge_frontmatter, tier1
 
-    files = scan(spark, root, pattern)
     strict = parsed(files)
     bad = strict.where("error <> ''")
-    if not ignore_errors and not auto_enrich and (first := bad.select("source_path", "error").first()):
-        raise ValueError(f"{first['source_path']}: {first['error']}")
     pages = strict.where("error = ''").drop("error")
     warnings = bad.select(F.col("source_path").alias("path"), F.col("error").alias("message"))
     if auto_enrich:
@@ -289,6 +296,59 @@ def rendered(pages: DataFrame) -> DataFrame:
     return pages.select(*names).mapInPandas(run, "path string, text string")
 
 
+def replaced_in(pages: DataFrame) -> DataFrame:
+    """pages: PAGE's columns, ord and the file's text. (ord, text): the file with its frontmatter replaced by the page's."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = pdf.to_dict("records")
+            yield pd.DataFrame({"ord": [r["ord"] for r in rows], "text": [replaced(r, r["text"]) for r in rows]})
+
+    return pages.mapInPandas(run, "ord int, text string")
+
+
+def dry_run(pages: DataFrame) -> DataFrame:
+    """(path, text): what would stand in each page's frontmatter, under its path; nothing is written."""
+    names = [f.name for f in PAGE]
+
+    def run(batches):
+        for pdf in batches:
+            rows = pdf.to_dict("records")
+            yield pd.DataFrame({"path": [r["source_path"] for r in rows], "text": [f"--- {r['source_path']} ---\n{frontmatter(r)}\n" for r in rows]})
+
+    return pages.select(*names).mapInPandas(run, "path string, text string")
+
+
+def read_file(path: str, strict: bool = True) -> dict:
+    """One file as a page's fields."""
+    with open(path, encoding="utf-8", newline="") as f:
+        return read(f, strict) | {"source_path": path}
+
+
+def read(stream, strict: bool = True) -> dict:
+    """What a text stream holds, as a page's fields."""
+    return parse(stream.read(), strict) | {"source_path": ""}
+
+
+def enriched_files(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
+    """(path, text) of the files that only read permissively, with the frontmatter that can be extracted: the write-back of `load`'s auto_enrich, for write_files."""
+    from quillmesh.operators.enrich import merge_frontmatter, tier1
+
+    files = scan(spark, root, pattern)
+    bad = parsed(files).where("error <> ''").select(F.col("source_path").alias("path"))
+    again = parsed(files.join(bad, "path", "left_semi"), strict=False).where("error = ''").drop("error")
+    filled = merge_frontmatter(tier1(again, root)).drop("extracted")
+    held = filled.join(files.withColumnRenamed("path", "source_path"), "source_path")
+    names = [f.name for f in PAGE]
+
+    def run(batches):
+        for pdf in batches:
+            rows = pdf.to_dict("records")
+            yield pd.DataFrame({"path": [r["source_path"] for r in rows], "text": [replaced(r, r["text"]) for r in rows]})
+
+    return held.select(*names, "text").mapInPandas(run, "path string, text string")
+
+
 def write_files(files: DataFrame, root: str) -> None:
     """Writes (path, text) below a root that all executors share; each file is replaced as a whole, so a task may run twice."""
 

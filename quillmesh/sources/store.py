@@ -19,13 +19,13 @@ def stale(current: DataFrame, cached: DataFrame) -> DataFrame:
     """(path, status): changed, added or removed, by the full outer join of two checksum tables."""
     both = current.select("path", F.col("sha256").alias("now")).join(cached.select("path", F.col("sha256").alias("then")), "path", "full")
     status = F.when(F.col("then").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("now") != F.col("then"), "changed")
-    return both.select("path", status.alias("status")).where("status IS NOT NULL")
+    return both.select("path", status.alias("status")).where("status IS NOT NULL").orderBy("path")
 
 
 def pending(pages: DataFrame, vectors: DataFrame) -> DataFrame:
     """(id, content_hash) of pages without a vector of their present content; an empty hash is always pending."""
     held = vectors.where(F.size("embedding") > 0).select("id", "content_hash").distinct()
-    return pages.select("id", "content_hash").join(held.where("content_hash <> ''"), ["id", "content_hash"], "left_anti")
+    return pages.select("id", "content_hash").join(held.where("content_hash <> ''"), ["id", "content_hash"], "left_anti").orderBy("id")
 
 
 def embed_status(pages: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -51,6 +51,69 @@ class Store:
     def checksums(self) -> DataFrame:
         return self.spark.read.schema(CHECKSUMS).parquet(f"{self.root}/checksums")
 
+    def load(self, root: str, pattern: str = "*.md", auto_enrich: bool = False) -> tuple[DataFrame, DataFrame]:
+        """pages and warnings of a folder; only files that changed since the last `load` are parsed again.
+
+        Files go by their checksum: pages of files that are as they were come from the store,
+        those of files that are gone stay out. Both tables are written anew as a next version,
+        which `current` names once it is whole.
+        """
+        from quillmesh.sources import markdown
+
+        files = markdown.scan(self.spark, root, pattern)
+        now = checksums(files)
+        held = self._current()
+        if held is None:
+            pages, warnings = markdown.load(self.spark, root, pattern, auto_enrich=auto_enrich)
+            self._next(pages, now)
+            return self.spark.read.parquet(f"{self._current()}/pages"), warnings
+        then = self.spark.read.schema(CHECKSUMS).parquet(f"{held}/checksums")
+        moved = stale(now, then)
+        if moved.isEmpty():
+            return self.spark.read.parquet(f"{held}/pages"), self.spark.createDataFrame([], "path string, message string")
+        fresh = files.join(moved.where("status <> 'removed'").select("path"), "path", "left_semi")
+        pages, warnings = markdown.read_pages(fresh, root, auto_enrich)
+        old = self.spark.read.parquet(f"{held}/pages").join(moved.select(F.col("path").alias("source_path")), "source_path", "left_anti")
+        self._next(old.select(*pages.columns).unionByName(pages), now)
+        return self.spark.read.parquet(f"{self._current()}/pages"), warnings
+
+    def _pointer(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/versions")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _current(self) -> str | None:
+        """The newest whole version: its checksums are written last, and their mark of success tells that they are whole."""
+        fs, path = self._pointer()
+        names = sorted((s.getPath().getName() for s in fs.listStatus(path)), key=int) if fs.exists(path) else []
+        whole = [n for n in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/versions/{n}/checksums/_SUCCESS"))]
+        return f"{self.root}/versions/{whole[-1]}" if whole else None
+
+    def _next(self, pages: DataFrame, sums: DataFrame) -> None:
+        fs, path = self._pointer()
+        number = max((int(s.getPath().getName()) for s in fs.listStatus(path)), default=0) + 1 if fs.exists(path) else 1
+        pages.write.parquet(f"{self.root}/versions/{number}/pages")
+        sums.write.parquet(f"{self.root}/versions/{number}/checksums")
+
+    def ensure_model(self, model: str, dims: int) -> bool:
+        """Records the model of the vectors; where another one's are held they go, and True comes back."""
+        held = self.model()
+        if held == (model, dims):
+            return False
+        if held is not None:
+            from quillmesh.sources.shared import remove
+
+            remove(self.spark, f"{self.root}/vectors")
+        self.spark.createDataFrame([(model, dims, 1)], "model string, dimensions int, version int").coalesce(1).write.mode("overwrite").json(f"{self.root}/meta")
+        return held is not None
+
+    def model(self) -> tuple[str, int] | None:
+        """Model and dimensions of the vectors that are held."""
+        fs, _ = self._pointer()
+        if not fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/meta")):
+            return None
+        row = self.spark.read.schema("model string, dimensions int, version int").json(f"{self.root}/meta").first()
+        return (row["model"], row["dimensions"]) if row else None
+
     def save_vectors(self, vectors: DataFrame) -> None:
         """Vectors of each model and dimension have a partition of their own, so another model never meets them."""
         vectors.select("id", "content_hash", "embedding", "model", "dims").write.mode("append").partitionBy("model", "dims").parquet(f"{self.root}/vectors")
@@ -83,6 +146,23 @@ def read_vector_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, embedding array<float>, error string")
 
 
+def write_vector_files(vectors: DataFrame, root: str) -> None:
+    """Writes each vector as a file of bare little-endian float32 below a root that all executors share; each is replaced as a whole."""
+    import os
+    import uuid
+
+    def run(rows):
+        os.makedirs(root, exist_ok=True)
+        for r in rows:
+            path = os.path.join(root, vector_file_name(r["id"], r["content_hash"]))
+            made = f"{path}.{uuid.uuid4().hex}.tmp"
+            with open(made, "wb") as f:
+                f.write(np.array(r["embedding"], "<f4").tobytes())
+            os.replace(made, path)
+
+    vectors.select("id", "content_hash", "embedding").foreachPartition(run)
+
+
 def vector_file_name(page_id: str, content_hash: str) -> str:
     import hashlib
 

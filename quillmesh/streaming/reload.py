@@ -1,8 +1,8 @@
 """Continuous reload: an extension beside the batch operators.
 
 A file stream of pages is upserted batch by batch: each batch writes a version of the pages
-table in which its rows replace those of the same id, and a manifest names the last whole one.
-A batch that runs again after a failure writes the same version anew.
+table in which its rows replace those of the same id. The highest version that has Spark's mark of
+success is the last whole one. A batch that runs again after a failure writes the same version anew.
 """
 
 from __future__ import annotations
