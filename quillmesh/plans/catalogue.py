@@ -11,7 +11,7 @@ from quillmesh.functions import collections as C
 from quillmesh.functions import temporal as T
 from quillmesh.functions import text as X
 from quillmesh.functions import vectors as V
-from quillmesh.operators import enrich, models, traverse, validation
+from quillmesh.operators import enrich, handoff, models, traverse, validation
 from quillmesh.operators import search as S
 from quillmesh.operators.graph import KnowledgeGraph, with_ids
 from quillmesh.plans import oracle as O
@@ -348,10 +348,11 @@ def dedupe_edges_pair(spark, sf_dir):
     return _line_edges(spark, sf_dir).select("l_orderkey", joined(F.transform(first, lambda r: F.concat_ws(":", r["target"], r["type"]))).alias("edges"))
 
 
-@query(f"WITH {_LINES} SELECT l_orderkey, target, type, strength, min(n) AS ord FROM lines GROUP BY 1, 2, 3, 4")
+@query(f"WITH {_LINES}, placed AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n, target, type, strength) - 1 AS place FROM lines) SELECT 'order-' || l_orderkey AS src, target, type, strength, min(place)::INTEGER AS ord FROM placed GROUP BY 1, 2, 3, 4")
 def dedupe_edges_triple(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return lines.groupBy("l_orderkey", F.col("p_brand").alias("target"), F.col("l_returnflag").alias("type"), F.col("l_discount").alias("strength")).agg(F.min("l_linenumber").alias("ord"))
+    """The graph's edges of pages that declare an order's lines as theirs."""
+    orders = _line_edges(spark, sf_dir).select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("id"), F.col("edges").alias("relationships"))
+    return KnowledgeGraph.build(conform(orders)).edges.select("src", "target", "type", "strength", "ord")
 
 
 @query("SELECT p_partkey, p_brand || '|' || p_type AS names, p_brand || ':a|' || upper(p_brand) || ':b|' || p_type || ':a' AS by_role FROM part")
@@ -373,15 +374,15 @@ def _flawed(spark, sf_dir) -> DataFrame:
     return conform(pages)
 
 
-_ISSUES = """issues AS (SELECT p_partkey AS k, 'id' AS field, 'id is required' AS message FROM part WHERE p_partkey % 3 = 0
-  UNION ALL SELECT p_partkey, 'title', 'title is required' FROM part WHERE p_partkey % 5 = 0
-  UNION ALL SELECT p_partkey, 'confidence', 'confidence must be in [0, 1], got ' || regexp_replace((p_size / 40.0::DOUBLE)::VARCHAR, '\\.0$', '') FROM part WHERE p_size > 40
-  UNION ALL SELECT p_partkey, 'relationships[0].target', 'relationship target is required' FROM part WHERE p_partkey % 4 = 0
-  UNION ALL SELECT p_partkey, 'relationships[0].type', 'relationship type is required' FROM part WHERE p_partkey % 6 = 0
-  UNION ALL SELECT p_partkey, 'relationships[0].strength', 'relationship strength must be in [0, 1], got ' || ((p_partkey % 8) / 5.0::DOUBLE)::VARCHAR FROM part WHERE p_partkey % 8 > 5
-  UNION ALL SELECT p_partkey, 'temporal.valid-from', 'valid-from must be in YYYY-MM-DD format, got "2024-13-01"' FROM part WHERE p_partkey % 9 = 0
-  UNION ALL SELECT p_partkey, 'entities[0].name', 'entity name must not be empty' FROM part WHERE p_partkey % 11 = 0
-  UNION ALL SELECT p_partkey, 'temporal.decay-rate', 'decay-rate must be non-negative, got -0.5' FROM part WHERE p_partkey % 10 = 0)"""
+_ISSUES = """issues AS (SELECT p_partkey AS k, 'id' AS field, 'the page has no id' AS message FROM part WHERE p_partkey % 3 = 0
+  UNION ALL SELECT p_partkey, 'title', 'the page has no title' FROM part WHERE p_partkey % 5 = 0
+  UNION ALL SELECT p_partkey, 'confidence', 'a confidence lies between 0 and 1, not at ' || regexp_replace((p_size / 40.0::DOUBLE)::VARCHAR, '\\.0$', '') FROM part WHERE p_size > 40
+  UNION ALL SELECT p_partkey, 'relationships[0].target', 'this edge has no target' FROM part WHERE p_partkey % 4 = 0
+  UNION ALL SELECT p_partkey, 'relationships[0].type', 'this edge has no type' FROM part WHERE p_partkey % 6 = 0
+  UNION ALL SELECT p_partkey, 'relationships[0].strength', 'an edge''s strength lies between 0 and 1, not at ' || ((p_partkey % 8) / 5.0::DOUBLE)::VARCHAR FROM part WHERE p_partkey % 8 > 5
+  UNION ALL SELECT p_partkey, 'temporal.valid-from', 'no date (year-month-day): 2024-13-01' FROM part WHERE p_partkey % 9 = 0
+  UNION ALL SELECT p_partkey, 'entities[0].name', 'this entity has no name' FROM part WHERE p_partkey % 11 = 0
+  UNION ALL SELECT p_partkey, 'temporal.decay-rate', 'a rate of decay is not below 0: -0.5' FROM part WHERE p_partkey % 10 = 0)"""
 
 
 @query(f"WITH {_ISSUES} SELECT k::VARCHAR AS source_path, field, message FROM issues")
@@ -397,13 +398,12 @@ def check_totals(spark, sf_dir):
 # Identity and the graph
 
 
-@query("WITH p AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN 'economy-' || (p_partkey % 3) ELSE '' END AS id, '/kb/' || p_type || '/' || (p_partkey % 300) || CASE WHEN p_partkey % 2 = 0 THEN '.md' ELSE '.txt' END AS path, p_partkey AS k FROM part), s AS (SELECT DISTINCT ON (path) *, trim(regexp_replace(lower(regexp_replace(path[5:], '\\.[^./]*$', '')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM p WHERE id = '' ORDER BY path, k), n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY path) AS r, slug IN (SELECT id FROM p) AS taken FROM s) SELECT path AS source_path, CASE WHEN taken OR r > 1 THEN slug || '-' || sha256(path)[1:8] ELSE slug END AS id FROM n")
+@query("WITH p AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN 'economy-' || (p_partkey % 3) ELSE '' END AS id, '/kb/' || p_type || '/' || (p_partkey % 300) || CASE WHEN p_partkey % 2 = 0 THEN '.md' ELSE '.txt' END AS path, p_partkey AS k FROM part), s AS (SELECT *, trim(regexp_replace(lower(regexp_replace(path[5:], '\\.[^./]*$', '')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM p WHERE id = ''), n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY path) AS r, slug IN (SELECT id FROM p) AS taken FROM s), l AS (SELECT path, CASE WHEN taken OR r > 1 THEN slug || '-' || sha256(path)[1:8] ELSE slug END AS id FROM n), m AS (SELECT *, row_number() OVER (PARTITION BY id) AS nth FROM l) SELECT path AS source_path, id || CASE WHEN nth > 1 THEN '-' || nth ELSE '' END AS id FROM m")
 def derived_ids(spark, sf_dir):
     k = F.col("p_partkey")
     path = F.concat(F.lit("/kb/"), F.col("p_type"), F.lit("/"), (k % 300).cast("string"), F.when(k % 2 == 0, ".md").otherwise(".txt"))
     pages = table(spark, sf_dir, "part").select(F.when(k % 10 == 0, F.concat(F.lit("economy-"), (k % 3).cast("string"))).otherwise("").alias("id"), F.lit("").alias("title"), path.alias("source_path"))
-    pages = conform(pages.where("id <> ''").unionByName(pages.where("id = ''").dropDuplicates(["source_path"])))
-    return with_ids(pages, "/kb").where("id_derived").select("source_path", "id")
+    return with_ids(conform(pages), "/kb").where("id_derived").select("source_path", "id")
 
 
 def _graph(spark, sf_dir) -> KnowledgeGraph:
@@ -486,9 +486,9 @@ def summary_filtered(spark, sf_dir):
     return _summary(_graph(spark, sf_dir).summary_stats(entity_type="organization", tag="tier-2", max_pages=7))
 
 
-@query(f"WITH {O.COMPANY}, r AS (SELECT src, string_agg(target || ':' || type, '|' ORDER BY ord) AS rels FROM edges GROUP BY src) SELECT id, title, entity_type, array_to_string(tags, '|') AS tags, confidence, coalesce(rels, '') AS relationships FROM (SELECT * FROM pages WHERE id IN ('nation-1', 'supplier-10', 'region-0', 'nope')) LEFT JOIN r ON src = id")
+@query(f"WITH {O.COMPANY}, r AS (SELECT src, string_agg(target || ':' || type, '|' ORDER BY ord) AS rels FROM edges GROUP BY src) SELECT id, title, entity_type, array_to_string(tags, '|') AS tags, confidence, coalesce(rels, '') AS relationships FROM (SELECT * FROM pages WHERE id IN ('nation-1', 'supplier-5', 'region-0', 'nope')) LEFT JOIN r ON src = id")
 def compact_summary_nodes(spark, sf_dir):
-    nodes = _graph(spark, sf_dir).summary_nodes(page_ids=["nation-1", "supplier-10", "region-0", "nope"])
+    nodes = _graph(spark, sf_dir).summary_nodes(page_ids=["nation-1", "supplier-5", "region-0", "nope"])
     return nodes.select("id", "title", "entity_type", joined("tags").alias("tags"), "confidence", F.coalesce(joined(F.transform("relationships", lambda e: F.concat_ws(":", e["target"], e["type"]))), F.lit("")).alias("relationships"))
 
 
@@ -518,9 +518,9 @@ def bfs_reverse(spark, sf_dir):
     return traverse.breadth_first(_graph(spark, sf_dir), ROOT, 2, "reverse")[0]
 
 
-@query(_bfs_sql("supplier-10", f"{_AHEAD} UNION ALL {_BACK}", 2, _NODES))
+@query(_bfs_sql("supplier-5", f"{_AHEAD} UNION ALL {_BACK}", 2, _NODES))
 def bfs_both(spark, sf_dir):
-    return traverse.breadth_first(_graph(spark, sf_dir), "supplier-10", 2, "both")[0]
+    return traverse.breadth_first(_graph(spark, sf_dir), "supplier-5", 2, "both")[0]
 
 
 @query(_bfs_sql(ROOT, f"SELECT * FROM ({_AHEAD} WHERE false UNION ALL {_BACK}) WHERE type IN ('located_in', 'based_in')", 3, _NODES))
@@ -528,9 +528,9 @@ def bfs_type_filter(spark, sf_dir):
     return traverse.breadth_first(_graph(spark, sf_dir), ROOT, 3, "reverse", ["located_in", "based_in"])[0]
 
 
-@query(_bfs_sql("supplier-10", f"{_AHEAD} UNION ALL {_BACK}", 2, _EDGES.format(2)))
+@query(_bfs_sql("supplier-5", f"{_AHEAD} UNION ALL {_BACK}", 2, _EDGES.format(2)))
 def bfs_edges(spark, sf_dir):
-    return traverse.breadth_first(_graph(spark, sf_dir), "supplier-10", 2, "both")[1]
+    return traverse.breadth_first(_graph(spark, sf_dir), "supplier-5", 2, "both")[1]
 
 
 @query(_bfs_sql("customer-100", _AHEAD, 3, "SELECT max(depth) AS max_depth FROM nodes"))
@@ -538,7 +538,7 @@ def bfs_max_depth(spark, sf_dir):
     return traverse.max_depth(traverse.breadth_first(_graph(spark, sf_dir), "customer-100", 3)[0])
 
 
-@query()
+@query(_bfs_sql("customer-100", _AHEAD, 3, "SELECT depth::INTEGER AS n, id, depth FROM nodes"))
 def dfs_forward(spark, sf_dir):
     return traverse.depth_first(_graph(spark, sf_dir), "customer-100", 3)
 
@@ -611,20 +611,20 @@ def _answer(prompt: str, body: str) -> str:
     return [whole, whole.replace('"entities":', '"entities"', 1), whole[:-1], "no answer"][n]
 
 
-@query()
+@query(f"WITH {O.PARTS}, p AS (SELECT id, length(body) % 4 = 3 AS broken, split_part(body, ' ', 1) AS w FROM parts) SELECT id, CASE WHEN broken THEN 'parse-error' ELSE 'ok' END AS status, CASE WHEN broken THEN '' ELSE 'person' END AS entity_type, CASE WHEN broken THEN 0 ELSE 1 END::INTEGER AS n_entities, CASE WHEN broken THEN '' ELSE w END AS targets FROM p")
 def json_repair_parse(spark, sf_dir):
     docs = parts(spark, sf_dir).select("id", "body")
     return models.extracted(docs, _answer).select("id", "status", "entity_type", F.size("entities").alias("n_entities"), joined("relationships.target").alias("targets"))
 
 
-@query()
+@query(f"WITH {O.PARTS} SELECT k AS ord, id, true AS recovered, 'person' AS entity_type, (len(string_split(body, ' ')) * 13 // 10)::BIGINT AS input_tokens FROM parts WHERE length(body) % 4 = 3 ORDER BY k LIMIT 50")
 def fallback_recover(spark, sf_dir):
     docs = parts(spark, sf_dir).select("id", "body")
     failed = models.extracted(docs, _answer).where("status = 'parse-error'").select("id").join(docs, "id").withColumn("ord", F.regexp_extract("id", r"(\d+)", 1).cast("long"))
     return models.recovered(failed, lambda prompt, body: _answer(prompt, body + " " * (-len(body) % 4)), max_files=50).select("ord", "id", "recovered", "entity_type", "input_tokens")
 
 
-@query()
+@query(f"WITH {O.PARTS} SELECT id, true AS same FROM parts")
 def page_roundtrip(spark, sf_dir):
     """Pages rendered as files and parsed again; `same` tells whether nothing was lost."""
     pages = parts(spark, sf_dir).withColumn("source_path", F.concat("id", F.lit(".md")))
@@ -633,7 +633,7 @@ def page_roundtrip(spark, sf_dir):
     return told(pages).join(told(back).withColumnRenamed("h", "h2"), "id").select("id", (F.col("h") == F.col("h2")).alias("same"))
 
 
-@query()
+@query(f"WITH {O.PARTS} SELECT id, sha256(title || {O.NL} || {O.NL} || body) AS content_hash, 16::INTEGER AS dims, '' AS error FROM parts")
 def embed_texts(spark, sf_dir):
     pages = parts(spark, sf_dir).select("id", X.embedding_text(F.col("title"), F.col("body")).alias("text"))
     texts = pages.withColumn("content_hash", F.sha2("text", 256))
@@ -643,3 +643,20 @@ def embed_texts(spark, sf_dir):
 @query(f"WITH {O.COMPANY} SELECT id, id AS json_id, title AS json_title FROM pages")
 def export_pages(spark, sf_dir):
     return _graph(spark, sf_dir).export().select("id", F.get_json_object("json", "$.id").alias("json_id"), F.get_json_object("json", "$.title").alias("json_title"))
+
+
+_RESULTS = """r AS (SELECT k, k % 30 <> 0 AND k % 20 <> 0 AS good, CASE WHEN k % 30 = 0 THEN ' ' WHEN k % 20 = 0 THEN 'gone.md' ELSE id || '.md' END AS path, tags[1] AS brand FROM parts WHERE k % 10 = 0)"""
+
+
+@query(f"WITH {O.PARTS}, {_RESULTS} SELECT k::INTEGER AS ord, path, good AS applied, CASE WHEN good THEN '' WHEN path = ' ' THEN 'the entry has no path' ELSE 'the file is not there' END AS error, CASE WHEN good THEN 'about ' || k ELSE '' END AS summary, CASE WHEN good THEN brand || ':fits' ELSE '' END AS edges FROM r")
+def apply_results(spark, sf_dir):
+    """Results brought from elsewhere, joined to the pages' files; the new files are parsed again."""
+    pages = parts(spark, sf_dir).withColumn("source_path", F.concat("id", F.lit(".md")))
+    k = F.regexp_extract("id", r"(\d+)", 1).cast("int")
+    path = F.when(k % 30 == 0, " ").when(k % 20 == 0, "gone.md").otherwise(F.col("source_path"))
+    entity = F.struct(F.concat(F.lit(" "), F.col("tags")[0]).alias("name"), F.lit("MAKER").alias("type"))
+    edge_of = lambda predicate: F.struct(F.col("title").alias("subject"), F.lit(predicate).alias("predicate"), F.upper(F.col("tags")[0]).alias("object"))
+    results = pages.where(k % 10 == 0).select(k.alias("ord"), path.alias("path"), F.lit("TECHNOLOGY").alias("entity_type"), F.concat(F.lit("about "), k.cast("string")).alias("summary"), F.array(entity).alias("entities"), F.array(edge_of(" fits"), edge_of(" ")).alias("relationships"))
+    told = handoff.apply_results(markdown.rendered(pages), results)
+    again = markdown.parsed(told.where("applied").select("path", "text")).select(F.col("source_path").alias("path"), "summary", joined(F.transform("semantic_relationships", lambda e: F.concat_ws(":", e["target"], e["type"]))).alias("edges"))
+    return told.select("ord", "path", "applied", "error").join(again, "path", "left").select("ord", "path", "applied", "error", F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("edges", F.lit("")).alias("edges"))

@@ -70,7 +70,7 @@ def test_formats(engine, spark):
     stats = spark.createDataFrame([(1, 2, 3, ["a", "b"])], "pages long, entities long, relationships long, tags array<string>")
     assert fmt.stats(stats).first()["text"].endswith("Tags:          a, b")
     bad = validation.validated(engine.graph.pages.withColumn("title", F.lit("")))
-    assert "- title: title is required" in fmt.issues(bad).first()["text"]
+    assert "- title: the page has no title" in fmt.issues(bad).first()["text"]
     assert "## raw" in fmt.retry_brief(spark.createDataFrame([(1, "raw", "bad")], "ord int, id string, error string"), "/kb")
 
 

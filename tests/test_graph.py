@@ -108,7 +108,7 @@ def test_validation(spark):
     found = [r["field"] for r in validation.issues(bad).orderBy("n").collect()]
     assert found == ["id", "title", "entity-type", "confidence", "relationships[0].target", "relationships[0].type", "relationships[0].strength", "temporal.valid-from", "entities[0].name", "temporal.decay-rate"]
     assert tuple(validation.check_totals(bad).first()) == (2, 10, 1)
-    assert validation.issues(bad).where("field = 'confidence'").first()["message"] == "confidence must be in [0, 1], got 1.5"
+    assert validation.issues(bad).where("field = 'confidence'").first()["message"] == "a confidence lies between 0 and 1, not at 1.5"
 
 
 def test_merge_is_idempotent(spark):
