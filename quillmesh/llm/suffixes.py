@@ -10,6 +10,11 @@ suffix array each, which are merged by binary search of every piece's strings in
 Each string start has one anchor and so lies in one context: a class with two members, or a
 context that occurs twice, is a repeat.
 
+`longest_repeat` tells of shorter repeats what the same suffix arrays show: from an anchor that stands
+in two contexts, the common prefix of the two suffixes that begin there, and the common bytes before
+it. It is a lower bound, of strings that hold an anchor in both places, and 0 below half the size.
+Nothing is removed for its sake.
+
 Anchors with more than HOT distinct contexts are settled by 128-bit fingerprints of single
 strings, dealt over all shards, each group sending a string once: such a passage may stand in a
 third of all documents.
@@ -138,10 +143,36 @@ def common_prefixes(data: np.ndarray, room: np.ndarray, order: np.ndarray) -> np
     return plcp[order]
 
 
-def repeated_starts(texts: list[bytes], size: int, at_once: int = PIECE_BYTES) -> list[np.ndarray]:
-    """For each text, whether each of its windows of `size` bytes starts twice or more in all of them."""
+def around_anchors(data: np.ndarray, order: np.ndarray, common: np.ndarray, at: np.ndarray, kind: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each anchor (its place, its hash as `kind`, the start of its context): the longest stretch around it that it shares with a neighbour of its kind in the suffix order."""
+    rank = np.empty(len(data), np.int64)
+    rank[order] = np.arange(len(data))
+    line = np.lexsort((rank[at], kind))
+    ranks, kinds = rank[at[line]], kind[line]
+    pair = np.flatnonzero(kinds[1:] == kinds[:-1])  # neighbours of one kind
+    out = np.zeros(len(at), np.int64)
+    if not len(pair):
+        return out
+    cuts = np.stack([ranks[pair] + 1, ranks[pair + 1] + 1], axis=1).reshape(-1)
+    ahead = np.minimum.reduceat(np.r_[common, 0], cuts)[::2]
+    one, two = line[pair], line[pair + 1]
+    room = np.minimum(at[one] - starts[one], at[two] - starts[two])
+    live, done = np.arange(len(pair)), np.zeros(len(pair), np.int64)
+    while len(live):  # byte by byte backward, all pairs that still agree
+        live = live[done[live] < room[live]]
+        live = live[data[at[one[live]] - 1 - done[live]] == data[at[two[live]] - 1 - done[live]]]
+        done[live] += 1
+    np.maximum.at(out, one, ahead + done)
+    np.maximum.at(out, two, ahead + done)
+    return out
+
+
+def repeated_starts(texts: list[bytes], size: int, at_once: int = PIECE_BYTES, anchors: list[tuple[int, int]] | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each text, whether each of its windows of `size` bytes starts twice or more in all of them;
+    and what its anchor (hash, offset) shares with another text of the same piece (see around_anchors)."""
     if not texts:
-        return []
+        return [], np.zeros(0, np.int64)
+    shared = np.zeros(len(texts), np.int64)
     pieces, held = [[]], 0
     for i, t in enumerate(texts):
         if held and held + len(t) > at_once:
@@ -156,7 +187,12 @@ def repeated_starts(texts: list[bytes], size: int, at_once: int = PIECE_BYTES) -
         lengths = np.array([len(texts[i]) for i in piece], np.int64)
         room = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(data))
         order = suffix_order(packed(data, room, 8, 8), 8, room, size)
-        close = common_prefixes(data, room, order) >= size
+        common = common_prefixes(data, room, order)
+        if anchors:
+            begin = np.cumsum(lengths) - lengths
+            kind, offset = (np.array([anchors[i][j] for i in piece], t) for j, t in ((0, np.uint64), (1, np.int64)))
+            shared[piece] = around_anchors(data, order, common, begin + offset, kind, begin)
+        close = common >= size
         mark = np.zeros(len(data), bool)
         mark[order] = close | np.r_[close[1:], False]
         marks.append((mark, room >= size, lengths))
@@ -184,11 +220,11 @@ def repeated_starts(texts: list[bytes], size: int, at_once: int = PIECE_BYTES) -
     for mark, full, lengths in marks:
         cuts = np.cumsum(lengths)[:-1]
         out += [m[f] for m, f in zip(np.split(mark, cuts), np.split(full, cuts), strict=True)]
-    return out
+    return out, shared
 
 
 def substring_dedup(docs: DataFrame, size: int = 400, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, group_bytes: int = A.GROUP_BYTES, hot: int = A.HOT, piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end of the removed runs), kept (bytes, on demand)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, longest_repeat, spans (start, end of the removed runs), kept (bytes, on demand)."""
     if size <= GRAM:
         raise ValueError(f"windows need more than {GRAM} bytes")
     rows, n_groups = A.grouped(docs, doc_id, text, group_bytes)
@@ -216,7 +252,8 @@ def substring_dedup(docs: DataFrame, size: int = 400, doc_id: str = "doc_id", te
             if len(chosen):
                 first, end = group.first[group.member[chosen]], group.last[group.member[chosen]] + size
                 body = b"".join(group.raw[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True))
-                head = np.array(len(chosen), "<u4").tobytes() + A.pack(group.unique["h"][chosen], group.unique["c"][chosen], (end - first).astype("<u4"))
+                offset = group.place[group.member[chosen]] - first
+                head = np.array(len(chosen), "<u4").tobytes() + A.pack(group.unique["h"][chosen], group.unique["c"][chosen], (end - first).astype("<u4"), offset.astype("<u4"))
                 out.append((s, g, b"c" + squeeze.compress(head + body)))
         spread = np.flatnonzero(code[group.of] == A.SPREAD)
         if len(spread):
@@ -227,33 +264,36 @@ def substring_dedup(docs: DataFrame, size: int = 400, doc_id: str = "doc_id", te
     def settle(key, asked, sent):
         """For each request the first and last repeated window start of its context; repeated single windows."""
         shard, expand = key[0].as_py(), zstandard.ZstdDecompressor()
-        texts, keys, single, out = [], [], [], []
+        texts, keys, anchors, single, out = [], [], [], [], []
         for g, blob in zip(sent["g"].to_pylist(), sent["blob"].to_pylist(), strict=True):
             if blob[:1] == b"w":
                 single.append((g, blob[1:]))
                 continue
             body = expand.decompress(blob[1:])
-            edge = 4 + 20 * int(np.frombuffer(body, "<u4", 1)[0])
-            h, c, sizes = A.unpack(body[4:edge], *types)
+            edge = 4 + 24 * int(np.frombuffer(body, "<u4", 1)[0])
+            h, c, sizes, offset = A.unpack(body[4:edge], *types, "<u4")
             keys += zip(h.tolist(), c.tolist(), strict=True)
+            anchors += zip(h.tolist(), offset.tolist(), strict=True)
             for m in sizes.tolist():
                 texts.append(body[edge : edge + m])
                 edge += m
         ranges = {}
-        for k, mark in zip(keys, repeated_starts(texts, size, piece_bytes), strict=True):
+        for k, mark, most in zip(keys, *repeated_starts(texts, size, piece_bytes, anchors), strict=True):
             at = np.flatnonzero(mark)
-            ranges[k] = (int(at[0]), int(at[-1])) if len(at) else NONE
+            ranges[k] = (*((int(at[0]), int(at[-1])) if len(at) else NONE), min(int(most), FULL))
         if asked.num_rows:
             counts, (h, c, weight) = A.gathered(asked, *types)
             code = A.vote(h, c, twice_or_more(weight), hot)
             lo, hi = np.full(len(h), NONE[0], "<u2"), np.full(len(h), NONE[1], "<u2")
+            most = np.zeros(len(h), "<u2")
             lo[code == A.SPREAD] = SINGLY
             _, of = np.unique(A.paired(h, c), return_inverse=True)
             twice = np.bincount(of, weights=weight)[of] > 1
             lo[twice], hi[twice] = 0, FULL
             for i in np.flatnonzero(~twice & (code == A.SEND)).tolist():
-                lo[i], hi[i] = ranges[int(h[i]), int(c[i])]
-            out.append(A.answers(shard, counts, lo, hi))
+                lo[i], hi[i], most[i] = ranges[int(h[i]), int(c[i])]
+            most[twice] = size
+            out.append(A.answers(shard, counts, lo, hi, most))
         if single:
             parts = [A.unpack(b, *types) for _, b in single]
             fa, fb, weight = (np.concatenate([x[i] for x in parts]) for i in range(3))
@@ -267,7 +307,9 @@ def substring_dedup(docs: DataFrame, size: int = 400, doc_id: str = "doc_id", te
         n = len(group.data)
         edge = np.zeros(n + 1, np.int64)
         alone = pa.array(np.array(told["shard"].to_pylist(), np.int64) < 0)
-        lo, hi = (x[group.of].astype(np.int64) for x in group.answered(told.filter(pc.invert(alone)), n_shards, "<u2", "<u2"))
+        lo, hi, most = (x[group.of].astype(np.int64) for x in group.answered(told.filter(pc.invert(alone)), n_shards, "<u2", "<u2", "<u2"))
+        longest = np.zeros(len(group.lengths), np.int64)
+        np.maximum.at(longest, np.searchsorted(group.ends, group.place, "right"), np.where(most >= size // 2, most, 0))
         some = lo <= hi
         np.add.at(edge, group.first[some] + lo[some], 1)
         np.add.at(edge, np.minimum(group.first[some] + hi[some], group.last[some]) + size, -1)
@@ -279,19 +321,19 @@ def substring_dedup(docs: DataFrame, size: int = 400, doc_id: str = "doc_id", te
             np.add.at(edge, starts, 1)
             np.add.at(edge, starts + size, -1)
         gone = np.cumsum(edge[:n]) > 0
-        out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")}
-        for end, length in zip(group.ends.tolist(), group.lengths.tolist(), strict=True):
+        out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "longest_repeat", "spans", "kept")}
+        for end, length, most in zip(group.ends.tolist(), group.lengths.tolist(), longest.tolist(), strict=True):
             mask, data = gone[end - length : end], group.data[end - length : end]
             change = np.flatnonzero(np.diff(np.r_[0, mask.view(np.int8), 0]))
             left = data[~mask].tobytes()
-            for k, v in zip(out, (length, int(mask.sum()), len(change) // 2, hashlib.sha256(left).hexdigest(), change.reshape(-1, 2).tolist(), left if keep_text else None), strict=True):
+            for k, v in zip(out, (length, int(mask.sum()), len(change) // 2, hashlib.sha256(left).hexdigest(), max(most, size if len(change) else 0), change.reshape(-1, 2).tolist(), left if keep_text else None), strict=True):
                 out[k].append(v)
         return pa.table({"doc_id": group.rows["doc_id"], **out}, schema)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("longest_repeat", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
     by_group = rows.groupBy("g")
     asked = by_group.applyInArrow(ask, A.REQUEST).repartition(n_shards, "shard")
     codes = asked.groupBy("shard").applyInArrow(judge, A.REQUEST)
     sent = by_group.cogroup(codes.groupBy("g")).applyInArrow(send, A.REQUEST)
     settled = asked.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(settle, A.REQUEST)
-    return by_group.cogroup(settled.groupBy("g")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept binary")
+    return by_group.cogroup(settled.groupBy("g")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, longest_repeat long, spans array<array<long>>, kept binary")

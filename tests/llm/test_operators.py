@@ -155,6 +155,22 @@ def test_substring_dedup_at_400_bytes(spark):
     same(suffixes.substring_dedup(docs), brute.op10(held), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def test_longest_repeat_tells_of_shorter_strings(spark):
+    """Passages of 300 to 390 bytes between texts that have nothing else in common; a lower bound that no clean text has."""
+    r = random.Random(31)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    held, lengths = [], {}
+    for i in range(60):
+        passage = noise(r.randint(300, 390))
+        for j in (0, 1):
+            held.append((3 * i + j, noise(r.randint(200, 900)) + passage + noise(r.randint(200, 900))))
+            lengths[3 * i + j] = len(passage)
+        held.append((3 * i + 2, noise(1500)))
+    got = dict(rows(suffixes.substring_dedup(spark.createDataFrame(held, "doc_id long, text string")), "doc_id", "longest_repeat"))
+    assert all(got[i] == 0 for i in got if i % 3 == 2) and all(got[i] <= n + 2 for i, n in lengths.items())
+    assert sum(got[i] >= 200 for i in lengths) >= 0.8 * len(lengths)
+
+
 REPEATED = [(5, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen " * 3), (5, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen " * 3), (5, "quite another text of the same number"), (6, "secret=abcdefgh1"), (6, "secret=abcdefgh1"), (7, None), (7, None), (7, ""), (8, "w " + "one two three four five six seven eight nine ten eleven twelve thirteen fourteen " * 3)]
 
 
