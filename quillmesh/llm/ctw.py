@@ -43,7 +43,7 @@ from quillmesh.llm.common import distinct, mix64, numbered_words, utf8, written
 DEPTH, SPLIT, TOPS = 6, 4, 64
 FOLDS, HELD_OUT = 7, 2
 #: Text of a group, and of the block of it that is sorted at once (of 256 pieces at most).
-GROUP_BYTES, BLOCK_BYTES = 16 << 20, 2 << 20
+GROUP_BYTES, BLOCK_BYTES = 12 << 20, 2 << 20
 LN2 = np.log(2.0)
 _EXACT = 1 << 16
 _HALVES = np.r_[0.0, np.cumsum(np.log(np.arange(_EXACT) + 0.5))] + 0.5 * np.log(np.pi)
