@@ -407,6 +407,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, d
     """
     found = similar_groups(docs, k, similarity, doc_id, text).where("doc_id IS NOT NULL")
     kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select(F.col("row.doc_id").alias("__kept"), F.col("row.text_hash").alias("__hash"))
-    known = docs.where(F.col(doc_id).isNotNull()).withColumn("__text_hash", text_hash(text))
-    stay = known.join(kept, (known[doc_id].cast("long") == kept["__kept"]) & (known["__text_hash"] == kept["__hash"]), "left_semi")
-    return stay.dropDuplicates([doc_id, "__text_hash"]).drop("__text_hash").unionByName(docs.where(F.col(doc_id).isNull()))
+    # The rows as one column, so that no name of theirs can clash.
+    known = docs.where(F.col(doc_id).isNotNull()).select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"), text_hash(text).alias("hash"))
+    stay = known.join(kept, (known["id"] == kept["__kept"]) & (known["hash"] == kept["__hash"]), "left_semi")
+    return stay.dropDuplicates(["id", "hash"]).select("row.*").unionByName(docs.where(F.col(doc_id).isNull()))
