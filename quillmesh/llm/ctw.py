@@ -23,7 +23,8 @@ corpus's words is ever broadcast.
 
 Null texts are empty: an end token, score 0. A null doc_id counts as the empty text, which
 trains. Repeated rows train as often as they stand there. Very long texts are cut for sorting
-only: their contexts go on over the cuts. Extra columns are not looked at.
+only: their contexts go on over the cuts. An empty table gives an empty one. Extra columns are not
+looked at.
 """
 
 from __future__ import annotations

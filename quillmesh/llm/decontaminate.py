@@ -12,7 +12,8 @@ Results are keyed by the text's digest, so exact copies are joined once.
 
 Null and empty texts have no words and are clean; null, empty or wordless items have no
 windows. A null item_id can't be named and is left out. Repeated items count once; repeated
-documents give repeated rows. Extra columns are not looked at.
+documents give repeated rows. Texts of any length are read whole. Without documents there are no
+rows, without items nothing is contaminated. Extra columns are not looked at.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ dealt over all shards.
 
 Null texts have no words. Rows with a null doc_id come after all others: their windows may be
 removed for any document's sake, and remove none of others. Rows with the same doc_id remove
-nothing from each other. Extra columns are not looked at.
+nothing from each other; repeated rows give repeated results. A very long text is handled whole, in
+the memory of one task. An empty table gives an empty one. Extra columns are not looked at.
 """
 
 from __future__ import annotations

@@ -13,8 +13,10 @@ and then the documents at the head of its permutation. A hot source has many blo
 
 Without a budget of tokens, the budget is such that the source with the least weight for its
 size is read exactly once: no document is dropped. A null source is a source of its own.
-A document counts its words and an end token, so null and empty texts count one. Repeated rows
-are drawn each by itself. Extra columns are kept by `mixed_documents`.
+A document counts its words and an end token, so null and empty texts count one, and the longest
+text is one draw. Repeated rows are drawn each by itself, ties in their order broken by doc_id and a
+hash of the text; a null doc_id is drawn like any other. An empty table gives no draws. Extra
+columns, whatever their names, are kept by `mixed_documents`.
 """
 
 from __future__ import annotations

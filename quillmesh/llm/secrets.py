@@ -14,7 +14,7 @@ Of what the patterns beyond the base match, a token must look random (entropy of
 a JSON web token's head must decode, and a Base64 key must not be hexadecimal or a word.
 
 Null contents are the empty blob. Null paths are kept. Repeated rows give repeated rows. Very long
-texts are scanned whole. Extra columns are not looked at.
+texts are scanned whole. An empty table adds nothing to the ledger. Extra columns are not looked at.
 """
 
 from __future__ import annotations

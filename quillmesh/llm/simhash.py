@@ -16,7 +16,8 @@ then compared pair by pair.
 
 A text without words has the fingerprint zero. Null texts count as empty, rows with a null
 doc_id get a fingerprint and the component of their fingerprint's rows (null if it has no
-other). Repeated rows give repeated results. Extra columns are not looked at.
+other). Repeated rows give repeated results. Very long texts are shingled whole. An empty table
+gives an empty one. Extra columns are not looked at.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ strings, dealt over all shards, each group sending a string once: such a passage
 third of all documents.
 
 Null texts are empty. Rows with a null doc_id take part like all others. Repeated rows are
-copies of each other. Extra columns are not looked at.
+copies of each other. A very long text is handled whole, in the memory of one task. An empty table
+gives an empty one. Extra columns are not looked at.
 """
 
 from __future__ import annotations
