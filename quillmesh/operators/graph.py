@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import base_name, reconcile_key, stem
+from quillmesh.sources.shared import written
 
 
 def derived_slug(root: str) -> Column:
@@ -42,7 +43,11 @@ def with_ids(pages: DataFrame, root: str = "") -> DataFrame:
 
 @dataclass(frozen=True)
 class KnowledgeGraph:
-    """pages with ids; everything else follows from them, as plans that Spark runs when asked."""
+    """pages with ids; everything else follows from them, as plans that Spark runs when asked.
+
+    What all else is made of, the names that pages claim and the resolved edges, is written to the
+    shared folder at its first use, once for a graph.
+    """
 
     pages: DataFrame
 
@@ -56,7 +61,7 @@ class KnowledgeGraph:
         entities = F.flatten(F.transform("entities", lambda e: F.concat(F.array(e["name"]), e["aliases"])))
         names = F.concat(F.array("id", "title", stem(F.col("source_path"))), entities)
         claimed = self.pages.select(F.col("id").alias("page_id"), F.explode(names).alias("name")).select(reconcile_key(F.col("name")).alias("key"), "page_id")
-        return claimed.where("key <> ''").distinct()
+        return written(claimed.where("key <> ''").distinct())
 
     @cached_property
     def aliases(self) -> DataFrame:
@@ -82,7 +87,7 @@ class KnowledgeGraph:
         by_id = keyed.join(ids, F.col("written") == F.col("__id"), "left")
         both = by_id.join(self.aliases.select(F.col("key").alias("__key"), F.col("page_id").alias("__alias")), "__key", "left")
         target = F.coalesce("__id", "__alias")
-        return both.select("src", "written", F.coalesce(target, "written").alias("target"), "type", "strength", "semantic", target.isNotNull().alias("resolved"), "ord")
+        return written(both.select("src", "written", F.coalesce(target, "written").alias("target"), "type", "strength", "semantic", target.isNotNull().alias("resolved"), "ord"))
 
     @cached_property
     def edges(self) -> DataFrame:
