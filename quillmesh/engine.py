@@ -131,6 +131,20 @@ class Engine:
         texts = self.hashed.withColumn("text", embedding_text(F.col("title"), F.col("body")))
         return models.embedded(texts.join(store.pending(texts, held), ["id", "content_hash"], "left_semi"), self.embed, self.settings.embedding_model)
 
+    def embed_all(self, kb: store.Store) -> DataFrame:
+        """Embeds what is pending and saves it: id, content_hash, error of each page that was taken up.
+
+        A first call tells whether the model answers, and its dimensions; vectors of another model
+        are dropped. Pages whose call failed stay pending.
+        """
+        dims = len(self.embed(["probe"])[0])
+        kb.ensure_model(self.settings.embedding_model, dims)
+        texts = self.hashed.withColumn("text", embedding_text(F.col("title"), F.col("body")))
+        todo = texts.join(store.pending(texts, kb.vectors(self.settings.embedding_model, dims)), ["id", "content_hash"], "left_semi")
+        made = written(models.embedded(todo, self.embed, self.settings.embedding_model))
+        kb.save_vectors(made.where("error = ''"))
+        return made.select("id", "content_hash", "error")
+
     def embed_file(self, path_or_id: str) -> DataFrame:
         one = self.hashed.join(self.graph.lookup(path_or_id).select("id"), "id", "left_semi")
         return models.embedded(one.withColumn("text", embedding_text(F.col("title"), F.col("body"))), self.embed, self.settings.embedding_model)
@@ -159,6 +173,21 @@ class Engine:
             merged = done.select(*merged.columns).unionByName(both.where("model IS NULL").withColumn("status", F.lit("failed")).select(*merged.columns))
         return merged.unionByName(pages.where("status = 'skipped'").select(*merged.columns))
 
+    @staticmethod
+    def enrich_totals(found: DataFrame) -> DataFrame:
+        """One row: how many of enrich's pages are enriched, skipped, recovered and failed."""
+        return found.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("enriched", "skipped", "recovered", "failed")))
+
+    def enriched_files(self, found: DataFrame) -> DataFrame:
+        """(path, text): the files of enrich's pages with their new frontmatter, for markdown.write_files.
+
+        Failed pages are among them: what was extracted is kept, and their empty summary queues them for the next run.
+        """
+        files = markdown.scan(self.spark, self.settings.root).withColumnRenamed("path", "source_path")
+        done = found.where("status <> 'skipped'").join(files, "source_path").withColumn("ord", F.lit(0))
+        texts = markdown.replaced_in(done.select(*[f.name for f in markdown.PAGE], "ord", "text"), "source_path")
+        return texts.select(F.col("source_path").alias("path"), "text")
+
     def reason(self, question: str, chat: models.Chat, max_pages: int = PREFILTER, now: Column | None = None) -> DataFrame:
         """Pages that a chat model picks out of a summary of the graph around the best matches, with `place`.
 

@@ -296,15 +296,15 @@ def rendered(pages: DataFrame) -> DataFrame:
     return pages.select(*names).mapInPandas(run, "path string, text string")
 
 
-def replaced_in(pages: DataFrame) -> DataFrame:
-    """pages: PAGE's columns, ord and the file's text. (ord, text): the file with its frontmatter replaced by the page's."""
+def replaced_in(pages: DataFrame, key: str = "ord") -> DataFrame:
+    """pages: PAGE's columns, key and the file's text. (key, text): the file with its frontmatter replaced by the page's."""
 
     def run(batches):
         for pdf in batches:
             rows = pdf.to_dict("records")
-            yield pd.DataFrame({"ord": [r["ord"] for r in rows], "text": [replaced(r, r["text"]) for r in rows]})
+            yield pd.DataFrame({key: [r[key] for r in rows], "text": [replaced(r, r["text"]) for r in rows]})
 
-    return pages.mapInPandas(run, "ord int, text string")
+    return pages.mapInPandas(run, T.StructType([pages.schema[key], T.StructField("text", T.StringType())]))
 
 
 def dry_run(pages: DataFrame) -> DataFrame:
@@ -339,14 +339,7 @@ def enriched_files(spark: SparkSession, root: str, pattern: str = "*.md") -> Dat
     again = parsed(files.join(bad, "path", "left_semi"), strict=False).where("error = ''").drop("error")
     filled = merge_frontmatter(tier1(again, root)).drop("extracted")
     held = filled.join(files.withColumnRenamed("path", "source_path"), "source_path")
-    names = [f.name for f in PAGE]
-
-    def run(batches):
-        for pdf in batches:
-            rows = pdf.to_dict("records")
-            yield pd.DataFrame({"path": [r["source_path"] for r in rows], "text": [replaced(r, r["text"]) for r in rows]})
-
-    return held.select(*names, "text").mapInPandas(run, "path string, text string")
+    return replaced_in(held.select(*[f.name for f in PAGE], "text"), "source_path").select(F.col("source_path").alias("path"), "text")
 
 
 def write_files(files: DataFrame, root: str) -> None:

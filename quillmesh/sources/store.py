@@ -119,6 +119,10 @@ class Store:
         vectors.select("id", "content_hash", "embedding", "model", "dims").write.mode("append").partitionBy("model", "dims").parquet(f"{self.root}/vectors")
 
     def vectors(self, model: str, dims: int) -> DataFrame:
+        """Those of a model; none where nothing has been saved yet."""
+        fs, _ = self._pointer()
+        if not fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/vectors")):
+            return self.spark.createDataFrame([], VECTORS)
         found = self.spark.read.parquet(f"{self.root}/vectors")
         return found.where((F.col("model") == model) & (F.col("dims") == dims))
 

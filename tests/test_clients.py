@@ -7,7 +7,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
-from quillmesh.engine import Settings, ignore_store
+from quillmesh.engine import Engine, Settings, ignore_store
 from quillmesh.operators import handoff, models, search
 from quillmesh.sources import clients, markdown, store
 
@@ -192,3 +192,18 @@ def test_files_read_one_by_one(spark, tmp_path):
     with open(path) as f:
         assert markdown.read(f)["id"] == "a"
     assert "title: A" in markdown.dry_run(markdown.parsed(spark.createDataFrame([(str(path), path.read_text())], "path string, text string"))).first()["text"]
+
+
+def test_embedding_and_enriching_a_folder(spark, tmp_path):
+    root = tmp_path / "kb"
+    root.mkdir()
+    (root / "a.md").write_text("---\nid: a\ntitle: A\nentity-type: concept\nconfidence: 1\n---\nbody of a\n")
+    (root / "b.md").write_text("---\ntitle: B\n---\nbody #tag\n")
+    engine, kb = Engine.open(spark, str(root)), store.Store(spark, f"file://{tmp_path}/store")
+    assert sorted((r["id"], r["error"]) for r in engine.embed_all(kb).collect()) == [("a", ""), ("b", "")]
+    assert engine.embed_all(kb).count() == 0 and kb.vectors("hash-64", 64).count() == 2
+    found = engine.enrich()
+    assert engine.enrich_totals(found).first().asDict() == {"enriched": 1, "skipped": 1, "recovered": 0, "failed": 0}
+    markdown.write_files(engine.enriched_files(found), "/")
+    page = markdown.read_file(str(root / "b.md"))
+    assert (page["id"], page["entity_type"], list(page["tags"])) == ("b", "document", ["tag"]) and "body of a" in (root / "a.md").read_text()
