@@ -77,7 +77,31 @@ def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_bitplane_ids, op2_decontaminate, op3_fm_dedup, op4_blob_ledger, op5_repetition, op6_simhash, op7_pseudonyms, op8_ctw_scores, op9_temperature_mix, op10_suffix_arrays)}
+def op11_kd_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmesh.llm.kmeans import clusters
+
+    return clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, salt="3")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmesh.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"), most=8)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quillmesh.llm.token_counts import count_tokens
+
+    # Two versions of the corpus, first its English part and then all of it: the second run encodes
+    # only texts that the cache lacks, and every row gets its count from either.
+    documents, cache, tokenizer = table(spark, sf_dir, "documents"), shared_dir(spark), public_tokenizers.path("byte_bpe_50k.json")
+    count_tokens(documents.where(F.col("lang") == "en"), cache, tokenizer, run="first")
+    return count_tokens(documents, cache, tokenizer, run="second")
+
+
+QUERIES = {f.__name__: f for f in (op1_bitplane_ids, op2_decontaminate, op3_fm_dedup, op4_blob_ledger, op5_repetition, op6_simhash, op7_pseudonyms, op8_ctw_scores, op9_temperature_mix, op10_suffix_arrays, op11_kd_kmeans, op12_whitening, op13_token_counts)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -111,5 +135,20 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_WORDS_PCT} * n_words AS base_failed FROM m) SELECT *, NOT base_failed AND dup_line_chars <= {MAX_DUP_LINE_CHARS} * word_chars AND {verdict} AS kept FROM f""".replace("\\\\", "\\")
 
 
+def _op11(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """A chain of rounds: near gives each vector its nearest centroid, means each centroid its floor of sum / count."""
+    off = "list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    near = lambda r: f"SELECT v.n, v.vec_id, min({{'d': {off}::BIGINT, 'c': c.c}}) AS best FROM v, c{r} c GROUP BY 1, 2"
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h NULLS LAST, q) - 1)::INTEGER AS c, q FROM (SELECT sha256('3:' || vec_id) AS h, q FROM v ORDER BY h NULLS LAST, q LIMIT {k}))",
+    ]
+    for r in range(rounds):
+        parts.append(f"n{r} AS MATERIALIZED ({near(r)})")
+        parts.append(f"m{r} AS (SELECT c, i, (s - (s % n + n) % n) // n AS x FROM (SELECT best.c AS c, i, sum(x) AS s, count(*) AS n FROM (SELECT n{r}.best, unnest(v.q) AS x, unnest(range({dims})) AS i FROM n{r} JOIN v USING (n)) GROUP BY 1, 2))")
+        parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m.q, c{r}.q) AS q FROM c{r} LEFT JOIN (SELECT c, list(x::BIGINT ORDER BY i) AS q FROM m{r} GROUP BY 1) m USING (c))")
+    return f"""WITH {", ".join(parts)}, f AS MATERIALIZED ({near(rounds)}) SELECT vec_id, best.c AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(q, ',')) AS centroid_sha256 FROM f JOIN c{rounds} ON best.c = c"""
+
+
 #: The other operators hash, encode, search by position or iterate beyond SQL; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_decontaminate": _OP2, "op3_fm_dedup": _OP3, "op5_repetition": _op5()}
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": _OP2, "op3_fm_dedup": _OP3, "op5_repetition": _op5(), "op11_kd_kmeans": _op11()}

@@ -1,6 +1,7 @@
 """Plain versions of the corpus queries' contracts, for small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -302,3 +303,58 @@ def op7(text, key):
 
     done = re.sub(ANY, put, text, flags=re.A) if text is not None else None
     return (done, *(counts[k] for k in KINDS))
+
+
+def op11(rows, k=8, rounds=10, dims=64, salt="3"):
+    """{row place: (vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256)} of (vec_id, vector) rows, one vector at a time."""
+    kept = [(i, v, [math.floor(1024 * float(x)) for x in vec]) for i, (v, vec) in enumerate(rows) if vec is not None and len(vec) == dims and all(x is not None and math.isfinite(x) for x in vec)]
+    seeds = sorted(kept, key=lambda r: (r[1] is None, hashlib.sha256(f"{salt}:{r[1]}".encode()).hexdigest() if r[1] is not None else "", r[2]))
+    centroids = [list(q) for _, _, q in seeds[:k]]
+
+    def near(q):
+        return min((sum((a - b) ** 2 for a, b in zip(q, c, strict=True)), j) for j, c in enumerate(centroids))
+
+    for _ in range(rounds):
+        groups = defaultdict(list)
+        for _, _, q in kept:
+            groups[near(q)[1]].append(q)
+        for j, qs in groups.items():
+            centroids[j] = [sum(xs) // len(xs) for xs in zip(*qs, strict=True)]
+    last = [(i, v, *near(q)) for i, v, q in kept]
+    each = Counter()
+    for _, _, d, j in last:
+        each[j] += d
+    return {i: (v, j, d, each[j], sum(each.values()), hashlib.sha256(",".join(map(str, centroids[j])).encode()).hexdigest()) for i, v, d, j in last}
+
+
+def op12(rows, most=8):
+    """ids, deviations, whitened columns (either sign), explained shares of (vec_id, vector) rows of one length."""
+    import numpy as np
+
+    kept = [(v, [math.floor(1024 * float(x)) + 100000 for x in vec]) for v, vec in rows if vec and all(x is not None and math.isfinite(x) for x in vec)]
+    n = len(kept)
+    sums = [sum(xs) for xs in zip(*(x for _, x in kept), strict=True)]
+    deviations = [sum((n * a - s) ** 2 for a, s in zip(x, sums, strict=True)) for _, x in kept]
+    held = np.array([x for _, x in kept], float) - np.array(sums, float) / n
+    cov = held.T @ held / n
+    values, vectors = np.linalg.eigh(cov)
+    values, vectors = values[::-1][:most], vectors[:, ::-1][:, :most]
+    return [v for v, _ in kept], deviations, held @ vectors / np.sqrt(values), values / np.trace(cov)
+
+
+def op13(texts, path, limit=1024):
+    """(n_bytes, n_tokens, over_limit) of each text, one call of the library for each."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        encode = sentencepiece.SentencePieceProcessor(model_file=path).encode
+    else:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        encode = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    out = []
+    for t in texts:
+        n = len(encode(t or ""))
+        out.append((len((t or "").encode()), n, n > limit))
+    return out
