@@ -4,7 +4,7 @@ Matches are found by one pattern, validated (Luhn digit, calendar date, octets),
 under a key within their own format; what fails validation stays as it is. The permutation
 depends on the value and the key alone, so equal values stay linked across documents.
 
-* Card numbers (13 to 19 digits, Luhn), alone or with other numbers beside them: digits but the first and last are permuted; the last is recomputed.
+* Card numbers (13 to 19 digits, Luhn): digits but the first and last are permuted; the last is recomputed. A run of numbers, of any length, is looked through for all spans of whole groups that can be a card, so other numbers may stand before, behind and between cards. Groups are parted by a space or a dash; in the usual shapes also by a dot or two spaces. Of spans that overlap the usual shapes go first, then what starts first, then the usual lengths.
 * Telephone numbers (+country and grouped digits): digits after the country code are permuted. A last group of another number behind a space does not belong to it.
 * E-mail addresses: letters and digits before the @ are permuted, each within its class.
 * IPv4 addresses: a permutation of the 2^32 addresses.
@@ -43,9 +43,12 @@ PATTERNS = {
     "date": r"(?<![\d.])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d.]*\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
-    # Unseparated, or groups of two to six digits; card() tries the spans of groups that can be a card.
-    "card": r"(?<!\d)(?:\d{13,19}|\d{2,6}(?:[ -]\d{2,6}){2,9}+)(?!\d)",
 }
+#: A whole run of numbers in which a card may stand; it ends before a value of another kind. card() looks for the spans.
+_GROUP = rf"(?!{'|'.join(PATTERNS.values())})\d++"
+PATTERNS["card"] = rf"(?<!\d)(?=\d(?:(?:  |[ .-])?\d){{12}}){_GROUP}(?:(?:  |[ .-]){_GROUP})*+"
+#: Digits of each group of a card as it is mostly written; a single group may have any of the lengths.
+SHAPES = ("4-4-4-4", "4-6-5", "4-6-4", "4-4-4-4-3")
 #: Lengths of card numbers, the usual first.
 CARD_DIGITS = (16, 15, 19, 14, 13, 18, 17)
 ANY = "|".join(PATTERNS.values())
@@ -111,6 +114,14 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(chars, F.struct(F.lit(0).alias("i"), F.lit(0).alias("s")), add, lambda acc: acc["s"])
 
 
+def luhn_valid(digits: Column) -> Column:
+    """Whether up to 19 digits have a Luhn sum that ends in 0; without a step for each digit, as it is asked often."""
+    padded = F.lpad(digits, 19, "0")
+    doubled = F.translate(F.regexp_replace(padded, ".(.)?", "$1"), "0123456789", "0246813579")
+    weighed = F.concat(F.regexp_replace(padded, "(.).?", "$1"), doubled)
+    return _bound(weighed, lambda w: F.pmod(reduce(lambda acc, d: acc + d * (19 - F.length(F.replace(w, F.lit(str(d)), F.lit("")))), range(1, 10), F.lit(0)), F.lit(10)) == 0)
+
+
 def _refilled(pattern_of: Column, digits: Column) -> Column:
     """The digits put, in turn, where the old value has digits."""
     chars = F.filter(F.split(pattern_of, ""), lambda c: c != "")
@@ -127,22 +138,72 @@ def _card(span: Column, key: str) -> Column:
     return _refilled(span, F.concat(body, check))
 
 
+def _some(items: Column, a: Column, b: Column, of=lambda x: x) -> Column:
+    """of(item) for the items a .. b - 1; null if there are none. Unlike slice it looks at no other item."""
+    return F.when(b > a, F.transform(F.sequence(a, b - 1), lambda j: of(F.element_at(items, j))))
+
+
+def _span_at(parts: Column, digits: Column, i: Column) -> Column:
+    """struct(n, usual) of the best span of groups that starts at the i-th and is a card; n is 0 if none is."""
+    end = F.least(i + 19, F.size(parts) + 1)
+
+    def best(held):
+        texts = F.transform(F.sequence(F.lit(1), F.size(held)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(held, F.lit(1), n), "").alias("text")))
+        valid = F.filter(texts, lambda s: F.length(s["text"]).between(min(CARD_DIGITS), max(CARD_DIGITS)) & luhn_valid(s["text"]))
+
+        def ranked(s):
+            n = s["n"]
+            seps = F.array_distinct(F.coalesce(_some(parts, i + 1, i + n, lambda p: F.regexp_extract(p, r"^\D*", 0)), F.array().cast("array<string>")))
+            shape = F.array_join(F.transform(F.slice(held, F.lit(1), n), lambda g: F.length(g).cast("string")), "-")
+            usual = (n == 1) | (shape.isin(*SHAPES) & (F.size(seps) == 1))
+            rank = F.array_position(F.array(*map(F.lit, CARD_DIGITS)), F.length(s["text"]))
+            return F.struct((~usual).alias("odd"), rank.alias("rank"), n.alias("n"), (usual | F.forall(seps, lambda x: x.isin(" ", "-"))).alias("fits"))
+
+        first = F.array_min(F.filter(F.transform(valid, ranked), lambda s: s["fits"]))
+        return _bound(first, lambda f: F.struct(F.coalesce(f["n"], F.lit(0)).alias("n"), F.coalesce(~f["odd"], F.lit(False)).alias("usual")))
+
+    return _bound(_some(digits, i, end), best)
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with value bound as an element, so that it is made once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def card(value: Column, key: str) -> Column:
-    """The first span of whole groups, by CARD_DIGITS and then from the left, that has such a length and a valid Luhn digit; what stands around it stays."""
-    parts = F.regexp_extract_all(value, F.lit(r"[ -]?\d+"), F.lit(0))
+    """struct(new, n): a run of numbers with a pseudonym for each card in it, and how many there are.
+
+    From the left, a span is taken where it is free and no span of a usual shape that starts
+    inside it is given up for one of another shape.
+    """
+    parts = F.regexp_extract_all(value, F.lit(r"(?:  |[ .-])?\d+"), F.lit(0))
+
+    def spans(p):
+        digits = F.transform(p, lambda x: F.regexp_replace(x, r"\D", ""))
+        return _bound(digits, lambda d: F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: _span_at(p, d, i)))
 
-    def spans(i):
-        def one(n):
-            span = F.array_join(F.slice(parts, i, n), "")
-            return F.struct(F.array_position(F.array(*map(F.lit, CARD_DIGITS)), F.length(F.regexp_replace(span, "[^0-9]", ""))).alias("rank"), i.alias("at"), n.alias("n"), span.alias("span"))
+    def taken(at):
+        def step(acc, i):
+            s = F.element_at(at, i)
+            inside = F.coalesce(F.array_contains(_some(at, i + 1, i + s["n"], lambda x: x["usual"]), True), F.lit(False))
+            take = (i >= acc["free"]) & (s["n"] > 0) & (s["usual"] | ~inside)
+            return F.when(take, F.struct((i + s["n"]).alias("free"), F.array_append(acc["held"], F.struct(i.alias("at"), (i + s["n"]).alias("to"))).alias("held"))).otherwise(acc)
 
-        return F.transform(F.sequence(F.lit(1), F.size(parts) - i + 1), one)
+        none = F.array().cast("array<struct<at:int,to:int>>")
+        return F.aggregate(F.sequence(F.lit(1), F.size(at)), F.struct(F.lit(1).alias("free"), none.alias("held")), step, lambda acc: acc["held"])
 
-    some = F.filter(F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), spans)), lambda s: s["rank"] > 0)
-    found = F.array_min(F.filter(some, lambda s: F.pmod(luhn_sum(F.regexp_replace(s["span"], "[^0-9]", ""), 0), F.lit(10)) == 0))
-    before = F.array_join(F.slice(parts, F.lit(1), found["at"] - 1), "")
-    after = F.array_join(F.slice(parts, found["at"] + found["n"], F.size(parts)), "")
-    return F.when(found.isNotNull(), F.concat(before, _card(found["span"], key), after))
+    def told(p):
+        def renewed(held):
+            start = lambda i: F.when(i == 0, F.lit(1)).otherwise(F.get(held, i - 1)["to"])
+            text = lambda a, b: F.coalesce(F.array_join(_some(p, a, b), ""), F.lit(""))
+            news = F.transform(held, lambda s, i: F.concat(text(start(i), s["at"]), _card(text(s["at"], s["to"]), key)))
+            rest = F.when(F.size(held) > 0, F.element_at(held, -1)["to"]).otherwise(F.lit(1))
+            new = F.concat(F.array_join(news, ""), text(rest, F.size(p) + 1))
+            return F.struct(F.when(F.size(held) > 0, new).alias("new"), F.size(held).alias("n"))
+
+        return _bound(_bound(spans(p), taken), renewed)
+
+    return F.when(F.size(parts) > 0, _bound(parts, told))
 
 
 def phone(value: Column, key: str) -> Column:
@@ -179,7 +240,12 @@ def ssn(value: Column, key: str) -> Column:
     return F.when(valid, F.concat(area, F.lit("-"), _refilled(F.concat(group, F.lit("-"), serial), permuted_text(F.concat(group, serial), key, "ssn"))))
 
 
-MAKERS = {"email": email, "phone": phone, "date": date, "ssn": ssn, "ip": ip, "card": card}
+def _one(make):
+    """make as a maker of struct(new, n)."""
+    return lambda value, key: _bound(make(value, key), lambda new: F.struct(new.alias("new"), new.isNotNull().cast("int").alias("n")))
+
+
+MAKERS = {"email": _one(email), "phone": _one(phone), "date": _one(date), "ssn": _one(ssn), "ip": _one(ip), "card": card}
 
 
 def pseudonyms(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -192,13 +258,14 @@ def pseudonyms(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "t
         return F.struct(kind.alias("kind"), value.alias("old"))
 
     def renewed(x: Column) -> Column:
-        new = reduce(lambda acc, k: acc.when(x["kind"] == k, MAKERS[k](x["old"], key)), list(MAKERS)[1:], F.when(x["kind"] == "email", email(x["old"], key)))
-        return F.struct(x["kind"].alias("kind"), new.alias("new"), x["old"].alias("old"))
+        first, *others = MAKERS
+        new = reduce(lambda acc, k: acc.when(x["kind"] == k, MAKERS[k](x["old"], key)), others, F.when(x["kind"] == first, MAKERS[first](x["old"], key)))
+        return _bound(new, lambda made: F.struct(x["kind"].alias("kind"), made["new"].alias("new"), F.coalesce(made["n"], F.lit(0)).alias("n"), x["old"].alias("old")))
 
     kinds = rows.withColumn("found", F.transform("found", made))
     news = kinds.withColumn("found", F.transform("found", renewed))
     gaps = F.split("text", ANY, -1)
     told = F.array_join(F.zip_with(gaps, "found", lambda g, m: F.concat(F.coalesce(g, F.lit("")), F.coalesce(m["new"], m["old"], F.lit("")))), "")
-    count = lambda k: F.coalesce(F.size(F.filter("found", lambda m: (m["kind"] == k) & m["new"].isNotNull())), F.lit(0)).cast("long")
-    counts = [(F.when(F.size("found") > 0, count(k)).otherwise(F.lit(0)).cast("long")).alias(f"n_{k}") for k in KINDS]
+    count = lambda k: F.aggregate("found", F.lit(0).cast("long"), lambda acc, m: acc + F.when(m["kind"] == k, m["n"]).otherwise(0))
+    counts = [F.coalesce(count(k), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS]
     return news.select("doc_id", F.when(F.size("found") > 0, told).otherwise(F.col("text")).alias("text"), *counts)

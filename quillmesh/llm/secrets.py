@@ -42,7 +42,7 @@ RULES = [
     ("github_pat", r"\bgithub_pat_[A-Za-z0-9_]{22,}", 0, 33),
     ("gitlab", r"\bglpat-[A-Za-z0-9_-]{20,}", 0, 26),
     ("slack", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
-    ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 0, 0),
     ("google", r"\bAIza[A-Za-z0-9_-]{35}", 0, 39),
     ("stripe", r"\b[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", 0, 24),
     ("npm", r"\bnpm_[A-Za-z0-9]{36}", 0, 40),
