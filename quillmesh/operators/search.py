@@ -2,8 +2,8 @@
 
 A query is a column expression over the pages, so a search is one scan: filter and top-k are
 Catalyst's. The fields' matches are one expression, which the optimizer copies once, into the
-filter above the scan. A batch of queries is compared with the distinct
-values of all pages, BLOCK queries at a time, and the matches meet the pages by value.
+filter above the scan. A batch of queries meets the distinct values of all pages by the keys of
+`matchindex`, and the matches meet the pages by value.
 """
 
 from __future__ import annotations
@@ -15,9 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.matching import best_match, code_score, code_type, distinct_words, match_code
+from quillmesh.functions.matching import best_match, code_score, code_type, distinct_words
 from quillmesh.functions.temporal import multiplier
+from quillmesh.functions.text import trimmed
 from quillmesh.functions.vectors import blended, cosine, unit_score
+from quillmesh.operators.matchindex import value_matches
 from quillmesh.schema import MATCH
 from quillmesh.sources.shared import written
 
@@ -25,8 +27,6 @@ from quillmesh.sources.shared import written
 WEIGHTS = {"title": 7, "entity-name": 10, "alias": 8, "tag": 5, "semantic-hint": 3, "relationship-target": 2, "body": 1}
 RERANKED = 20
 EMBEDDING_WEIGHT = 0.3
-#: Queries that are broadcast at once.
-BLOCK = 1000
 
 
 def normalised(query: str) -> str:
@@ -75,7 +75,7 @@ def search(pages: DataFrame, query: str, now: Column, limit: int = 0, min_score:
     t = F.col("temporal")
     found = found.withColumn("score", F.col("keyword") * multiplier(F.col("confidence"), t["decay_rate"], t["last_verified"], now))
     if vectors is not None and query_vector is not None:
-        held = vectors.select("id", "content_hash", "embedding")
+        held = vectors.select("id", "content_hash", "embedding").dropDuplicates(["id", "content_hash"])  # a vector that is saved twice counts once
         emb = unit_score(cosine(F.col("embedding"), F.array(*map(F.lit, query_vector))))
         found = found.join(held, ["id", "content_hash"], "left").withColumn("__emb", F.when(F.col("embedding").isNotNull(), emb))
         found = found.where((F.col("keyword") > 0) | (F.col("__emb") >= 0.5)).withColumn("score", F.when(F.col("__emb").isNotNull(), blended(F.col("score"), F.col("__emb"), embedding_weight)).otherwise(F.col("score"))).drop("embedding", "__emb")
@@ -116,18 +116,9 @@ def reranked(found: DataFrame, query: str, reranker, top: int = RERANKED) -> Dat
     return top_rows.select(*rest.columns).unionByName(rest)
 
 
-def value_matches(values: DataFrame, queries: DataFrame) -> DataFrame:
-    """values: (value), lower-case; queries: (query_id, q). query_id, value, code of every match, with the queries broadcast BLOCK by BLOCK."""
-    n = queries.count()
-    blocks = 1 if n <= BLOCK else -(-2 * n // BLOCK)  # half full on average, as they are dealt by hash
-    parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries for i in range(blocks)]
-    compared = [values.crossJoin(F.broadcast(p.select("query_id", "q"))).select("query_id", "value", match_code(F.col("q"), F.col("value")).alias("code")) for p in parts]
-    return reduce(DataFrame.unionByName, compared).where("code IS NOT NULL")
-
-
 def search_many(pages: DataFrame, queries: DataFrame, now: Column, per_query: int = 0) -> DataFrame:
     """queries: (query_id, query). query_id, rank, id, title, score, best first within each query. Pages are told apart by id."""
-    asked = queries.where("query <> ''").select("query_id", F.lower(F.trim("query")).alias("q"))
+    asked = queries.where("query <> ''").select("query_id", F.lower(trimmed(F.col("query"))).alias("q"))
     t = F.col("temporal")
     about = pages.select("id", "title", multiplier(F.col("confidence"), t["decay_rate"], t["last_verified"], now).alias("decay"))
 
@@ -136,7 +127,8 @@ def search_many(pages: DataFrame, queries: DataFrame, now: Column, per_query: in
 
     values = F.concat(*(F.transform(v, numbered(f)) for f, v in enumerate(field_values().values())))
     held = written(pages.select("id", F.inline(values)))
-    found = held.join(value_matches(held.select("value").distinct(), asked), "value")
+    distinct = written(held.select("value").where("value IS NOT NULL").distinct())
+    found = held.join(value_matches(distinct, asked), "value")
     best = found.groupBy("query_id", "id").agg(*(F.min(F.when(F.col("field") == i, F.col("code"))).alias(f"__{i}") for i in range(len(WEIGHTS))))
     place = {f: F.col(f"__{i}") for i, f in enumerate(WEIGHTS)}
     results = best.select("query_id", "id", keyword_score(place.__getitem__).alias("keyword")).join(about, "id").withColumn("score", F.col("keyword") * F.col("decay"))
@@ -147,7 +139,7 @@ def search_many(pages: DataFrame, queries: DataFrame, now: Column, per_query: in
 
 def for_llm(results: DataFrame) -> DataFrame:
     """results with `text`: title, confidence, edges, hints and the start of the body, for a prompt."""
-    from quillmesh.functions.text import first_bytes, trimmed
+    from quillmesh.functions.text import first_bytes
 
     kind = F.when(F.col("entity_type") == "", "").otherwise(F.format_string(" (%s)", "entity_type"))
     edges = F.array_join(F.transform("relationships", lambda r: F.concat(r["target"], F.lit(" ("), r["type"], F.lit(")"))), ", ")
