@@ -30,15 +30,30 @@ def with_ids(pages: DataFrame, root: str = "") -> DataFrame:
     """
     explicit = pages.where("id <> ''").select(F.col("id").alias("__taken")).distinct()
     given = pages.where("id <> ''").withColumn("id_derived", F.lit(False))
-    rest = pages.where("id = ''").withColumn("__slug", derived_slug(root))
-    rest = rest.join(explicit, rest["__slug"] == explicit["__taken"], "left")
-    first = F.row_number().over(Window.partitionBy("__slug").orderBy("source_path", "title"))
-    rest = rest.withColumn("__late", F.col("__taken").isNotNull() | (first > 1)).drop("__taken")
-    rest = rest.withColumn("__id", F.when(F.col("__late"), F.concat("__slug", F.lit("-"), F.substring(F.sha2("source_path", 256), 1, 8))).otherwise(F.col("__slug")))
-    rest = rest.join(explicit, rest["__id"] == explicit["__taken"], "left")
-    nth = F.row_number().over(Window.partitionBy("__id").orderBy("source_path", "title")) + F.col("__taken").isNotNull().cast("int")
-    rest = rest.withColumn("__n", nth).withColumn("id", F.when(F.col("__n") > 1, F.concat_ws("-", "__id", F.col("__n").cast("string"))).otherwise(F.col("__id")))
-    return given.unionByName(rest.withColumn("id_derived", F.lit(True)).select(*given.columns))
+    rest = written(pages.where("id = ''").withColumns({"__slug": derived_slug(root), "__row": F.monotonically_increasing_id()}))
+    lowest = rest.groupBy("__slug").agg(F.min(F.struct("source_path", "title", "__row")).alias("f"))
+    first = lowest.join(explicit, F.col("__slug") == F.col("__taken"), "left_anti").select("f.__row")
+    plain = rest.join(first, "__row", "left_semi").withColumn("id", F.col("__slug"))
+    late = rest.join(first, "__row", "left_anti").withColumn("__id", F.concat("__slug", F.lit("-"), F.substring(F.sha2("source_path", 256), 1, 8)))
+    late = numbered(late, "__id", ["source_path", "title"], "__row")
+    # Ids are numbered from 2 on where an explicit one is in the way.
+    late = late.join(explicit, late["__id"] == explicit["__taken"], "left").withColumn("n", F.col("n") + F.col("__taken").isNotNull().cast("int"))
+    late = late.withColumn("id", F.when(F.col("n") > 1, F.concat_ws("-", "__id", F.col("n").cast("string"))).otherwise(F.col("__id")))
+    derived = plain.select(*pages.columns).unionByName(late.select(*pages.columns)).withColumn("id_derived", F.lit(True))
+    return given.unionByName(derived.select(*given.columns))
+
+
+def numbered(rows: DataFrame, key: str, order: list[str], row: str) -> DataFrame:
+    """rows with n, their number from 1 on within the key in this order; `row` tells equal ones apart.
+
+    No task holds a key: rows are sorted by range, so a frequent key lies in several parts, and are
+    numbered in each part; a part's first number comes from the counts of the parts before it.
+    """
+    cut = written(rows.repartitionByRange(key, *order, row).withColumn("__part", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("__part", key).orderBy(*order, row))
+    before = F.sum("count").over(Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = cut.groupBy(key, "__part").count().select(key, "__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    return cut.withColumn("__inside", inside).join(parts, [key, "__part"]).withColumn("n", F.col("__before") + F.col("__inside")).drop("__part", "__before", "__inside")
 
 
 @dataclass(frozen=True)

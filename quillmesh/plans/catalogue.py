@@ -533,6 +533,24 @@ def bfs_edges(spark, sf_dir):
     return traverse.breadth_first(_graph(spark, sf_dir), "supplier-5", 2, "both")[1]
 
 
+def _bfs_many_sql(roots: str, steps: str, depth: int, what: str) -> str:
+    return f"""WITH RECURSIVE {O.COMPANY}, steps AS ({steps}), hop AS (SELECT DISTINCT node, visit FROM steps),
+walk AS (SELECT id AS root, id, 0 AS depth FROM pages WHERE {roots} UNION SELECT w.root, h.visit, w.depth + 1 FROM walk w JOIN hop h ON h.node = w.id JOIN pages p ON p.id = h.visit WHERE w.depth < {depth}),
+nodes AS (SELECT root, id, min(depth) AS depth FROM walk GROUP BY 1, 2) {what}"""
+
+
+@query(_bfs_many_sql("entity_type = 'organization'", f"{_AHEAD} UNION ALL {_BACK}", 2, "SELECT root, id, depth FROM nodes"))
+def bfs_many_roots(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return traverse.breadth_first_many(g, g.pages.where("entity_type = 'organization'"), 2, "both")[0]
+
+
+@query(_bfs_many_sql("entity_type = 'organization'", _AHEAD, 3, "SELECT root, edge_from, edge_to, type, strength FROM nodes JOIN steps ON node = id WHERE depth < 3"))
+def bfs_many_edges(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return traverse.breadth_first_many(g, g.pages.where("entity_type = 'organization'"), 3)[1]
+
+
 @query(_bfs_sql("customer-100", _AHEAD, 3, "SELECT max(depth) AS max_depth FROM nodes"))
 def bfs_max_depth(spark, sf_dir):
     return traverse.max_depth(traverse.breadth_first(_graph(spark, sf_dir), "customer-100", 3)[0])

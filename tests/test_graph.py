@@ -77,6 +77,58 @@ def test_breadth_first(graph):
         traverse.breadth_first(graph, "nobody")
 
 
+def wide(spark, n=140):
+    """A graph with branches, cycles, edges to nothing and a hub."""
+    import random
+
+    r = random.Random(4)
+    rows = [{"id": f"p{i}", "title": f"P{i}", "relationships": [rel(f"p{r.choice([0, r.randrange(n)])}", r.choice("tu")) for _ in range(r.randint(0, 3))] + [rel("nothing")] * (i % 9 == 0)} for i in range(n)]
+    return KnowledgeGraph.build(pages(spark, *rows))
+
+
+@pytest.mark.parametrize(("direction", "types"), [("forward", None), ("both", ["t"]), ("reverse", None)])
+def test_many_roots_are_single_ones_at_once(spark, direction, types):
+    g = wide(spark)
+    asked = [f"p{i}" for i in range(0, 140, 2)]  # more than a word
+    roots = spark.createDataFrame([(i,) for i in [*asked, "p0", "no page", None]], "id string").repartition(3)
+    nodes, edges = traverse.breadth_first_many(g, roots, 3, direction, types)
+    got = {i: (set(), []) for i in asked}
+    for r in nodes.collect():
+        got[r["root"]][0].add((r["id"], r["depth"]))
+    for r in edges.collect():
+        got[r["root"]][1].append(tuple(r)[1:])
+    assert nodes.count() == sum(len(a) for a, _ in got.values())
+    steps = [tuple(r) for r in traverse.oriented(g, direction, types).select("node", "visit", "edge_from", "edge_to", "type", "strength").collect()]
+    ids = {r["id"] for r in g.pages.select("id").collect()}
+    for root, (ns, es) in got.items():
+        depth, front = {root: 0}, [root]
+        for d in range(1, 4):
+            front = list({v for n, v, *_ in steps if n in front and v in ids and v not in depth})
+            depth |= dict.fromkeys(front, d)
+        assert ns == set(depth.items())
+        assert sorted(es) == sorted(tuple(e[2:]) for e in steps if depth.get(e[0], 3) < 3)
+
+
+def test_no_roots(spark, graph):
+    nodes, edges = traverse.breadth_first_many(graph, graph.pages.where("id = 'nobody'"))
+    assert nodes.count() == 0 and edges.count() == 0
+
+
+def test_ids_under_a_hot_slug(spark):
+    """Pages whose names have no letter that a slug keeps: all have one slug, and equal paths one hash."""
+    import hashlib
+
+    rows = [{"source_path": f"/kb/{chr(0x4E00 + i)}.md", "title": f"t{i}"} for i in range(150)] + [{"source_path": "/kb/語.md", "title": f"{i % 40:02}"} for i in range(120)] + [{"id": "untitled-" + hashlib.sha256("/kb/語.md".encode()).hexdigest()[:8]}]
+    got = with_ids(pages(spark, *rows).repartition(7), "/kb")
+    ids = [r["id"] for r in got.collect()]
+    assert len(ids) == len(set(ids)) == 271
+    first = min(r["source_path"] for r in rows if "source_path" in r)
+    by = {r["source_path"]: r["id"] for r in got.where("source_path <> '/kb/語.md'").collect()}
+    assert by[first] == "untitled" and all(v == f"untitled-{hashlib.sha256(p.encode()).hexdigest()[:8]}" for p, v in by.items() if p not in (first, ""))
+    many = sorted((r["title"], int(r["id"].split("-")[2])) for r in got.where("source_path = '/kb/語.md'").collect())
+    assert [n for _, n in sorted((n, t) for t, n in many)] == sorted(t for t, _ in many) and [n for _, n in many] == list(range(2, 122))
+
+
 def test_depth_first(graph):
     got = [tuple(r) for r in traverse.depth_first(graph, "a", 2).orderBy("n").select("id", "depth").collect()]
     assert got == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
