@@ -32,8 +32,8 @@ _LONG = (1 << 63) - 1
 
 
 def integers(rows: DataFrame, dims: int) -> DataFrame:
-    """vec_id and the columns x0, x1, ... of rows (vec_id, v)."""
-    return rows.select("vec_id", *((F.floor(F.get("v", F.lit(i)) * SCALE) + OFFSET).alias(f"x{i}") for i in range(dims)))
+    """vec_id and the columns x0, x1, ... of rows (vec_id, v). None is null, and told so: sums of what may be null take twice the time."""
+    return rows.select("vec_id", *(F.coalesce(F.floor(F.get("v", F.lit(i)) * SCALE) + OFFSET, F.lit(0)).alias(f"x{i}") for i in range(dims)))
 
 
 def centred(x: DataFrame, mean: list[float]) -> DataFrame:
