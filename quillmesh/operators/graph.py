@@ -12,6 +12,10 @@ from quillmesh.functions.text import base_name, reconcile_key, stem
 from quillmesh.sources.shared import written
 
 
+#: Columns of resolved edges.
+DECLARED = ["src", "written", "target", "type", "strength", "semantic", "resolved", "ord"]
+
+
 def derived_slug(root: str) -> Column:
     """Slug of the path below root without its extension; of the file's name elsewhere; of the title without a path."""
     path, title = F.col("source_path"), F.col("title")
@@ -22,13 +26,14 @@ def derived_slug(root: str) -> Column:
     return F.when(key == "", "untitled").otherwise(key)
 
 
-def with_ids(pages: DataFrame, root: str = "") -> DataFrame:
-    """pages with an id in every row, and `id_derived`.
+def with_ids(pages: DataFrame, root: str = "", taken: DataFrame | None = None) -> DataFrame:
+    """pages with an id in every row, and `id_derived`. taken: (id) of explicit ones elsewhere.
 
     Explicit ids come first. The pages without one take their slug in order of path; whoever
     finds it taken adds eight hex digits of the path's SHA-256, then a number.
     """
-    explicit = pages.where("id <> ''").select(F.col("id").alias("__taken")).distinct()
+    explicit = pages.where("id <> ''").select(F.col("id").alias("__taken"))
+    explicit = (explicit if taken is None else explicit.union(taken.select("id"))).distinct()
     given = pages.where("id <> ''").withColumn("id_derived", F.lit(False))
     rest = written(pages.where("id = ''").withColumns({"__slug": derived_slug(root), "__row": F.monotonically_increasing_id()}))
     lowest = rest.groupBy("__slug").agg(F.min(F.struct("source_path", "title", "__row")).alias("f"))
@@ -56,6 +61,30 @@ def numbered(rows: DataFrame, key: str, order: list[str], row: str) -> DataFrame
     return cut.withColumn("__inside", inside).join(parts, [key, "__part"]).withColumn("n", F.col("__before") + F.col("__inside")).drop("__part", "__before", "__inside")
 
 
+def claims_of(pages: DataFrame, *more: str) -> DataFrame:
+    """(key, page_id, more): what each page can be called."""
+    entities = F.flatten(F.transform("entities", lambda e: F.concat(F.array(e["name"]), e["aliases"])))
+    names = F.concat(F.array("id", "title", stem(F.col("source_path"))), entities)
+    claimed = pages.select(F.col("id").alias("page_id"), *more, F.explode(names).alias("name")).select(reconcile_key(F.col("name")).alias("key"), "page_id", *more)
+    return claimed.where("key <> ''").distinct()
+
+
+def edges_of(pages: DataFrame, *more: str) -> DataFrame:
+    """src, written, type, strength, semantic, ord, more, key: edges as the pages declare them."""
+    told = lambda name, semantic: F.transform(name, lambda r: F.struct(r["target"].alias("target"), r["type"].alias("type"), r["strength"].alias("strength"), F.lit(semantic).alias("semantic")))
+    both = F.concat(told("relationships", False), told("semantic_relationships", True))
+    edges = pages.select(F.col("id").alias("src"), *more, F.posexplode(both).alias("ord", "e")).select("src", F.col("e.target").alias("written"), "e.type", "e.strength", "e.semantic", "ord", *more)
+    return edges.where("written <> ''").withColumn("key", reconcile_key(F.col("written")))
+
+
+def resolved(edges: DataFrame, ids: DataFrame, owners: DataFrame) -> DataFrame:
+    """edges with target and resolved. ids: (id) of pages that a key names; owners: (key, page_id). An id goes before a key."""
+    by_id = edges.join(ids.select(F.col("id").alias("__id")), F.col("written") == F.col("__id"), "left")
+    both = by_id.join(owners.select("key", F.col("page_id").alias("__alias")), "key", "left")
+    target = F.coalesce("__id", "__alias")
+    return both.withColumns({"target": F.coalesce(target, "written"), "resolved": target.isNotNull()}).drop("__id", "__alias")
+
+
 @dataclass(frozen=True)
 class KnowledgeGraph:
     """pages with ids; everything else follows from them, as plans that Spark runs when asked.
@@ -73,10 +102,7 @@ class KnowledgeGraph:
     @cached_property
     def claims(self) -> DataFrame:
         """(key, page_id): what each page can be called."""
-        entities = F.flatten(F.transform("entities", lambda e: F.concat(F.array(e["name"]), e["aliases"])))
-        names = F.concat(F.array("id", "title", stem(F.col("source_path"))), entities)
-        claimed = self.pages.select(F.col("id").alias("page_id"), F.explode(names).alias("name")).select(reconcile_key(F.col("name")).alias("key"), "page_id")
-        return written(claimed.where("key <> ''").distinct())
+        return written(claims_of(self.pages))
 
     @cached_property
     def aliases(self) -> DataFrame:
@@ -94,15 +120,8 @@ class KnowledgeGraph:
         An exact id goes before an alias; an edge to nothing known keeps its text. A page that no
         key names can't be resolved to, not even by its id.
         """
-        plain = F.transform("relationships", lambda r: F.struct(r["target"].alias("target"), r["type"].alias("type"), r["strength"].alias("strength"), F.lit(False).alias("semantic")))
-        semantic = F.transform("semantic_relationships", lambda r: F.struct(r["target"].alias("target"), r["type"].alias("type"), r["strength"].alias("strength"), F.lit(True).alias("semantic")))
-        edges = self.pages.select(F.col("id").alias("src"), F.posexplode(F.concat(plain, semantic)).alias("ord", "e")).select("src", F.col("e.target").alias("written"), "e.type", "e.strength", "e.semantic", "ord").where("written <> ''")
-        ids = self.claims.select(F.col("page_id").alias("__id")).distinct()
-        keyed = edges.withColumn("__key", reconcile_key(F.col("written")))
-        by_id = keyed.join(ids, F.col("written") == F.col("__id"), "left")
-        both = by_id.join(self.aliases.select(F.col("key").alias("__key"), F.col("page_id").alias("__alias")), "__key", "left")
-        target = F.coalesce("__id", "__alias")
-        return written(both.select("src", "written", F.coalesce(target, "written").alias("target"), "type", "strength", "semantic", target.isNotNull().alias("resolved"), "ord"))
+        ids = self.claims.select(F.col("page_id").alias("id")).distinct()
+        return written(resolved(edges_of(self.pages), ids, self.aliases).select(*DECLARED))
 
     @cached_property
     def edges(self) -> DataFrame:

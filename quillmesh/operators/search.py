@@ -20,6 +20,7 @@ from quillmesh.functions.temporal import multiplier
 from quillmesh.functions.text import trimmed
 from quillmesh.functions.vectors import blended, cosine, unit_score
 from quillmesh.operators.matchindex import value_matches
+from quillmesh.operators.nearest import top_k
 from quillmesh.schema import MATCH
 from quillmesh.sources.shared import written
 
@@ -116,8 +117,16 @@ def reranked(found: DataFrame, query: str, reranker, top: int = RERANKED) -> Dat
     return top_rows.select(*rest.columns).unionByName(rest)
 
 
-def search_many(pages: DataFrame, queries: DataFrame, now: Column, per_query: int = 0) -> DataFrame:
-    """queries: (query_id, query). query_id, rank, id, title, score, best first within each query. Pages are told apart by id."""
+def search_many(
+    pages: DataFrame, queries: DataFrame, now: Column, per_query: int = 0, vectors: DataFrame | None = None, embedding_weight: float = EMBEDDING_WEIGHT, reranker=None, top: int = RERANKED
+) -> DataFrame:
+    """queries: (query_id, query). query_id, rank, id, title, score, best first within each query. Pages are told apart by id.
+
+    With vectors (id, content_hash, embedding), queries that have an `embedding` blend their
+    similarity in, as search does; pages then need content_hash, and per_query must be given: pages
+    without a matching word come from an exact search for the nearest per_query vectors. A reranker
+    orders the first `top` of each query anew, a call for each, and the rest follows.
+    """
     asked = queries.where("query <> ''").select("query_id", F.lower(trimmed(F.col("query"))).alias("q"))
     t = F.col("temporal")
     about = pages.select("id", "title", multiplier(F.col("confidence"), t["decay_rate"], t["last_verified"], now).alias("decay"))
@@ -131,10 +140,54 @@ def search_many(pages: DataFrame, queries: DataFrame, now: Column, per_query: in
     found = held.join(value_matches(distinct, asked), "value")
     best = found.groupBy("query_id", "id").agg(*(F.min(F.when(F.col("field") == i, F.col("code"))).alias(f"__{i}") for i in range(len(WEIGHTS))))
     place = {f: F.col(f"__{i}") for i, f in enumerate(WEIGHTS)}
-    results = best.select("query_id", "id", keyword_score(place.__getitem__).alias("keyword")).join(about, "id").withColumn("score", F.col("keyword") * F.col("decay"))
-    ranked = results.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "title", "id")))
-    out = ranked.select("query_id", "rank", "id", "title", "score")
-    return out.where(F.col("rank") <= per_query) if per_query else out
+    results = best.select("query_id", "id", keyword_score(place.__getitem__).alias("keyword"))
+    if vectors is None:
+        results = results.join(about, "id").withColumn("score", F.col("keyword") * F.col("decay"))
+    else:
+        if not per_query:
+            raise ValueError("a batch with vectors takes per_query")
+        results = _with_vectors(results, pages, queries, vectors, about, per_query if reranker is None else max(per_query, top), embedding_weight)
+    ranked = results.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "title", "id"))).select("query_id", "rank", "id", "title", "score")
+    if reranker is not None:
+        ranked = _reranked_many(ranked, pages, queries, reranker, top)
+    return ranked.where(F.col("rank") <= per_query) if per_query else ranked
+
+
+def _with_vectors(results: DataFrame, pages: DataFrame, queries: DataFrame, vectors: DataFrame, about: DataFrame, k: int, weight: float) -> DataFrame:
+    """query_id, id, title, score: the keyword matches and, of all others, those that can be among the first k."""
+    current = vectors.select("id", "content_hash", "embedding").dropDuplicates(["id", "content_hash"]).join(pages.select("id", "content_hash", "title"), ["id", "content_hash"])
+    current = written(current.select("id", "embedding", F.concat("title", F.lit("\0"), "id").alias("tie")))
+    asked = queries.where("query <> ''").where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    matched = results.join(about, "id").join(current.select("id", F.col("embedding").alias("__v")), "id", "left").join(asked.withColumnRenamed("embedding", "__q"), "query_id", "left")
+    emb = F.when(F.col("__v").isNotNull() & F.col("__q").isNotNull(), unit_score(cosine(F.col("__v"), F.col("__q"))))
+    plain = F.col("keyword") * F.col("decay")
+    matched = matched.withColumn("__emb", emb).select("query_id", "id", "title", F.when(F.col("__emb").isNotNull(), blended(plain, F.col("__emb"), weight)).otherwise(plain).alias("score"), (F.col("keyword") > 0).alias("__found"))
+    near = top_k(current, asked, k)[0].withColumn("__emb", unit_score(F.col("similarity"))).where("__emb >= 0.5").join(about.select("id", "title"), "id")
+    rescued = near.join(results.select("query_id", "id"), ["query_id", "id"], "left_anti").select("query_id", "id", "title", blended(F.lit(0.0), F.col("__emb"), weight).alias("score"))
+    return matched.where("__found").drop("__found").unionByName(rescued)
+
+
+def _reranked_many(ranked: DataFrame, pages: DataFrame, queries: DataFrame, reranker, top: int) -> DataFrame:
+    """The first `top` of each query in the reranker's order; what it leaves out is dropped, and where it fails the order stays."""
+    held = written(ranked)
+    head = held.where(F.col("rank") <= top).join(pages.select("id", "body"), "id").join(queries.select("query_id", "query"), "query_id")
+    kind = ranked.schema["query_id"].dataType.simpleString()
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("rank")
+        try:
+            order = [(int(i), float(s)) for i, s in reranker(batch["query"].iloc[0], batch["id"].tolist(), batch["body"].tolist(), batch["score"].tolist())]
+        except Exception as e:  # noqa: BLE001  one query's failure leaves the others' results
+            logging.getLogger(__name__).warning("the reranker failed, results stay as they were: %s", e)
+            order = list(enumerate(batch["score"].tolist()))
+        picked = batch.iloc[[i for i, _ in order]]
+        return pd.DataFrame({"query_id": picked["query_id"], "rank": range(1, len(order) + 1), "id": picked["id"], "title": picked["title"], "score": [s for _, s in order]})
+
+    first = written(head.groupBy("query_id").applyInPandas(run, f"query_id {kind}, rank int, id string, title string, score double"))
+    kept = first.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("__kept"))
+    moved = F.col("rank") - F.lit(top) + F.coalesce("__kept", F.lit(0))
+    rest = held.where(F.col("rank") > top).join(kept, "query_id", "left").select("query_id", moved.alias("rank"), "id", "title", "score")
+    return first.unionByName(rest)
 
 
 def for_llm(results: DataFrame) -> DataFrame:

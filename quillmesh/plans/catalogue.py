@@ -11,13 +11,15 @@ from quillmesh.functions import collections as C
 from quillmesh.functions import temporal as T
 from quillmesh.functions import text as X
 from quillmesh.functions import vectors as V
-from quillmesh.operators import enrich, handoff, models, traverse, validation
+from quillmesh.operators import enrich, handoff, models, nearest, traverse, validation
 from quillmesh.operators import search as S
 from quillmesh.operators.graph import KnowledgeGraph, with_ids
+from quillmesh.operators.incremental import GraphTables
 from quillmesh.plans import oracle as O
 from quillmesh.plans.datasets import QUERY_VECTOR, ROOT, company, notes, parts, table, vectors
 from quillmesh.schema import conform
 from quillmesh.sources import markdown, store
+from quillmesh.sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,6 +106,25 @@ def search_hybrid(spark, sf_dir):
     return found.select("id", F.round("keyword", 6).alias("keyword"), F.round("score", 6).alias("score"))
 
 
+_VECTORS_OF = [[((i * (7 + q)) % 11 - 5) / 10 for i in range(64)] for q in range(len(_MANY))]
+
+
+@query(f"WITH {O.PARTS}, {O.VECTORS}, q AS (SELECT unnest({_MANY}) AS query, unnest(range({len(_MANY)})) AS query_id, unnest({_VECTORS_OF})::DOUBLE[] AS qv), scored AS (SELECT query_id, p.*, {O.keyword('query')} AS keyword, CASE WHEN v.id IS NULL THEN NULL ELSE ({O.cosine('v.embedding', 'qv')} + 1) / 2 END AS emb FROM q, parts p LEFT JOIN vectors v ON v.id = p.id AND v.content_hash = 'h-' || p.k), f AS (SELECT query_id, id, title, emb, keyword * ({O.multiplier()}) AS kw FROM scored WHERE keyword > 0 OR emb >= 0.5), r AS (SELECT query_id, id, title, CASE WHEN emb IS NULL THEN kw ELSE 0.7 * kw + 0.3 * emb END AS score FROM f), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, id) AS rank FROM r) SELECT query_id, rank, id, round(score, 6) AS score FROM n WHERE rank <= 100")
+def search_multi_hybrid(spark, sf_dir):
+    pages = parts(spark, sf_dir).withColumn("content_hash", F.regexp_replace("id", "^part", "h"))
+    asked = spark.createDataFrame([(i, q, v) for i, (q, v) in enumerate(zip(_MANY, _VECTORS_OF, strict=True))], "query_id long, query string, embedding array<double>")
+    found = S.search_many(pages, asked, now(), per_query=100, vectors=vectors(spark, sf_dir))
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {O.cosine('q.e', 'v.e')} AS similarity FROM v q, v WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) SELECT query_id, rank, id, round(similarity, 6) AS similarity FROM r WHERE rank <= 10")
+def nearest_vectors(spark, sf_dir):
+    held = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.lpad(F.col("vec_id").cast("string"), 20, "0").alias("tie"), "embedding")
+    asked = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    found = nearest.top_k(held, asked, 10)[0]
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("id").cast("long").alias("id"), F.round("similarity", 6).alias("similarity"))
+
+
 def _by_length(q, ids, texts, scores):
     """A stand-in reranker: shorter texts first; leaves out texts of 29 characters or more."""
     return sorted(((i, 100.0 - len(t)) for i, t in enumerate(texts) if len(t) < 29), key=lambda x: (-x[1], x[0]))
@@ -115,6 +136,12 @@ def rerank_topn(spark, sf_dir):
     return found.select("id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
+@query(f"WITH {O.PARTS}, q AS (SELECT unnest({_MANY}) AS query, unnest(range({len(_MANY)})) AS query_id), scored AS (SELECT query_id, id, title, body, confidence, decay_rate, last_verified, {O.keyword('query')} AS keyword FROM parts, q), r AS (SELECT query_id, id, title, body, keyword * ({O.multiplier()}) AS score, row_number() OVER (PARTITION BY query_id ORDER BY keyword * ({O.multiplier()}) DESC, title, id) AS n FROM scored WHERE keyword > 0), h AS (SELECT query_id, id, (100 - length(body))::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY length(body), n) AS rank FROM r WHERE n <= 20 AND length(body) < 29), k AS (SELECT query_id, count(*) AS kept FROM h GROUP BY 1) SELECT query_id, rank, id, round(score, 6) AS score FROM h UNION ALL SELECT query_id, n - 20 + coalesce(kept, 0), id, round(score, 6) FROM r LEFT JOIN k USING (query_id) WHERE n > 20")
+def rerank_many(spark, sf_dir):
+    asked = spark.createDataFrame([(i, q) for i, q in enumerate(_MANY)], "query_id long, query string")
+    return S.search_many(parts(spark, sf_dir), asked, now(), reranker=_by_length).select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {O.PARTS} SELECT id, '# ' || title || ' (tool)' || {O.NL} || 'Confidence: ' || printf('%.2f', confidence) || {O.NL} || 'Relationships: ' || targets[1] || ' (made-by)' || {O.NL} || 'Semantic hints: ' || hints[1] || {O.NL} || {O.NL} || body || {O.NL} AS text FROM parts")
 def format_for_llm(spark, sf_dir):
     return S.for_llm(parts(spark, sf_dir)).select("id", "text")
@@ -415,6 +442,22 @@ def resolve_targets(spark, sf_dir):
     return _graph(spark, sf_dir).declared.select("src", "written", "target", "type", "resolved")
 
 
+def _updated(spark, sf_dir) -> KnowledgeGraph:
+    """The company's graph by an update: first without customers, with suppliers under other names and a page too many."""
+    pages = company(spark, sf_dir).withColumn("source_path", F.concat(F.lit("/kb/"), F.col("id"), F.lit(".md")))
+    supplier = F.col("entity_type") == "organization"
+    before = pages.where("entity_type <> 'person'").withColumn("title", F.when(supplier, F.concat(F.lit("Planet "), F.col("title"))).otherwise(F.col("title")))
+    extra = conform(spark.createDataFrame([("aaa", "Planet 3", "/kb/old.md")], "id string, title string, source_path string"))
+    tables = GraphTables(spark, shared_dir(spark), "/kb")
+    tables.build(before.unionByName(extra))
+    return tables.update(pages.where(supplier | (F.col("entity_type") == "person")), extra.select("source_path"))
+
+
+@query(f"WITH {O.COMPANY} SELECT src, written, target, type, strength, semantic, resolved, ord FROM declared")
+def incremental_graph(spark, sf_dir):
+    return _updated(spark, sf_dir).declared.select("src", "written", "target", "type", "strength", "semantic", "resolved", "ord")
+
+
 @query(f"WITH {O.COMPANY} SELECT target, src, semantic FROM declared WHERE NOT resolved")
 def dangling_refs(spark, sf_dir):
     return _graph(spark, sf_dir).dangling

@@ -155,6 +155,32 @@ def test_search(graph):
     assert ranked[0]["id"] == "a" and ranked[0]["score"] == 1.0 and ranked[0]["matches"] == []
 
 
+def test_batches_reranked_and_blended(spark):
+    held = pages(spark, *({"id": f"p{i}", "title": f"ring {i}", "body": "x" * i, "confidence": 0.5} for i in range(30)))
+    asked = spark.createDataFrame([(1, "ring", [1.0, 0.0]), (2, "ring", None), (3, "zzzzzz", [0.0, 1.0])], "query_id long, query string, embedding array<double>")
+    now = F.lit(NOW).cast("timestamp")
+    plain = {(r["query_id"], r["rank"]): r["id"] for r in search.search_many(held, asked, now).collect()}
+
+    def reranker(query, ids, texts, scores):
+        if fails:
+            raise RuntimeError("no model")
+        return [(i, 9.0) for i in reversed(range(len(ids))) if i % 2]
+
+    fails = True
+    assert {(r["query_id"], r["rank"]): r["id"] for r in search.search_many(held, asked, now, reranker=reranker).collect()} == plain
+    fails = False
+    got = {(r["query_id"], r["rank"]): r["id"] for r in search.search_many(held, asked, now, reranker=reranker).collect()}
+    assert [got[1, n] for n in range(1, 11)] == [plain[1, n] for n in range(20, 0, -2)] and [got[1, n] for n in range(11, 21)] == [plain[1, n] for n in range(21, 31)]
+    hashed = held.withColumn("content_hash", F.lit("h"))
+    vectors = spark.createDataFrame([(f"p{i}", "h" if i else "old", [float(i), 5.0]) for i in (0, 1, 2, 2, 7)], "id string, content_hash string, embedding array<double>")
+    got = search.search_many(hashed, asked, now, per_query=4, vectors=vectors).collect()
+    for q, text, v in ((1, "ring", [1.0, 0.0]), (2, "ring", None), (3, "zzzzzz", [0.0, 1.0])):
+        one = search.search(hashed, text, now, limit=4, vectors=vectors if v else None, query_vector=v).collect()
+        assert [(r["id"], round(r["score"], 9)) for r in one] == [(r["id"], round(r["score"], 9)) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
+    with pytest.raises(ValueError):
+        search.search_many(hashed, asked, now, vectors=vectors)
+
+
 def test_validation(spark):
     bad = pages(spark, {"confidence": 1.5, "relationships": [rel("", "", 2.0)], "temporal": {"valid_from": "2024-13-01", "last_verified": "2024-02-30", "decay_rate": -1.0}, "entities": [{"name": ""}]}, {"id": "i", "title": "t", "entity_type": "e"})
     found = [r["field"] for r in validation.issues(bad).orderBy("n").collect()]
