@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import content_hash, embedding_text, strip_fence
-from quillmesh.operators import enrich, models, search, traverse, validation
+from quillmesh.operators import enrich, models, prompts, search, traverse, validation
 from quillmesh.operators.graph import KnowledgeGraph
+from quillmesh.schema import ENTITY_TYPES
 from quillmesh.sources import markdown, store
 from quillmesh.sources.shared import written
 
@@ -32,6 +33,11 @@ class Settings:
     parallel: bool = False
     parallel_workers: int = 0
     entity_types: tuple[str, ...] = field(default=())
+    predicates: tuple[str, ...] = field(default=())
+    chat_model: str = ""
+    chat_endpoint: str = ""
+    extraction_format: str = ""
+    triples_endpoint: str = ""
 
     @classmethod
     def cascade(cls, *layers: dict, environment: dict | None = None) -> Settings:
@@ -156,23 +162,37 @@ class Engine:
     def enrich(self, force: bool = False, chat: models.Chat | None = None, fallback: models.Chat | None = None, max_files: int = 0) -> DataFrame:
         """Pages after extraction and, with a model, its merge; `status` is skipped, enriched, recovered or failed.
 
+        The model is asked in the shape of its settings; where no summary comes of that, a call of its own asks for one. With `parallel`,
+        parallel_workers calls (4 if not set) are in flight at a time.
         A page whose model call failed keeps what extraction found and an empty summary, so that the next run takes it up again.
         """
+        own = self.settings
+        workers = (own.parallel_workers or 4) if own.parallel else 0
         todo = enrich.needs_enrichment(tier2=chat is not None) | F.lit(force)
         pages = self.graph.pages.withColumn("status", F.when(todo, "enriched").otherwise("skipped"))
         merged = enrich.merge_frontmatter(enrich.tier1(pages.where("status = 'enriched'"), self.settings.root), force=force).drop("extracted")
         if chat is not None:
-            found = models.extracted(merged.select("id", "body"), chat)
+            shape = models.shape_for(own.chat_model, own.chat_endpoint, own.extraction_format, own.triples_endpoint)
+            prompt, message = prompts.extraction(shape, own.entity_types or ENTITY_TYPES, own.predicates)
+            found = written(models.extracted(merged.select("id", "body"), chat, prompt, shape, message, workers))  # a call is paid for once
             good = found.where("status = 'ok'").withColumn("outcome", F.lit("enriched"))
             if fallback is not None:
                 queue = found.where("status = 'parse-error'").select("id").join(merged.select("id", "body"), "id").withColumn("ord", F.col("id"))
-                good = good.unionByName(models.recovered(queue, fallback, max_files=max_files).where("recovered").withColumn("outcome", F.lit("recovered")).select(*good.columns))
-            model = F.struct("entity_type", "summary", F.transform("entities", lambda e: F.struct(e["name"].alias("name"), F.array().cast("array<string>").alias("aliases"), e["role"].alias("role"))).alias("entities"), "relationships", F.array().cast("array<string>").alias("semantic_hints"), F.array().cast("array<string>").alias("possible_questions"))
+                good = good.unionByName(models.recovered(queue, fallback, max_files=max_files, workers=workers).where("recovered").withColumn("outcome", F.lit("recovered")).select(*good.columns))
+            model = F.struct("entity_type", "summary", F.transform("entities", lambda e: F.struct(e["name"].alias("name"), e["aliases"].alias("aliases"), e["role"].alias("role"))).alias("entities"), "relationships", "semantic_hints", "possible_questions")
             both = merged.join(good.select("id", model.alias("model"), "outcome"), "id", "left")
             done = enrich.merge_model(both.where("model IS NOT NULL"), force=force).withColumn("status", F.col("outcome"))
-            merged = done.select(*merged.columns).unionByName(both.where("model IS NULL").withColumn("status", F.lit("failed")).select(*merged.columns))
+            done = self._summarised(written(done.select(*merged.columns)), chat, force, workers)
+            merged = done.unionByName(both.where("model IS NULL").withColumn("status", F.lit("failed")).select(*merged.columns))
         return merged.unionByName(pages.where("status = 'skipped'").select(*merged.columns))
 
+    def _summarised(self, pages: DataFrame, chat: models.Chat, force: bool, workers: int) -> DataFrame:
+        """pages with the summaries that they lack; one that fails stays empty, for the next run."""
+        lacking = pages.where(F.lit(force) | (F.col("summary") == ""))
+        told = written(models.summarised(lacking, chat, workers)).select("id", F.col("summary").alias("__new"))
+        both = pages.join(told, "id", "left")
+        return enrich.merge_summary(both, F.coalesce("__new", F.lit("")), force).select(*pages.columns)
+
     @staticmethod
     def enrich_totals(found: DataFrame) -> DataFrame:
         """One row: how many of enrich's pages are enriched, skipped, recovered and failed."""

@@ -12,12 +12,14 @@ import json
 import re
 from collections import Counter
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.operators import prompts
 from quillmesh.operators.enrich import SPO_STRENGTH, TRIPLE_STRENGTH, TYPE_PRIORITY, UNKNOWN_PRIORITY
 
 BATCH = 100
@@ -158,7 +160,7 @@ def parse_generic(text: str) -> dict:
     raw = parse_object(text)
     strings = lambda rows: [str(x) for x in rows or [] if isinstance(x, str)]
     objects = lambda rows: [x for x in rows or [] if isinstance(x, dict)]
-    entities = [{"name": scalar(e.get("name")).strip(), "role": scalar(e.get("role") or e.get("type")).strip()} for e in objects(raw.get("entities"))]
+    entities = [{"name": scalar(e.get("name")).strip(), "role": scalar(e.get("role") or e.get("type")).strip(), "aliases": strings(e.get("aliases"))} for e in objects(raw.get("entities"))]
     edges = [{"target": scalar(r.get("target")).strip(), "type": scalar(r.get("type")).strip(), "strength": float(r.get("strength") or 0)} for r in objects(raw.get("relationships"))]
     return {"entity_type": scalar(raw.get("entity_type")).strip().lower(), "summary": scalar(raw.get("summary")).strip(), "entities": entities, "relationships": edges, "semantic_hints": strings(raw.get("semantic_hints")), "possible_questions": strings(raw.get("possible_questions"))}
 
@@ -195,12 +197,12 @@ def parse_extraction(text: str) -> dict:
     return {"entity_type": kind, "summary": scalar(raw.get("summary")).strip(), "entities": first(entities, lambda e: (e["name"].lower(), e["role"].lower())), "relationships": first(edges, lambda r: (r["target"].lower(), r["type"].lower()))}
 
 
-EXTRACTION = "entity_type string, summary string, entities array<struct<name:string,role:string>>, relationships array<struct<target:string,type:string,strength:double>>"
+EXTRACTION = "entity_type string, summary string, entities array<struct<name:string,role:string,aliases:array<string>>>, relationships array<struct<target:string,type:string,strength:double>>, semantic_hints array<string>, possible_questions array<string>"
 
 
 #: Parsers of the shapes of an answer.
 PARSERS: dict[str, Callable[[str], dict]] = {"spo": parse_extraction, "generic": parse_generic, "triples": parse_triples}
-_FIELDS = ("entity_type", "summary", "entities", "relationships")
+_NOTHING = {"entity_type": "", "summary": "", "entities": [], "relationships": [], "semantic_hints": [], "possible_questions": []}
 
 
 def is_two_part_model(name: str) -> bool:
@@ -212,30 +214,81 @@ def is_two_part_model(name: str) -> bool:
 TEMPLATE_MODELS = "nuextract-2.0-"
 
 
-def extracted(docs: DataFrame, chat: Chat, prompt: str = "", shape: str = "spo") -> DataFrame:
+def shape_for(model: str = "", endpoint: str = "", wanted: str = "", triples_endpoint: str = "") -> str:
+    """The shape to ask for: the one that is wanted, else by the model's name, else by the endpoint, else generic."""
+    if wanted:
+        if wanted not in PARSERS:
+            raise ValueError(f"no shape {wanted!r}, only {', '.join(PARSERS)}")
+        return wanted
+    if is_two_part_model(model):
+        return "spo"
+    return "triples" if triples_endpoint and endpoint == triples_endpoint else "generic"
+
+
+def in_flight(docs: DataFrame, workers: int) -> tuple[DataFrame, int]:
+    """docs in so few partitions, and the calls of each at a time, that the whole job has at most `workers` calls in flight. Not positive: a call a task."""
+    if workers <= 0:
+        return docs, 1
+    tasks = min(workers, docs.sparkSession.sparkContext.defaultParallelism)
+    return docs.repartition(tasks), workers // tasks
+
+
+def called(call: Callable, items: Sequence, workers: int) -> list:
+    """call(item) of all items in their order, `workers` at a time."""
+    if workers <= 1:
+        return [call(x) for x in items]
+    with ThreadPoolExecutor(workers) as pool:
+        return list(pool.map(call, items))
+
+
+def extracted(docs: DataFrame, chat: Chat, prompt: str = "", shape: str = "spo", message: Callable[[str], str] = str, workers: int = 0) -> DataFrame:
     """docs: (id, body). id, status (ok, parse-error, model-error), error, and the fields of EXTRACTION.
 
-    shape: which of PARSERS reads the answer.
+    shape: which of PARSERS reads the answer; message: what is sent for a body. With workers, that many calls of the whole job
+    are in flight at a time.
     """
     parse = PARSERS[shape]
+    docs, at_once = in_flight(docs.select("id", "body"), workers)
+
+    def one(row):
+        try:
+            found = _NOTHING | {k: v for k, v in parse(chat(prompt, message(row[1]))).items() if k in _NOTHING}
+            found["entities"] = [{"aliases": [], **e} for e in found["entities"]]
+            return {"id": row[0], "status": "ok", "error": "", **found}
+        except Exception as e:  # one failed row must not lose the others
+            return {"id": row[0], "status": "parse-error" if isinstance(e, ParseError) else "model-error", "error": str(e), **_NOTHING}
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for i, body in zip(pdf["id"], pdf["body"], strict=True):
-                try:
-                    rows.append({"id": i, "status": "ok", "error": "", **{k: v for k, v in parse(chat(prompt, body)).items() if k in _FIELDS}})
-                except Exception as e:  # one failed row must not lose the others
-                    rows.append({"id": i, "status": "parse-error" if isinstance(e, ParseError) else "model-error", "error": str(e), "entity_type": "", "summary": "", "entities": [], "relationships": []})
-            yield pd.DataFrame(rows)
+            yield pd.DataFrame(called(one, list(zip(pdf["id"], pdf["body"], strict=True)), at_once))
+
+    return docs.mapInPandas(run, f"id string, status string, error string, {EXTRACTION}")
+
+
+def summarised(pages: DataFrame, chat: Chat, workers: int = 0) -> DataFrame:
+    """pages: (id, title, entity_type, tags, body). id, summary, error; white space and quotation marks around an answer are dropped."""
+    from quillmesh.functions.text import body_preview
+
+    docs, at_once = in_flight(pages.select("id", "title", "entity_type", "tags", body_preview(F.col("body"), prompts.SUMMARY_WORDS).alias("preview")), workers)
+
+    def one(row):
+        try:
+            told = chat(prompts.SUMMARY_PROMPT, prompts.summary(row.title, row.entity_type, list(row.tags), row.preview))
+            return {"id": row.id, "summary": told.strip().strip("\"'"), "error": ""}
+        except Exception as e:
+            return {"id": row.id, "summary": "", "error": str(e)}
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame(called(one, list(pdf.itertuples(index=False)), at_once), columns=["id", "summary", "error"])
 
-    return docs.select("id", "body").mapInPandas(run, f"id string, status string, error string, {EXTRACTION}")
+    return docs.mapInPandas(run, "id string, summary string, error string")
 
 
-def recovered(failed: DataFrame, chat: Chat, prompt: str = "", max_files: int = 0) -> DataFrame:
+def recovered(failed: DataFrame, chat: Chat, prompt: str = "", max_files: int = 0, workers: int = 0) -> DataFrame:
     """The fallback over a queue (ord, id, body): the first max_files rows (all if not positive), with recovered and token estimates."""
     from quillmesh.functions.text import approx_tokens
 
     queue = failed.orderBy("ord").limit(max_files) if max_files > 0 else failed
     n = approx_tokens(F.col("body")).alias("input_tokens")
-    return extracted(queue, chat, prompt).join(queue.select("id", "ord", n), "id").withColumn("recovered", F.col("status") == "ok")
+    return extracted(queue, chat, prompt, workers=workers).join(queue.select("id", "ord", n), "id").withColumn("recovered", F.col("status") == "ok")
