@@ -12,6 +12,8 @@ from quillmesh.functions.text import base_name, reconcile_key, stem
 from quillmesh.sources.shared import written
 
 
+#: Ids in a block of a posting list.
+POSTINGS = 1024
 #: Columns of resolved edges.
 DECLARED = ["src", "written", "target", "type", "strength", "semantic", "resolved", "ord"]
 
@@ -61,6 +63,36 @@ def numbered(rows: DataFrame, key: str, order: list[str], row: str) -> DataFrame
     return cut.withColumn("__inside", inside).join(parts, [key, "__part"]).withColumn("n", F.col("__before") + F.col("__inside")).drop("__part", "__before", "__inside")
 
 
+def postings(pairs: DataFrame, key: str, item: str, size: int = POSTINGS) -> DataFrame:
+    """(key, block, first, last, n, items): the items of each key in ascending order, `size` to a block.
+
+    Blocks of a key follow each other, so an item is in at most one whose first and last enclose it
+    (equal items may run on into the next). A frequent key has many rows and is in no task as a whole.
+    """
+    placed = numbered(pairs.select(key, item).withColumn("__row", F.monotonically_increasing_id()), key, [item], "__row")
+    block = F.floor((F.col("n") - 1) / size).cast("long")
+    held = placed.groupBy(key, block.alias("block")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    return held.select(key, "block", F.element_at("items", 1).alias("first"), F.element_at("items", -1).alias("last"), F.size("items").alias("n"), "items")
+
+
+def common_items(blocks: DataFrame, key: str, keys: list[str]) -> DataFrame:
+    """(item) of those that all keys have, from posting blocks.
+
+    The rarest key's blocks stand for it; blocks of the others that no such block overlaps are not opened.
+    """
+    mine = blocks.where(F.col(key).isin(keys))
+    sizes = {r[0]: r[1] for r in mine.groupBy(key).agg(F.sum("n").alias("n")).collect()}
+    if not keys or set(sizes) != set(keys):
+        return blocks.select(F.explode("items").alias("item")).limit(0)
+    rarest, *others = sorted(set(keys), key=lambda k: (sizes[k], k))
+    base = mine.where(F.col(key) == rarest)
+    found, ends = base.select(F.explode("items").alias("item")).distinct(), base.agg(F.min("first").alias("a"), F.max("last").alias("b")).first()
+    for other in others:
+        near = mine.where((F.col(key) == other) & (F.col("last") >= ends["a"]) & (F.col("first") <= ends["b"]))
+        found = found.join(near.select(F.explode("items").alias("item")), "item", "left_semi")
+    return found
+
+
 def claims_of(pages: DataFrame, *more: str) -> DataFrame:
     """(key, page_id, more): what each page can be called."""
     entities = F.flatten(F.transform("entities", lambda e: F.concat(F.array(e["name"]), e["aliases"])))
@@ -144,14 +176,23 @@ class KnowledgeGraph:
         return self.pages.where(F.array_contains("tags", tag))
 
     def tag_index(self) -> DataFrame:
+        """All ids of a tag in one row; tag_postings has them in blocks."""
         return self.pages.select(F.explode("tags").alias("tag"), "id").groupBy("tag").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
+    def tag_postings(self, size: int = POSTINGS) -> DataFrame:
+        """tag_index in blocks, for tags that many pages have."""
+        return postings(self.pages.select(F.explode("tags").alias("tag"), "id"), "tag", "id", size)
+
+    def reverse_postings(self, size: int = POSTINGS) -> DataFrame:
+        """reverse in blocks, for targets of many edges."""
+        return postings(self.edges.select("target", "src"), "target", "src", size)
+
     def forward(self) -> DataFrame:
         """src, edges in the order they are declared in."""
         return self.edges.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("ord", "target", "type", "strength"))).alias("edges"))
 
     def reverse(self) -> DataFrame:
-        """target, srcs: one for each edge."""
+        """target, srcs: one for each edge, all in one row; reverse_postings has them in blocks."""
         return self.edges.groupBy("target").agg(F.sort_array(F.collect_list("src")).alias("srcs"))
 
     def semantic_stats(self) -> DataFrame:

@@ -13,7 +13,7 @@ from quillmesh.functions import text as X
 from quillmesh.functions import vectors as V
 from quillmesh.operators import enrich, handoff, models, nearest, traverse, validation
 from quillmesh.operators import search as S
-from quillmesh.operators.graph import KnowledgeGraph, with_ids
+from quillmesh.operators.graph import KnowledgeGraph, common_items, with_ids
 from quillmesh.operators.incremental import GraphTables
 from quillmesh.plans import oracle as O
 from quillmesh.plans.datasets import QUERY_VECTOR, ROOT, company, notes, parts, table, vectors
@@ -483,6 +483,25 @@ def tag_index(spark, sf_dir):
     return _graph(spark, sf_dir).tag_index().select("tag", joined("ids").alias("ids"))
 
 
+def _postings_sql(pairs: str, key: str, item: str) -> str:
+    return f"WITH {O.COMPANY}, p AS ({pairs}), n AS (SELECT *, (row_number() OVER (PARTITION BY {key} ORDER BY {item}) - 1) // 64 AS block FROM p) SELECT {key}, block, min({item}) AS first, max({item}) AS last, count(*)::INTEGER AS n, string_agg({item}, '|' ORDER BY {item}) AS items FROM n GROUP BY 1, 2"
+
+
+@query(_postings_sql("SELECT unnest(tags) AS tag, id FROM pages", "tag", "id"))
+def tag_postings(spark, sf_dir):
+    return _graph(spark, sf_dir).tag_postings(64).withColumn("items", joined("items"))
+
+
+@query(_postings_sql("SELECT target, src FROM edges", "target", "src"))
+def reverse_postings(spark, sf_dir):
+    return _graph(spark, sf_dir).reverse_postings(64).withColumn("items", joined("items"))
+
+
+@query(f"WITH {O.COMPANY} SELECT id AS item FROM pages WHERE list_contains(tags, 'supplier') AND list_contains(tags, 'tier-1')")
+def tags_in_common(spark, sf_dir):
+    return common_items(_graph(spark, sf_dir).tag_postings(64), "tag", ["supplier", "tier-1"])
+
+
 @query(f"WITH {O.COMPANY}, t AS (SELECT DISTINCT unnest(tags) AS tag FROM pages) SELECT tag FROM t ORDER BY tag")
 def distinct_tags(spark, sf_dir):
     return _graph(spark, sf_dir).tag_index().select("tag").orderBy("tag")

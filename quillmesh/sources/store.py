@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 CHECKSUMS = "path string, sha256 string"
 VECTORS = "id string, content_hash string, model string, dims int, embedding array<float>"
+VECTOR_COLUMNS = ["id", "content_hash", "model", "dims", "embedding"]
+META = "model string, dimensions int, version int"
 
 
 def checksums(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -94,37 +96,81 @@ class Store:
         pages.write.parquet(f"{self.root}/versions/{number}/pages")
         sums.write.parquet(f"{self.root}/versions/{number}/checksums")
 
+    # Vectors lie in generations, of which each has one model. A generation counts once its `meta`
+    # is whole, which is written last, so a change of model, or a compaction, that fails on the way
+    # leaves the one before to read.
+
+    def _generations(self) -> list[int]:
+        """Whole ones, oldest first."""
+        fs, _ = self._pointer()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        root = path(f"{self.root}/generations")
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(n) for n in names if fs.exists(path(f"{self.root}/generations/{n}/meta/_SUCCESS")))
+
+    def _generation(self, number: int) -> str:
+        return f"{self.root}/generations/{number}"
+
+    def _begin(self, number: int, model: str, dims: int) -> None:
+        """Makes a generation count; those before the last but one go."""
+        from quillmesh.sources.shared import remove
+
+        self.spark.createDataFrame([(model, dims, 1)], META).coalesce(1).write.mode("overwrite").json(f"{self._generation(number)}/meta")
+        for old in self._generations()[:-2]:
+            remove(self.spark, self._generation(old))
+
     def ensure_model(self, model: str, dims: int) -> bool:
-        """Records the model of the vectors; where another one's are held they go, and True comes back."""
+        """Records the model of the vectors; where another one's are held a new generation without vectors takes their place, and True comes back."""
         held = self.model()
         if held == (model, dims):
             return False
-        if held is not None:
-            from quillmesh.sources.shared import remove
+        from quillmesh.sources.shared import remove
 
-            remove(self.spark, f"{self.root}/vectors")
-        self.spark.createDataFrame([(model, dims, 1)], "model string, dimensions int, version int").coalesce(1).write.mode("overwrite").json(f"{self.root}/meta")
+        number = max(self._generations(), default=0) + 1
+        remove(self.spark, f"{self._generation(number)}/vectors")  # what a compaction that failed may have left
+        self._begin(number, model, dims)
         return held is not None
 
     def model(self) -> tuple[str, int] | None:
         """Model and dimensions of the vectors that are held."""
-        fs, _ = self._pointer()
-        if not fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/meta")):
-            return None
-        row = self.spark.read.schema("model string, dimensions int, version int").json(f"{self.root}/meta").first()
+        numbers = self._generations()
+        row = self.spark.read.schema(META).json(f"{self._generation(numbers[-1])}/meta").first() if numbers else None
         return (row["model"], row["dimensions"]) if row else None
 
     def save_vectors(self, vectors: DataFrame) -> None:
-        """Vectors of each model and dimension have a partition of their own, so another model never meets them."""
-        vectors.select("id", "content_hash", "embedding", "model", "dims").write.mode("append").partitionBy("model", "dims").parquet(f"{self.root}/vectors")
+        """Adds or replaces vectors, by (id, content_hash). Where no model is recorded yet, that of the vectors is."""
+        if not self._generations():
+            first = vectors.select("model", "dims").first()
+            if first is None:
+                return
+            self.ensure_model(first["model"], first["dims"])
+        path = f"{self._generation(self._generations()[-1])}/vectors"
+        held = self._saved(path)
+        last = held.agg(F.max("seq")).first()[0] if held is not None else None
+        vectors.select(*VECTOR_COLUMNS, F.lit((last or 0) + 1).cast("long").alias("seq")).write.mode("append").parquet(path)
+
+    def _saved(self, path: str) -> DataFrame | None:
+        fs, _ = self._pointer()
+        return self.spark.read.schema(f"{VECTORS}, seq long").parquet(path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(path)) else None
 
     def vectors(self, model: str, dims: int) -> DataFrame:
-        """Those of a model; none where nothing has been saved yet."""
-        fs, _ = self._pointer()
-        if not fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/vectors")):
+        """Those of a model, the last saved of each (id, content_hash); none where it is not the model that is recorded."""
+        numbers = self._generations()
+        held = self._saved(f"{self._generation(numbers[-1])}/vectors") if numbers and self.model() == (model, dims) else None
+        if held is None:
             return self.spark.createDataFrame([], VECTORS)
-        found = self.spark.read.parquet(f"{self.root}/vectors")
-        return found.where((F.col("model") == model) & (F.col("dims") == dims))
+        mine = held.where((F.col("model") == model) & (F.col("dims") == dims))
+        last = mine.groupBy("id", "content_hash").agg(F.max(F.struct("seq", "model", "dims", "embedding")).alias("v"))
+        return last.select("id", "content_hash", "v.model", "v.dims", "v.embedding")
+
+    def compact_vectors(self) -> None:
+        """Writes the last vectors as a generation of their own, one row each."""
+        held = self.model()
+        if held is None:
+            return
+        number = self._generations()[-1] + 1
+        self.vectors(*held).withColumn("seq", F.lit(1).cast("long")).write.mode("overwrite").parquet(f"{self._generation(number)}/vectors")
+        self._begin(number, *held)
 
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:

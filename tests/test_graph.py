@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.operators import enrich, search, traverse, validation
-from quillmesh.operators.graph import KnowledgeGraph, with_ids
+from quillmesh.operators.graph import KnowledgeGraph, common_items, postings, with_ids
 from quillmesh.operators.models import overlap_reranker
 from quillmesh.schema import PAGE, conform
 
@@ -129,6 +129,23 @@ def test_ids_under_a_hot_slug(spark):
     assert [n for _, n in sorted((n, t) for t, n in many)] == sorted(t for t, _ in many) and [n for _, n in many] == list(range(2, 122))
 
 
+def test_postings(spark):
+    import random
+
+    r = random.Random(6)
+    held = [("hot", f"i{n:04}") for n in range(500)] + [("hot", "i0100")] * 9 + [(r.choice("abc"), f"i{r.randrange(900):04}") for _ in range(60)] + [("a", "i0007"), ("c", "i0007")]
+    blocks = postings(spark.createDataFrame(held, "k string, i string").repartition(6), "k", "i", 16)
+    rows = blocks.orderBy("k", "block").collect()
+    assert max(x["n"] for x in rows) <= 16 and all((x["first"], x["last"], x["n"]) == (x["items"][0], x["items"][-1], len(x["items"])) for x in rows)
+    for k in {k for k, _ in held}:
+        assert [i for x in rows if x["k"] == k for i in x["items"]] == sorted(i for kk, i in held if kk == k)
+        assert [x["block"] for x in rows if x["k"] == k] == list(range(len([x for x in rows if x["k"] == k])))
+    sets = lambda *ks: sorted(set.intersection(*({i for kk, i in held if kk == k} for k in ks)))
+    for ks in (["hot", "a"], ["a", "c"], ["a", "b", "c", "hot"], ["hot"]):
+        assert sorted(x["item"] for x in common_items(blocks, "k", ks).collect()) == sets(*ks)
+    assert common_items(blocks, "k", ["a", "none"]).count() == 0 and common_items(blocks, "k", []).count() == 0
+
+
 def test_depth_first(graph):
     got = [tuple(r) for r in traverse.depth_first(graph, "a", 2).orderBy("n").select("id", "depth").collect()]
     assert got == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]

@@ -107,6 +107,27 @@ def test_store(spark, tmp_path):
     assert got == {"a.vec": ([1.0, 2.0], False), "b.vec": (None, True)}
 
 
+def test_vectors_are_replaced_and_models_change_whole(spark, tmp_path):
+    kb = store.Store(spark, f"file://{tmp_path}/kb")
+    rows = lambda *r: spark.createDataFrame(r, store.VECTORS)
+    assert kb.model() is None and kb.vectors("m", 2).count() == 0
+    kb.compact_vectors()
+    kb.save_vectors(rows(("a", "h", "m", 2, [1.0, 2.0]), ("b", "h", "m", 2, [3.0, 4.0])))
+    kb.save_vectors(rows(("a", "h", "m", 2, [0.5, 0.0]), ("a", "new", "m", 2, [9.0, 9.0]), ("x", "h", "other", 2, [7.0, 7.0])))
+    want = {("a", "h"): [0.5, 0.0], ("b", "h"): [3.0, 4.0], ("a", "new"): [9.0, 9.0]}
+    held = lambda: {(r["id"], r["content_hash"]): r["embedding"] for r in kb.vectors("m", 2).collect()}
+    assert kb.model() == ("m", 2) and held() == want and kb.vectors("m", 2).count() == 3 and kb.vectors("other", 2).count() == 0
+    kb.compact_vectors()
+    assert held() == want and spark.read.parquet(f"file://{tmp_path}/kb/generations/2/vectors").count() == 3
+    kb.save_vectors(rows(("b", "h", "m", 2, [0.0, 1.0])))
+    assert held() == want | {("b", "h"): [0.0, 1.0]}
+    # A change of model that has written all but its mark leaves the old model's vectors.
+    spark.range(1).write.parquet(f"file://{tmp_path}/kb/generations/3/vectors")
+    assert kb.model() == ("m", 2) and len(held()) == 3
+    assert kb.ensure_model("n", 3) and kb.model() == ("n", 3) and kb.vectors("m", 2).count() == 0 and kb.vectors("n", 3).count() == 0
+    assert kb.ensure_model("o", 3) and len(kb._generations()) == 2
+
+
 def test_embedding_errors_stay_in_their_batch(spark):
     def fails(texts):
         raise models.ModelError("no", 401)
