@@ -14,10 +14,23 @@ def _same(x: Column) -> Column:
     return x
 
 
+def _bound(value: Column, use: Key) -> Column:
+    """use(value), with value bound as an element, so that it is made once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def distinct_by(items: Column, key: Key) -> Column:
-    """An item stays if its key's first place in the array is its own."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    """An item stays if its key's first place in the array is its own; items whose key is null go. Sorts, so long arrays may come."""
+
+    def first_places(placed: Column) -> Column:
+        heads = F.filter(placed, lambda s, i: (i == 0) | ~F.get(placed, i - 1)["key"].eqNullSafe(s["key"]))
+        return F.array_sort(F.transform(F.filter(heads, lambda s: s["key"].isNotNull()), lambda s: s["place"]))
+
+    def kept(held: Column) -> Column:
+        placed = F.array_sort(F.transform(held, lambda x, i: F.struct(key(x).alias("key"), i.alias("place"))))
+        return F.transform(_bound(placed, first_places), lambda i: F.get(held, i))
+
+    return _bound(items, kept)
 
 
 def union_by(a: Column, b: Column, key: Key) -> Column:

@@ -1,9 +1,7 @@
 """Markdown files with YAML frontmatter: scan, parse, render, write.
 
-YAML needs a Python parser, so parsing runs in mapInPandas, behind all filters on the path.
-PyYAML is optional: where it is absent, a parser of the subset that the writer emits steps in
-(block and flow lists, nested maps, plain and quoted scalars). All scalars are read as text, so
-dates and numbers in text fields stay as they are written.
+YAML needs a Python parser (PyYAML), so parsing runs in mapInPandas, behind all filters on the
+path. All scalars are read as text, so dates and numbers in text fields stay as they are written.
 """
 
 from __future__ import annotations
@@ -14,17 +12,14 @@ import re
 import uuid
 
 import pandas as pd
+import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmesh.schema import FRONTMATTER, PAGE
 
-try:
-    import yaml
-except ImportError:  # an optional dependency
-    yaml = None
-
+#: Fixed value: where the frontmatter ends and the body begins.
 SPLIT = re.compile(r"\A\s*---\n(.+?)\n---\n?(.*)", re.S)
 #: Folders that no scan enters.
 PRUNED = ".knowledge"
@@ -32,92 +27,11 @@ PRUNED = ".knowledge"
 KEYS = {f.name: f.name.replace("_", "-") for f in FRONTMATTER}
 
 
-def _scalar(text: str):
-    text = text.strip()
-    if text[:1] == '"' and text[-1:] == '"' and len(text) > 1:
-        return json.loads(text)
-    if text[:1] == "'" and text[-1:] == "'" and len(text) > 1:
-        return text[1:-1].replace("''", "'")
-    if text[:1] == "[" or text[:1] == "{":
-        return _flow(text)
-    if text[:1] in "[{&*!|>%@`" or text[:1] in ("'", '"'):
-        raise ValueError(f"cannot read {text!r}")
-    return "" if text in ("~", "null") else text
-
-
-def _flow(text: str):
-    close = {"[": "]", "{": "}"}[text[0]]
-    if not text.endswith(close):
-        raise ValueError(f"open {text[0]!r} in {text!r}")
-    parts, depth, quote, item = [], 0, "", ""
-    for c in text[1:-1]:
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "'\"":
-            quote = c
-        elif c in "[{":
-            depth += 1
-        elif c in "]}":
-            depth -= 1
-        if c == "," and not depth and not quote:
-            parts.append(item)
-            item = ""
-        else:
-            item += c
-    parts = [p for p in [*parts, item] if p.strip()]
-    if close == "]":
-        return [_scalar(p) for p in parts]
-    return {k.strip(): _scalar(v) for k, _, v in (p.partition(":") for p in parts)}
-
-
-def _block(lines: list[tuple[int, str]], at: int, indent: int):
-    """A list or map whose lines stand at this indent; and the place after it."""
-    out = None
-    while at < len(lines) and lines[at][0] == indent:
-        text = lines[at][1]
-        if text == "-" or text.startswith("- "):
-            out = [] if out is None else out
-            rest = text[2:].strip()
-            inner = indent + len(text) - len(text[1:].lstrip()) if rest else indent + 1
-            if rest and re.match(r"[\w-]+:(\s|$)", rest):
-                lines[at] = (inner, rest)
-                value, at = _block(lines, at, inner)
-            elif rest:
-                value, at = _scalar(rest), at + 1
-            else:
-                value, at = _block(lines, at + 1, lines[at + 1][0])
-            out.append(value)
-            continue
-        m = re.match(r"([^\s:][^:]*):(?:\s+(.*))?$", text)
-        if not m or isinstance(out, list):
-            raise ValueError(f"cannot read {text!r}")
-        out = {} if out is None else out
-        key, rest = m[1].strip().strip("'\""), (m[2] or "").strip()
-        at += 1
-        if rest:
-            out[key] = _scalar(rest)
-        elif at < len(lines) and (lines[at][0] > indent or lines[at][0] == indent and lines[at][1].startswith("-")):
-            out[key], at = _block(lines, at, lines[at][0])
-        else:
-            out[key] = ""
-    if at < len(lines) and lines[at][0] > indent:
-        raise ValueError(f"unexpected indent before {lines[at][1]!r}")
-    return out, at
-
-
 def load_yaml(text: str):
-    if yaml is not None:
-        try:
-            return yaml.load(text, Loader=yaml.BaseLoader)
-        except yaml.YAMLError as e:
-            raise ValueError(f"cannot read the frontmatter: {e}") from e
-    lines = [(len(x) - len(x.lstrip()), x.strip()) for x in text.split("\n") if x.strip() and not x.lstrip().startswith("#")]
-    if not lines:
-        return {}
-    out, at = _block(lines, 0, lines[0][0])
-    if at != len(lines):
-        raise ValueError(f"cannot read {lines[at][1]!r}")
-    return out
+    try:
+        return yaml.load(text, Loader=yaml.BaseLoader)
+    except yaml.YAMLError as e:
+        raise ValueError(f"cannot read the frontmatter: {e}") from e
 
 
 def _typed(value, kind):

@@ -12,8 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+#: What orders the rows of one id: the file's time and name, then the row's place in it.
+ORDER = ("__time", "__file", "__row")
+
+
 def merged(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    new = new.dropDuplicates(["id"])
+    """old with the rows of new in place of those of the same id; of several new ones the last by ORDER, where new has those columns, then by content."""
+    order = [c for c in ORDER if c in new.columns]
+    kept = [c for c in new.columns if c != "id" and c not in order]
+    last = new.groupBy("id").agg(F.max(F.struct(*order, *kept)).alias("p"))
+    new = last.select(*("id" if c == "id" else F.col(f"p.{c}").alias(c) for c in new.columns if c not in order))
     return new if old is None else old.join(new.select("id"), "id", "left_anti").unionByName(new)
 
 
@@ -25,7 +33,8 @@ def reload_stream(spark: SparkSession, source: str, schema, target: str, checkpo
         merged(old, batch).write.mode("overwrite").parquet(f"{target}/v{n}")
 
     stream = spark.readStream.schema(schema).parquet(source)
-    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    meta = (F.col(f"_metadata.{m}").alias(c) for m, c in zip(("file_modification_time", "file_path", "row_index"), ORDER, strict=True))
+    return stream.select("*", *meta).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def edge_counts(events: DataFrame, time: str, kind: str, window: str = "1 hour", late: str = "1 hour") -> DataFrame:

@@ -40,12 +40,7 @@ Body text.
 """
 
 
-@pytest.mark.parametrize("parser", ["own", "library"])
-def test_parse(parser, monkeypatch):
-    if parser == "own":
-        monkeypatch.setattr(markdown, "yaml", None)
-    elif markdown.yaml is None:
-        pytest.skip("PyYAML is not installed")
+def test_parse():
     page = markdown.parse(PAGE_TEXT)
     assert (page["id"], page["confidence"], page["tags"], page["temporal"]["valid_from"]) == ("alice", 0.95, ["team", "2024"], "2023-01-01")
     assert page["entities"] == [{"name": "Alice", "aliases": ["Al", "A. Smith"], "role": "lead"}] and page["body"].startswith("Body text.")
@@ -167,3 +162,8 @@ def test_stream(spark, tmp_path):
     page.where("id = 'a'").withColumn("title", F.lit("new")).write.mode("append").parquet(source)
     reload_stream(spark, source, PAGE, target, check).awaitTermination()
     assert {(r["id"], r["title"]) for r in spark.read.parquet(f"{target}/v1").collect()} == {("a", "new"), ("b", "two")}
+    # Of the rows of one id in a batch the last of the file stays.
+    conform(spark.createDataFrame([("b", "z"), ("b", "y"), ("c", "three")], "id string, title string")).coalesce(1).write.mode("append").parquet(source)
+    reload_stream(spark, source, PAGE, target, check).awaitTermination()
+    held = spark.read.parquet(f"{target}/v2")
+    assert {(r["id"], r["title"]) for r in held.collect()} == {("a", "new"), ("b", "y"), ("c", "three")} and set(held.columns) == set(page.columns)
