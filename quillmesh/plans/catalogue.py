@@ -18,7 +18,7 @@ from quillmesh.operators.incremental import GraphTables
 from quillmesh.plans import oracle as O
 from quillmesh.plans.datasets import QUERY_VECTOR, ROOT, company, notes, parts, table, vectors
 from quillmesh.schema import conform
-from quillmesh.sources import markdown, store
+from quillmesh.sources import datasource, markdown, store
 from quillmesh.sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -704,6 +704,15 @@ def fallback_recover(spark, sf_dir):
     return models.recovered(failed, lambda prompt, body: _answer(prompt, body + " " * (-len(body) % 4)), max_files=50).select("ord", "id", "recovered", "entity_type", "input_tokens")
 
 
+@query(f"WITH {O.PARTS} SELECT id, title, confidence, array_to_string(tags, '|') AS tags, array_to_string(targets, '|') AS targets, '' AS error FROM parts")
+def page_files(spark, sf_dir):
+    """Every part's page written as a file by the data source, and read back by it."""
+    datasource.register(spark)
+    root = shared_dir(spark)
+    parts(spark, sf_dir).withColumn("source_path", F.concat("id", F.lit(".md"))).write.format(datasource.FORMAT).mode("append").save(root)
+    return spark.read.format(datasource.FORMAT).load(root).select("id", "title", "confidence", joined("tags").alias("tags"), joined("relationships.target").alias("targets"), "error")
+
+
 @query(f"WITH {O.PARTS} SELECT id, true AS same FROM parts")
 def page_roundtrip(spark, sf_dir):
     """Pages rendered as files and parsed again; `same` tells whether nothing was lost."""
