@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import importlib
+import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,17 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import bounded_batches, column, slices
 
+#: Fixed value: the split of byte-level tokenizers that `by_pieces` relies on.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+#: White space and what follows it, to the next white space; and white space beyond ASCII, before which no text is cut.
+PIECE = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
+OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Pieces whose counts a worker remembers; when it is full it starts anew.
+REMEMBERED = 400_000
 CACHE = "digest string, tokenizer string, n_bytes long, n_tokens long, run string"
 #: Missing digests that are broadcast at most: some 10 MB.
 BROADCAST = 100_000
-_LOADED: dict[str, object] = {}
+_LOADED: dict[str, Counter] = {}
 
 
 def library(path: str) -> str:
@@ -50,24 +59,55 @@ def version(path: str) -> str:
     return hashlib.sha256(f"{name} {importlib.import_module(name).__version__} {file}".encode()).hexdigest()
 
 
-def counts(path: str, texts: list[str]) -> np.ndarray:
-    """Tokens of each text, as the library gives them."""
-    if path not in _LOADED:
-        if library(path) == "tokenizers":
+def by_pieces(path: str) -> bool:
+    """Whether the tokens of a text are those of its PIECEs: the split takes white space with what follows it and nothing merges beyond."""
+    if library(path) != "tokenizers":
+        return False
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"\s", t["content"])) for t in parts["added_tokens"])
+    return parts["pre_tokenizer"] == BYTE_LEVEL and plain and not (parts["normalizer"] or parts["post_processor"] or parts["truncation"] or parts["padding"])
+
+
+class Counter:
+    """Tokens of texts, as the library gives them; a worker keeps one for each tokenizer."""
+
+    def __init__(self, path: str):
+        self.kind, self.pieces, self.known = library(path), by_pieces(path), {}
+        if self.kind == "tokenizers":
             from tokenizers import Tokenizer
 
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the other cores have tasks of their own
-            _LOADED[path] = Tokenizer.from_file(path)
-            _LOADED[path].no_truncation()
-            _LOADED[path].no_padding()
+            self.encoder = Tokenizer.from_file(path)
+            self.encoder.no_truncation()
+            self.encoder.no_padding()
         else:
             from sentencepiece import SentencePieceProcessor
 
-            _LOADED[path] = SentencePieceProcessor(model_file=path)
-    encoder = _LOADED[path]
-    if library(path) == "tokenizers":
-        return np.fromiter((len(e) for e in encoder.encode_batch_fast(texts, add_special_tokens=False)), np.int64, len(texts))
-    return np.fromiter(map(len, encoder.encode(texts, num_threads=1)), np.int64, len(texts))
+            self.encoder = SentencePieceProcessor(model_file=path)
+
+    def whole(self, texts: list[str]) -> list[int]:
+        if self.kind == "tokenizers":
+            return [len(e) for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+        return [len(ids) for ids in self.encoder.encode(texts, num_threads=1)]
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        if not self.pieces:
+            return np.array(self.whole(texts), np.int64)
+        cut = [[t] if OTHER_SPACE.search(t) else PIECE.findall(t) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        new = list({p for ps in cut for p in ps}.difference(self.known))
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            self.known.update(zip(some, self.whole(some), strict=True))
+        return np.fromiter((sum(map(self.known.__getitem__, ps)) for ps in cut), np.int64, len(texts))
+
+
+def counts(path: str, texts: list[str]) -> np.ndarray:
+    if path not in _LOADED:
+        _LOADED[path] = Counter(path)
+    return _LOADED[path].counts(texts)
 
 
 def first_of_each(batches):

@@ -40,6 +40,20 @@ def test_counts(spark, docs, tmp_path, monkeypatch, name, broadcast):
     assert {r["run"] for r in found.select("run").collect()} == {"first", "second"}
 
 
+def test_pieces_give_the_library_s_counts(monkeypatch):
+    """Texts cut at white space, of all kinds and in all mixtures, beside special tokens and at both ends."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_counts.by_pieces(path) and not token_counts.by_pieces(public_tokenizers.path("word_bpe_49k.json")) and not token_counts.by_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(3)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "a", "don't", "'s", "'", "don", "é", "日本", "1", "12", "...", "<|endoftext|>", "<|endof", "text|>", "🙂", "\x00", "A", "_"]
+    some = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(6000)]
+    want = [n for _, n, _ in brute.op13(some, path)]
+    assert token_counts.Counter(path).counts(some).tolist() == want
+    monkeypatch.setattr(token_counts, "REMEMBERED", 50)
+    counter = token_counts.Counter(path)
+    assert [n for t in range(0, 6000, 100) for n in counter.counts(some[t : t + 100]).tolist()] == want
+
+
 def test_cache(spark, docs, tmp_path, monkeypatch):
     """Each distinct text is encoded once for a tokenizer; a repeated run encodes none; another tokenizer has rows of its own."""
     cache, path = str(tmp_path / "cache"), public_tokenizers.path("byte_bpe_50k.json")
