@@ -231,8 +231,15 @@ class Engine:
         chosen = self.spark.createDataFrame(list(enumerate(picked)), "place int, id string")
         return pages.join(F.broadcast(chosen.groupBy("id").agg(F.min("place").alias("place"))), "id").orderBy("place")
 
-    def export(self) -> DataFrame:
-        return self.graph.export()
+    def export(self, body: bool = False) -> DataFrame:
+        return self.graph.export(body)
+
+    def export_to(self, stream, body: bool = False) -> int:
+        """Writes export's objects to a text stream, a line each, and returns how many; the driver holds one partition at a time."""
+        n = 0
+        for n, row in enumerate(self.export(body).toLocalIterator(), 1):
+            stream.write(row["json"] + "\n")
+        return n
 
 
 def ignore_store(root: str, entry: str = f"{markdown.PRUNED}/") -> None:

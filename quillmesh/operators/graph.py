@@ -244,6 +244,6 @@ class KnowledgeGraph:
     def lookup(self, path_or_id: str) -> DataFrame:
         return self.pages.where((F.col("source_path") == path_or_id) | (F.col("id") == path_or_id)).orderBy("id").limit(1)
 
-    def export(self) -> DataFrame:
+    def export(self, body: bool = False) -> DataFrame:
         """One JSON object for each page, in id order."""
-        return self.pages.orderBy("id").select("id", F.to_json(F.struct(*(c for c in self.pages.columns if c != "body"))).alias("json"))
+        return self.pages.orderBy("id").select("id", F.to_json(F.struct(*(c for c in self.pages.columns if body or c != "body"))).alias("json"))

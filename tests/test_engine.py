@@ -54,6 +54,18 @@ def test_enrich(engine):
     assert {r["status"] for r in engine.enrich().collect()} == {"skipped"}
 
 
+def test_export_to_a_stream(engine):
+    import io
+
+    out = io.StringIO()
+    assert engine.export_to(out, body=True) == 3
+    rows = [json.loads(line) for line in out.getvalue().splitlines()]
+    assert [r["id"] for r in rows] == ["first-topic", "raw", "welcome"] and all("body" in r for r in rows)
+    out = io.StringIO()
+    engine.export_to(out)
+    assert not any("body" in json.loads(line) for line in out.getvalue().splitlines())
+
+
 def test_reason(engine):
     got = engine.reason("raw?", lambda p, b: '```json\n{"pages": ["raw", "nope", "welcome"]}\n```')
     assert [r["id"] for r in got.collect()] == ["raw", "welcome"]
