@@ -623,6 +623,39 @@ def dfs_forward(spark, sf_dir):
     return traverse.depth_first(_graph(spark, sf_dir), "customer-100", 3)
 
 
+def _dfs_sql(root: str, steps: str, depth: int, what: str) -> str:
+    """The walk as rows of (stack, found), one for each node that is taken from the stack."""
+    return f"""WITH RECURSIVE {O.COMPANY}, steps AS ({steps}),
+tries AS (SELECT node, visit, row_number() OVER (PARTITION BY node ORDER BY way, place, ord) AS k FROM steps JOIN pages ON id = visit),
+adj AS (SELECT node, list(visit ORDER BY k) AS visits FROM (SELECT node, visit, min(k) AS k FROM tries GROUP BY 1, 2) GROUP BY node),
+walk AS (SELECT 0 AS i, [{{'id': '{root}', 'd': 0}}] AS stack, [{{'id': '{root}', 'd': 0}}] AS found UNION ALL
+  SELECT i + 1, list_concat(stack[1:len(stack) - 1], new), list_concat(found, new) FROM (SELECT i, stack, found,
+    list_transform(list_filter(coalesce(visits, []), lambda v: NOT list_contains(list_transform(found, lambda f: f.id), v)), lambda v: {{'id': v, 'd': stack[-1].d + 1}}) AS new
+    FROM walk LEFT JOIN adj ON node = stack[-1].id AND stack[-1].d < {depth} WHERE len(stack) > 0)),
+told AS (SELECT unnest(range(len(found))) AS n, unnest(found) AS f FROM (SELECT found FROM walk ORDER BY i DESC LIMIT 1)),
+nodes AS (SELECT n::INTEGER AS n, f.id AS id, f.d::INTEGER AS depth FROM told) {what}"""
+
+
+_AHEAD_IN_ORDER = "SELECT src AS node, target AS visit, 0 AS way, '' AS place, ord, src AS edge_from, target AS edge_to, type, strength FROM edges"
+_BACK_IN_ORDER = "SELECT target, src, 1, src, ord, src, target, first_value(type) OVER w, first_value(strength) OVER w FROM edges WINDOW w AS (PARTITION BY src, target ORDER BY ord)"
+
+
+@query(_dfs_sql("supplier-5", f"{_AHEAD_IN_ORDER} UNION ALL {_BACK_IN_ORDER}", 4, "SELECT n, id, depth FROM nodes"))
+def dfs_both(spark, sf_dir):
+    return traverse.depth_first(_graph(spark, sf_dir), "supplier-5", 4, "both")
+
+
+@query(_dfs_sql(ROOT, f"SELECT * FROM ({_AHEAD_IN_ORDER} WHERE false UNION ALL {_BACK_IN_ORDER})", 2, "SELECT n, id, depth FROM nodes"))
+def dfs_reverse(spark, sf_dir):
+    return traverse.depth_first(_graph(spark, sf_dir), ROOT, 2, "reverse")
+
+
+@query(_dfs_sql("supplier-5", f"{_AHEAD_IN_ORDER} UNION ALL {_BACK_IN_ORDER}", 2, "SELECT edge_from, edge_to, type, strength FROM nodes JOIN steps ON node = id WHERE depth < 2"))
+def dfs_edges(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return traverse.depth_first_edges(g, traverse.depth_first(g, "supplier-5", 2, "both"), 2, "both")
+
+
 @query(f"WITH {O.COMPANY}, near AS (SELECT target AS id, type, ord, 0 AS way FROM edges WHERE src = 'nation-3' UNION ALL SELECT src, type, ord, 1 FROM edges WHERE target = 'nation-3') SELECT id, arg_min(type, way * 1000 + ord) AS type FROM near WHERE id IN (SELECT id FROM pages) GROUP BY id")
 def neighbourhood_1hop(spark, sf_dir):
     return traverse.neighbourhood(_graph(spark, sf_dir), "nation-3")

@@ -1,7 +1,11 @@
 """Identity, resolution, traversal, search and merges on small pages."""
 
 import json
+import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +155,52 @@ def test_depth_first(graph):
     assert got == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
 
 
+def walk(ahead: dict, root, depth: int) -> list:
+    """Depth first over lists of next nodes, step by step."""
+    found, stack = {root: 0}, [root]
+    while stack:
+        here = stack.pop()
+        if found[here] < depth:
+            for there in ahead.get(here, ()):
+                if there not in found:
+                    found[there] = found[here] + 1
+                    stack.append(there)
+    return list(found.items())
+
+
+@pytest.mark.parametrize("direction", ["forward", "reverse", "both"])
+def test_depth_first_with_branches_and_cycles(spark, direction, monkeypatch):
+    monkeypatch.setattr(traverse, "BLOCK", 2)
+    rng = random.Random(3)
+    names = [f"p{i}" for i in range(40)]
+    targets = {x: [rng.choice([*names, "nowhere"]) for _ in range(rng.randrange(5))] for x in names}
+    targets["p0"] = names[39:10:-1] + ["p0", "p5", "p5"]
+    held = KnowledgeGraph.build(pages(spark, *({"id": x, "title": f"Title {x}", "relationships": [rel(t) for t in to]} for x, to in targets.items())))
+    back = {x: sorted(s for s in names if x in targets[s]) for x in names}
+    ahead = {x: [t for t in targets[x] if t in targets] for x in names}
+    ways = {"forward": ahead, "reverse": back, "both": {x: ahead[x] + back[x] for x in names}}[direction]
+    for depth in (2, 50):
+        got = [(r["id"], r["depth"]) for r in traverse.depth_first(held, "p0", depth, direction).orderBy("n").collect()]
+        assert got == walk(ways, "p0", depth)
+    alone = KnowledgeGraph.build(pages(spark, {"id": "x", "title": "X", "relationships": [rel("x"), rel("nowhere")]}))
+    assert [tuple(r) for r in traverse.depth_first(alone, "x", 3, direction).collect()] == [(0, "x", 0)]
+
+
+def test_a_walk_over_a_million_steps_holds_only_numbers():
+    rng, n, each = np.random.default_rng(1), 200_000, 5
+    visits = rng.integers(0, n, (n, each), dtype=np.int32)
+    batches = [pa.RecordBatch.from_pydict({"at": pa.array(np.arange(a, a + 1000, dtype=np.int32)), "block": pa.array(np.zeros(1000, np.int32)), "visits": pa.array(list(visits[a : a + 1000]), pa.list_(pa.int32()))}) for a in range(0, n, 1000)]
+    first = {i: list(dict.fromkeys(v)) for i, v in enumerate(visits.tolist())}
+    distinct = [pa.RecordBatch.from_pydict({"at": b["at"], "block": b["block"], "visits": pa.array([first[i] for i in b["at"].to_pylist()], pa.list_(pa.int32()))}) for b in batches]
+    n_steps = sum(map(len, first.values()))
+    tracemalloc.start()
+    order, depths = traverse.walked(*traverse.adjacency(iter(distinct), n, n_steps), 0, 1 << 30)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(int(i), int(depths[i])) for i in order] == walk(first, 0, 1 << 30)
+    assert n_steps > 990_000 and peak < 4 * n_steps + 20 * n + (1 << 20)
+
+
 def test_neighbours(graph):
     assert {tuple(r) for r in traverse.neighbourhood(graph, "a").collect()} == {("b", "knows"), ("c", "uses"), ("d", "t")}
     assert {r["id"] for r in traverse.grown(graph, graph.get("c")).collect()} == {"a", "b", "c", "d"}
