@@ -96,6 +96,7 @@ def test_decontaminate(spark, docs, empty):
     want = brute.op2(corpus(), [(i, t) for i, t in BENCH if i is not None])
     columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     same(decontaminate.contamination(docs, bench), want, *columns)
+    same(decontaminate.contamination(docs, bench, broadcast_rows=0), want, *columns)  # nothing is broadcast
     kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and rows(kept, "doc_id") == sorted([(w[0],) for w in want if not w[-1]], key=str)
     assert decontaminate.contamination(empty, bench).count() == 0
