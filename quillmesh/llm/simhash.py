@@ -199,11 +199,16 @@ def band_keys(fp, table: int, pair: tuple[int, int]):
     return F.lit(table << 44).cast("long") + F.shiftleft(cut(pair[0]), 16) + cut(pair[1])
 
 
+def met(rows: DataFrame, other: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join by a shuffle of both sides, so that none of the many joins of a run is gathered and sent out by the driver."""
+    return rows.join(other.hint("merge"), on, how)
+
+
 def links(keyed: DataFrame, radius: int, n_rows: int) -> DataFrame:
     """keyed: (node, fp as an array of longs, key). Edges (a, b) of nodes; their components are those
     of all pairs that share a key and lie within the radius. n_rows: of keyed, for sizing."""
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = keyed.join(sizes, "key")
+    rows = met(keyed, sizes, "key")
     # A group of more than PART fingerprints is cut by hash; each part meets itself and all others.
     n_parts = F.ceil(F.col("size") / PART).cast("int")
     own = F.pmod(F.xxhash64("node"), n_parts).cast("int")
@@ -260,11 +265,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Large star: neighbours above a node link to its smallest neighbour.
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = met(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: of what a node links to below it, all link to the smallest.
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = met(down, least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         after = written(small, shared_dir(spark))
         if after.count() == links.count() and after.exceptAll(links).isEmpty():
             return after.select(F.col("u").alias("node"), F.col("v").alias("root")).union(after.select("v", "v").distinct())
@@ -274,13 +279,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 4, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links) of every row."""
     fps = written(fingerprints(docs, k, doc_id, text))
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    edges = fingerprint_links(distinct.select("fp"), radius)
-    roots = components(edges).withColumnsRenamed({"node": "fp"})
-    classes = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
-    smallest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = classes.join(smallest, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = written(lowest_linked(fps, "doc_id", radius))
+    return fps.join(of_fp, "fp").select("doc_id", "fp", F.col("lowest").alias("component_id"))
+
+
+def lowest_linked(fps: DataFrame, name: str, radius: int = RADIUS) -> DataFrame:
+    """fps: (fp, name). fp, lowest: the smallest name among the rows of the fingerprint and of those that it is linked to."""
+    distinct = written(fps.groupBy("fp").agg(F.min(name).alias("low")))
+    roots = components(fingerprint_links(distinct.select("fp"), radius)).withColumnsRenamed({"node": "fp"})
+    classes = met(distinct, roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
+    smallest = classes.groupBy("root").agg(F.min("low").alias("lowest"))
+    return met(classes, smallest, "root").select("fp", "lowest")
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:

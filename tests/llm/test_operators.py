@@ -526,3 +526,11 @@ def test_null_ids(docs, spark):
         decontaminate.contamination(some, bench), fm_index.word_dedup(some), repetition.repetition_stats(some), simhash.near_duplicates(some), ctw.scores(some), mixing.draws(some).dropDuplicates(["doc_id", "rank"]), suffixes.substring_dedup(some), pseudonyms.pseudonyms(some, "k"),
     ):
         assert found.where("doc_id IS NULL").count() >= min(n, 1)
+
+
+def test_fingerprint_joins_are_not_sent_out_by_the_driver(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} and three more words {i}") for i in range(40)], "doc_id long, text string")
+    held = simhash.fingerprints(docs)
+    for frame in (simhash.lowest_linked(held, "doc_id"), simhash.met(held, held.groupBy("fp").count(), "fp")):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
