@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt over all cores: tables of few bytes are read by a task or two, whatever is made of each row."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def text(x) -> Column:
     return (F.col(x) if isinstance(x, str) else x).cast("string")
 
@@ -31,7 +36,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each part, with every field that search looks at."""
     k = F.col("p_partkey")
     temporal = F.struct(F.concat(F.lit("2024-"), two(k % 12 + 1), F.lit("-"), two(k % 28 + 1)).alias("last_verified"), ((k % 3) * F.lit(0.001)).alias("decay_rate"), F.lit("").alias("valid_from"), F.lit("").alias("valid_until"))
-    pages = table(spark, sf_dir, "part").select(
+    pages = spread(table(spark, sf_dir, "part"), "p_partkey").select(
         F.concat(F.lit("part-"), text(k)).alias("id"), F.col("p_name").alias("title"), F.lit("tool").alias("entity_type"), (F.col("p_size") / 50).alias("confidence"), F.array("p_brand", "p_type").alias("tags"),
         F.array(F.struct(F.col("p_brand").alias("name"), F.array(F.lower("p_type"), F.concat(F.lit("item "), text(k % 10))).alias("aliases"), F.lit("maker").alias("role"))).alias("entities"),
         F.array(edge(F.concat(F.lit("supplier-"), text(k % 100)), "made-by", 0.7)).alias("relationships"), F.array(F.concat_ws(" ", "p_brand", "p_type")).alias("semantic_hints"), temporal.alias("temporal"),

@@ -167,3 +167,20 @@ def test_stream(spark, tmp_path):
     reload_stream(spark, source, PAGE, target, check).awaitTermination()
     held = spark.read.parquet(f"{target}/v2")
     assert {(r["id"], r["title"]) for r in held.collect()} == {("a", "new"), ("b", "y"), ("c", "three")} and set(held.columns) == set(page.columns)
+
+
+def test_yaml_by_libyaml_reads_and_refuses_the_same():
+    import yaml
+
+    good = 'id: a\ntitle: "é \\u2026 😀"\ntags: [x, 1, yes]\ntemporal:\n  last-verified: 2024-01-31\nsummary: |\n  two\n  lines\n'
+    assert markdown._FAST is yaml.CBaseLoader and markdown.load_yaml(good) == yaml.load(good, Loader=yaml.BaseLoader)
+    with pytest.raises(ValueError, match="cannot read the frontmatter"):
+        markdown.load_yaml("a: [1")
+
+
+def test_pages_of_a_small_file_are_dealt_over_the_cores(spark, tmp_path):
+    from quillmesh.plans import datasets
+
+    spark.range(400).selectExpr("id AS p_partkey", "'a b' AS p_name", "'B' AS p_brand", "'T' AS p_type", "1 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for pages in (datasets.parts(spark, str(tmp_path)),):
+        assert pages.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and pages.count() == 400
