@@ -275,3 +275,19 @@ def test_model_merge(spark):
     assert got["1"]["semantic_hints"] == ["h"] and got["1"]["semantic_relationships"][0]["target"] == "x" and got["1"]["relationships"] == []
     kinds = spark.createDataFrame([("TECHNOLOGY",), ("",), ("paper",), ("DATE",)], "k string")
     assert [r[0] for r in kinds.select(enrich.is_residual(F.col("k"))).collect()] == [True, False, False, False]
+
+
+def test_roots_with_the_same_next_pages_walk_as_one(spark):
+    rows = [{"id": "hub", "title": "Hub"}, {"id": "other", "title": "Other"}]
+    rows += [{"id": f"leaf{i}", "title": f"Leaf {i}", "relationships": [rel("hub", "t"), *([rel(f"leaf{i}", "self")] if i == 3 else []), *([rel("other", "t")] if i == 5 else [])]} for i in range(90)]
+    g = KnowledgeGraph.build(pages(spark, *rows))
+    ids = g.pages.select("id")
+    hops = traverse.oriented(g, "both").where("node <> visit").select("node", "visit").distinct()
+    classes = traverse.classed(ids, ids, hops)
+    assert classes.count() == 92 and classes.select("class").distinct().count() == 4  # hub, other, leaf5, the other leaves
+    nodes, edges = traverse.breadth_first_many(g, ids.where("id LIKE 'leaf%'"), 2, "both")
+    for root in ("leaf0", "leaf3", "leaf5"):
+        one, its = traverse.breadth_first(g, root, 2, "both")
+        assert sorted(map(tuple, nodes.where(F.col("root") == root).select("id", "depth").collect())) == sorted(map(tuple, one.collect()))
+        assert sorted(map(tuple, edges.where(F.col("root") == root).drop("root").collect())) == sorted(map(tuple, its.collect()))
+    assert traverse.breadth_first_many(g, ids, 0)[0].count() == 92
