@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmesh.functions.exponential import exp
+
 
 def strict_date(text: Column) -> Column:
     """Midnight of a YYYY-MM-DD calendar date; null for anything else."""
@@ -18,7 +20,7 @@ def clamp01(x: Column) -> Column:
 def decayed(base: Column, rate: Column, verified: Column, now: Column) -> Column:
     """base * e^(-rate * days since verified), within [0, 1]; no decay without a date or a rate."""
     days = F.greatest((F.unix_micros(now) - F.unix_micros(verified)) / F.lit(86_400_000_000.0), F.lit(0.0))
-    return F.when(verified.isNull() | (rate == 0), clamp01(base)).otherwise(clamp01(base * F.exp(-rate * days)))
+    return F.when(verified.isNull() | (rate == 0), clamp01(base)).otherwise(clamp01(base * exp(-rate * days)))
 
 
 def is_valid(valid_from: Column, valid_until: Column, now: Column) -> Column:

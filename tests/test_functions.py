@@ -82,3 +82,18 @@ def test_distinct_by_long_arrays_and_null_keys(spark):
     long = spark.createDataFrame([([f"k{i % 40_000}" for i in range(50_000)],)], "x array<string>")
     began = time.time()
     assert long.select(F.size(C.distinct_strings(F.col("x")))).first()[0] == 40_000 and time.time() - began < 20
+
+
+def test_exp_is_rounded_correctly(spark):
+    from decimal import Decimal, localcontext
+
+    from quillmesh.functions.exponential import exp
+
+    xs = [-r * d for r in (0.001, 0.002, 0.0173) for d in range(1, 1400, 3)] + [i / 7 - 60 for i in range(800)] + [-699.99, 699.5, 0.0, -0.0, -1e-300, 2.0**-60]
+    rows = spark.createDataFrame([(x,) for x in [*xs, None, float("-inf"), float("inf"), -745.0]], "x double").select("x", exp(F.col("x")).alias("y"), F.exp("x").alias("plain")).collect()
+    with localcontext() as c:
+        c.prec = 60
+        right = {x: float(Decimal(x).exp()) for x in xs}
+    off = [r["x"] for r in rows if r["x"] in right and r["y"] != right[r["x"]]]
+    assert len(off) <= 2 and sum(r["plain"] != right[r["x"]] for r in rows if r["x"] in right) > 100
+    assert all(r["y"] == r["plain"] for r in rows if r["x"] not in right)
