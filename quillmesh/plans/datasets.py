@@ -53,7 +53,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("```\n#hidden [[Nope]]\n```\nUse `[[code]]` here #Tag"), text(k % 5), F.lit(" #"), F.lower("p_type"), F.lit(" #tag"), text(k % 5), F.lit(" x\nSee https://example.com/p/"), text(k % 9), F.lit(". or (https://example.com/b)\n"),
     )
     path = F.concat(F.lit("/kb/"), F.col("p_type"), F.lit("/"), F.regexp_replace("p_name", " ", "_"), F.lit("-"), text(k), F.lit(".md"))
-    return table(spark, sf_dir, "part").select(k.alias("k"), path.alias("source_path"), body.alias("body"), "p_name", "p_brand", "p_type", "p_size")
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(k.alias("k"), path.alias("source_path"), body.alias("body"), "p_name", "p_brand", "p_type", "p_size")
 
 
 def company(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,5 +182,5 @@ def test_pages_of_a_small_file_are_dealt_over_the_cores(spark, tmp_path):
     from quillmesh.plans import datasets
 
     spark.range(400).selectExpr("id AS p_partkey", "'a b' AS p_name", "'B' AS p_brand", "'T' AS p_type", "1 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
-    for pages in (datasets.parts(spark, str(tmp_path)),):
+    for pages in (datasets.parts(spark, str(tmp_path)), datasets.notes(spark, str(tmp_path))):
         assert pages.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and pages.count() == 400
