@@ -10,7 +10,8 @@ their links, not all pairs, and components come from min-label contraction of th
 
 Where a similarity is asked for, `similar_groups` takes each text's set of distinct shingles and
 verifies every link by the sets' Jaccard similarity (exact up to collisions of 64-bit hashes).
-Candidates come from MinHash: 24 bands of 5 hashes, of which a pair at exactly 0.8 misses all in 7
+Candidates are the fingerprints' links, found as above, and, as 64 bits tell a similarity too coarsely to
+find all pairs, those of MinHash besides: 24 bands of 5 hashes, of which a pair at exactly 0.8 misses all in 7
 of 100,000 cases. Documents of one band hang together as a candidate component, whose sets are
 then compared pair by pair.
 
@@ -376,30 +377,34 @@ def text_hash(text: str):
 def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_hash, root of every row (root: its group's number): groups of documents whose k-word shingle sets are as similar as that.
 
-    Sketches only tell which documents to compare; each link is verified by the sets themselves.
+    Fingerprints and sketches only tell which documents to compare; each link is verified by the sets themselves.
     """
     picked = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_hash(text).alias("text_hash"))
 
     def sketches(batches):
         for batch in slices(batches):
-            nodes, keys = [], []
+            nodes, keys, fps = [], [], []
             for x in utf8(column(batch, "text")):
-                shingles = shingle_set(x, k)
+                hashes = shingle_hashes(x, k)
+                shingles = distinct(hashes)
+                fps.append(fingerprint(hashes))
                 nodes.append(xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes()))
                 keys.append(sketch(shingles))
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text_hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text_hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "fp", "keys"])
 
     def sets(batches):
         for batch in slices(batches):
             found = [shingle_set(x, k) for x in utf8(column(batch, "text"))]
             yield pa.RecordBatch.from_arrays([column(batch, "node"), column(batch, "root"), pa.array([len(x) for x in found], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], names=["node", "root", "n", "shingles"])
 
-    fps = written(picked.mapInArrow(sketches, "doc_id long, text_hash long, node long, keys array<long>"))
-    distinct = written(fps.groupBy("node").agg(F.first("keys").alias("keys")))
-    keyed = distinct.select("node", F.explode("keys").alias("key"))
+    fps = written(picked.mapInArrow(sketches, "doc_id long, text_hash long, node long, fp long, keys array<long>"))
+    nodes = written(fps.groupBy("node").agg(F.first("keys").alias("keys")))
+    prints = written(fps.select("fp", "node").distinct())
+    linked = met(prints, lowest_linked(prints, "node"), "fp").select(F.col("node").alias("a"), F.col("lowest").alias("b"))
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
     # A key's documents hang on its smallest one: only their component matters, as that is compared in full.
     lows = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("key", "b")
-    maybe = written(components(keyed.join(lows, "key").select(F.col("node").alias("a"), "b")).select("node", "root"))
+    maybe = written(components(keyed.join(lows, "key").select(F.col("node").alias("a"), "b").union(linked)).select("node", "root"))
     # Sets are made again for one row of each candidate, which takes less room than to keep all.
     chosen = fps.select("node", "doc_id", "text_hash").join(maybe, "node").groupBy("node", "root").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
     chosen = written(chosen.select("node", "root", F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash")))

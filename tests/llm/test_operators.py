@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -534,3 +535,13 @@ def test_fingerprint_joins_are_not_sent_out_by_the_driver(spark):
     for frame in (simhash.lowest_linked(held, "doc_id"), simhash.met(held, held.groupBy("fp").count(), "fp")):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_near_duplicates_of_the_pipeline_come_by_fingerprints_too(spark, monkeypatch):
+    """Sketches that share nothing: what the fingerprints link is still found, and verified."""
+    base = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join([*base[:-1], "x"])), (3, " ".join(f"v{i}" for i in range(400)))], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "sketch", lambda shingles: np.array([int(shingles[0] >> np.uint64(1)) ^ int(shingles.sum() >> np.uint64(1))], np.int64))
+    prints = [simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5)) for (t,) in docs.select("text").collect()]
+    assert (prints[0] ^ prints[1]).bit_count() <= simhash.RADIUS < (prints[0] ^ prints[2]).bit_count()
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == [1, 3]
