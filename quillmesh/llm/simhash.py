@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import bounded_batches, column, distinct, mix64, shared_dir, slices, utf8, written
+from quillmesh.sources.shared import passing
 
 BANDS = 6
 RADIUS = 4
@@ -397,21 +398,25 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id:
             found = [shingle_set(x, k) for x in utf8(column(batch, "text"))]
             yield pa.RecordBatch.from_arrays([column(batch, "node"), column(batch, "root"), pa.array([len(x) for x in found], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], names=["node", "root", "n", "shingles"])
 
-    fps = written(picked.mapInArrow(sketches, "doc_id long, text_hash long, node long, fp long, keys array<long>"))
-    nodes = written(fps.groupBy("node").agg(F.first("keys").alias("keys")))
-    prints = written(fps.select("fp", "node").distinct())
-    linked = met(prints, lowest_linked(prints, "node"), "fp").select(F.col("node").alias("a"), F.col("lowest").alias("b"))
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    # A key's documents hang on its smallest one: only their component matters, as that is compared in full.
-    lows = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("key", "b")
-    maybe = written(components(keyed.join(lows, "key").select(F.col("node").alias("a"), "b").union(linked)).select("node", "root"))
-    # Sets are made again for one row of each candidate, which takes less room than to keep all.
-    chosen = fps.select("node", "doc_id", "text_hash").join(maybe, "node").groupBy("node", "root").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
-    chosen = written(chosen.select("node", "root", F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash")))
-    texts = picked.join(chosen, (picked["text_hash"] == chosen["__hash"]) & picked["doc_id"].eqNullSafe(chosen["__id"])).select("node", "root", "text")
-    members = texts.mapInArrow(sets, "node long, root long, n long, shingles binary").groupBy("node", "root").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-    roots = components(verified(written(members), similarity))
-    return fps.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+    # Sketches and sets go at once; only the groups stay for what comes after.
+    path = shared_dir(docs.sparkSession)
+    with passing(docs.sparkSession):
+        fps = written(picked.mapInArrow(sketches, "doc_id long, text_hash long, node long, fp long, keys array<long>"))
+        nodes = written(fps.groupBy("node").agg(F.first("keys").alias("keys")))
+        prints = written(fps.select("fp", "node").distinct())
+        linked = met(prints, lowest_linked(prints, "node"), "fp").select(F.col("node").alias("a"), F.col("lowest").alias("b"))
+        keyed = nodes.select("node", F.explode("keys").alias("key"))
+        # A key's documents hang on its smallest one: only their component matters, as that is compared in full.
+        lows = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("key", "b")
+        maybe = written(components(keyed.join(lows, "key").select(F.col("node").alias("a"), "b").union(linked)).select("node", "root"))
+        # Sets are made again for one row of each candidate, which takes less room than to keep all.
+        chosen = fps.select("node", "doc_id", "text_hash").join(maybe, "node").groupBy("node", "root").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
+        chosen = written(chosen.select("node", "root", F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash")))
+        texts = picked.join(chosen, (picked["text_hash"] == chosen["__hash"]) & picked["doc_id"].eqNullSafe(chosen["__id"])).select("node", "root", "text")
+        members = texts.mapInArrow(sets, "node long, root long, n long, shingles binary").groupBy("node", "root").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+        roots = components(verified(written(members), similarity))
+        groups = fps.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+        return written(groups, path)
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -545,3 +545,15 @@ def test_near_duplicates_of_the_pipeline_come_by_fingerprints_too(spark, monkeyp
     prints = [simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5)) for (t,) in docs.select("text").collect()]
     assert (prints[0] ^ prints[1]).bit_count() <= simhash.RADIUS < (prints[0] ^ prints[2]).bit_count()
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == [1, 3]
+
+
+def test_near_duplicates_leave_only_their_groups(spark):
+    import pathlib
+
+    from quillmesh.sources.shared import shared_dir
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{j + i // 2 * 50}" for j in range(60))) for i in range(8)], "doc_id long, text string")
+    root = pathlib.Path(shared_dir(spark).removeprefix("file:")).parent
+    before = set(root.iterdir())
+    groups = simhash.similar_groups(docs)
+    assert len(set(root.iterdir()) - before) == 1 and groups.select("root").distinct().count() == 4
