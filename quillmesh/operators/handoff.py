@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions.text import strip_fence
 from quillmesh.operators import enrich
 from quillmesh.sources import markdown
+from quillmesh.sources.shared import written
 
 RESULTS = "ord int, path string, entity_type string, summary string, entities array<struct<name:string,type:string>>, relationships array<struct<subject:string,predicate:string,object:string>>"
 
@@ -62,6 +63,7 @@ def apply_results(files: DataFrame, results: DataFrame, force: bool = False) ->
     """
     wanted = as_model(results).select("ord", F.col("path").alias("source_path"), "model")
     held = files.join(wanted.select(F.col("source_path").alias("path")).distinct(), "path", "left_semi").select("path", "text")
+    held = written(held)  # files may be rendered ones, and these are read twice below
     pages = markdown.parsed(held, strict=False).join(held.withColumnRenamed("path", "source_path"), "source_path")
     both = wanted.join(pages, "source_path", "left")
     blank = F.trim("source_path") == ""
