@@ -9,19 +9,24 @@ on the driver, filters on source_path (equal, in, starts with, ends with, contai
 before any is opened, and `filesPerTask` of them make a task. A file that cannot be parsed is a row with `error`;
 option strict=false reads a text without frontmatter as all body.
 
-Writing: each task renders its pages into a staging folder; the job's commit moves the files to their
-places, each in one step, and an abort removes the staging folder, so a failed task leaves no file. A page's
-source_path is below the folder, or relative to it. Two pages of one path fail the job before
-anything has moved. Other files stay, so the mode is append.
+Writing: each task renders its pages into a staging folder, with a list of them in buckets of their paths;
+the job's commit moves the files to their places, each in one step, and an abort removes the staging folder, so
+a failed task leaves no file. A page's source_path is below the folder, or relative to it. Two pages of one path
+fail the job before anything has moved. Other files stay, so the mode is append.
+
+The driver holds the paths that are read compressed, and of those that are written a few buckets at a time.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import heapq
+import json
 import os
 import re
 import shutil
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -37,6 +42,10 @@ FORMAT = "quillmesh"
 SCHEMA = T.StructType([*PAGE, T.StructField("error", T.StringType())])
 FILES_PER_TASK = 500
 STAGING = ".staging-"
+#: A task's list of its pages, in buckets of paths; equal paths are in the same one.
+LIST, BUCKETS = "list", 1024
+#: What the commit reads of the tasks' lists at once, or one bucket.
+LIST_BYTES = 16 << 20
 
 
 def _root(options) -> str:
@@ -46,14 +55,35 @@ def _root(options) -> str:
     return path
 
 
-@dataclass
 class Files(InputPartition):
-    paths: list[str]
+    """Paths that are much alike take few bytes."""
+
+    def __init__(self, paths: list[str]):
+        self.packed = zlib.compress(json.dumps(sorted(paths)).encode(), 1)
+
+    @property
+    def paths(self) -> list[str]:
+        return json.loads(zlib.decompress(self.packed))
 
 
 @dataclass
 class Staged(WriterCommitMessage):
-    moves: list[tuple[str, str]]
+    """A task's folder, and where in its list each bucket begins and the last one ends."""
+
+    folder: str
+    edges: list[int]
+
+    def moves(self, first: int = 0, end: int = BUCKETS) -> Iterator[tuple[str, str]]:
+        """(staged file, path) of the buckets from first to before end."""
+        left = self.edges[end] - self.edges[first]
+        if left:
+            with open(os.path.join(self.folder, LIST), "rb") as f:
+                f.seek(self.edges[first])
+                while left:
+                    line = f.readline()
+                    left -= len(line)
+                    name, path = json.loads(line)
+                    yield os.path.join(self.folder, name), path
 
 
 class PagesReader(DataSourceReader):
@@ -75,14 +105,32 @@ class PagesReader(DataSourceReader):
         return all(tests[type(f)](path, f.value) for f in self.filters)
 
     def partitions(self) -> list[Files]:
-        found = []
-        for folder, below, names in os.walk(self.root):
-            below[:] = sorted(d for d in below if not d.startswith((".", "_")))
-            found += [p for n in sorted(fnmatch.filter(names, self.pattern)) if not n.startswith((".", "_")) and self.wanted(p := os.path.join(folder, n))]
-        return [Files(found[i : i + self.per_task]) for i in range(0, len(found), self.per_task)] or [Files([])]
+        found: list[Files] = []
+        names: list[str] = []
+        folders = [self.root]
+        while folders:
+            below = []
+            try:
+                entries = os.scandir(folders.pop())
+            except OSError:  # not there, or not to be read
+                continue
+            with entries:
+                for e in entries:
+                    if e.name.startswith((".", "_")):
+                        continue
+                    if e.is_dir():
+                        if not e.is_symlink():
+                            below.append(e.path)
+                    elif fnmatch.fnmatch(e.name, self.pattern) and self.wanted(e.path):
+                        names.append(e.path)
+                        if len(names) == self.per_task:
+                            found.append(Files(names))
+                            names = []
+            folders += sorted(below, reverse=True)
+        return [*found, Files(names)] if names or not found else found
 
     def read(self, partition: Files) -> Iterator[tuple]:
-        empty = markdown._typed({}, FRONTMATTER) | {"body": ""}
+        empty = markdown._fields({}) | {"body": ""}
         for path in partition.paths:
             try:
                 page = markdown.read_file(path, self.strict) | {"error": ""}
@@ -97,27 +145,43 @@ class PagesWriter(DataSourceWriter):
         self.staging = os.path.join(self.root, STAGING + uuid.uuid4().hex)
 
     def write(self, iterator: Iterator) -> Staged:
-        os.makedirs(self.staging, exist_ok=True)
-        moves = []
-        for row in iterator:
-            page = row.asDict(recursive=True)
+        folder = os.path.join(self.staging, uuid.uuid4().hex)
+        os.makedirs(folder)
+        buckets: list[list[str]] = [[] for _ in range(BUCKETS)]
+        for n, page in enumerate(iterator):
             path = os.path.normpath(os.path.join(self.root, page["source_path"] or ""))
             if not page["source_path"] or not path.startswith(self.root + os.sep):
                 raise ValueError(f"{page['source_path']!r} is not below {self.root}")
-            made = os.path.join(self.staging, uuid.uuid4().hex)
-            markdown.write_file(made, markdown.render(page))
-            moves.append((made, path))
-        return Staged(moves)
+            with open(os.path.join(folder, str(n)), "w", encoding="utf-8", newline="") as f:
+                f.write(markdown.render(page))
+            buckets[zlib.crc32(path.encode()) % BUCKETS].append(json.dumps([str(n), path]) + "\n")
+        edges = [0]
+        with open(os.path.join(folder, LIST), "wb") as f:
+            for lines in buckets:
+                edges.append(edges[-1] + f.write("".join(lines).encode()))
+        return Staged(folder, edges)
 
     def commit(self, messages: list[Staged | None]) -> None:
-        moves = [m for staged in messages if staged is not None for m in staged.moves]
-        twice = [p for p, n in Counter(path for _, path in moves).items() if n > 1]
+        tasks, twice = [m for m in messages if m is not None], []
+        sizes = [sum(m.edges[b + 1] - m.edges[b] for m in tasks) for b in range(BUCKETS)]
+        first = 0
+        while first < BUCKETS:
+            end = first + 1
+            while end < BUCKETS and sum(sizes[first : end + 1]) <= LIST_BYTES:
+                end += 1
+            seen = Counter(path for m in tasks for _, path in m.moves(first, end))
+            twice = heapq.nsmallest(5, twice + [p for p, n in seen.items() if n > 1])
+            first = end
         if twice:
             self.abort(messages)
-            raise ValueError(f"several pages of one path: {', '.join(sorted(twice)[:5])}")
-        for made, path in moves:
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            os.replace(made, path)
+            raise ValueError(f"several pages of one path: {', '.join(twice)}")
+        for m in tasks:
+            for made, path in m.moves():
+                try:
+                    os.replace(made, path)
+                except FileNotFoundError:
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    os.replace(made, path)
         shutil.rmtree(self.staging, ignore_errors=True)
 
     def abort(self, messages: list[Staged | None]) -> None:

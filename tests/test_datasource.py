@@ -1,8 +1,10 @@
 """Pages through spark.read.format and write.format."""
 
 import os
+import pickle
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, In, IsNotNull, StringContains, StringEndsWith, StringStartsWith
 
@@ -78,3 +80,26 @@ def test_writes_whole_or_not_at_all(spark, tmp_path):
         pages.write.format("quillmesh").mode("overwrite").save(str(root))
     with pytest.raises(Exception):  # noqa: B017
         pages.drop("tags").write.format("quillmesh").mode("append").save(str(root))
+
+
+def test_commit_and_listing_hold_no_path_of_each_page(tmp_path, monkeypatch):
+    monkeypatch.setattr(datasource, "LIST_BYTES", 100)
+    empty = markdown.parse("---\nid: x\n---\n")
+    pages = [[Row(**empty | {"title": f"{t}-{n}", "source_path": f"d{n % 3}/p{t}-{n}.md"}) for n in range(2000)] for t in range(2)]
+    writer = datasource.PagesWriter({"path": str(tmp_path)})
+    staged = [writer.write(iter(rows)) for rows in pages]
+    assert all(len(pickle.dumps(m)) < 8000 for m in staged) and not [f for f in files(tmp_path) if not f.startswith(datasource.STAGING)]
+    writer.commit([*staged, None])
+    assert files(tmp_path) == sorted(r["source_path"] for rows in pages for r in rows)
+    reader = datasource.PagesReader({"path": str(tmp_path)})
+    parts = reader.partitions()
+    assert [len(p.paths) for p in parts] == [500] * 8 and all(len(pickle.dumps(p)) < 6000 for p in parts)
+    assert sorted(r[1] for p in parts for r in reader.read(p)) == sorted(r["title"] for rows in pages for r in rows)
+    assert [p.paths for p in datasource.PagesReader({"path": str(tmp_path / "none")}).partitions()] == [[]]
+
+    writer = datasource.PagesWriter({"path": str(tmp_path)})
+    again = [Row(**empty | {"title": "new", "source_path": p}) for p in ("d0/p0-0.md", "d1/p1-1.md", "z.md")]
+    staged = [writer.write(iter(again)), writer.write(iter(again[1:]))]
+    with pytest.raises(ValueError, match=r"d1/p1-1.md, .*/z.md"):
+        writer.commit(staged)
+    assert files(tmp_path) == sorted(r["source_path"] for rows in pages for r in rows) and markdown.read_file(f"{tmp_path}/d0/p0-0.md")["title"] == "0-0"

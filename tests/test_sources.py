@@ -178,6 +178,16 @@ def test_yaml_by_libyaml_reads_and_refuses_the_same():
         markdown.load_yaml("a: [1")
 
 
+def test_yaml_nodes_are_built_as_the_loader_builds_them():
+    import yaml
+
+    for text in ("a: &x [1, {b: c}]\nd: *x\n<<: {e: f}\na: again\n", "", "~", "- !t x\n- ''\n- 'null'\n", "{a: {b: {}}, ? b : }"):
+        assert markdown.load_yaml(text) == yaml.load(text, Loader=yaml.BaseLoader)
+    for text in ("&a [*a]", "? [k]\n: v\n", "a: 1\n---\nb: 2\n"):
+        with pytest.raises(ValueError, match="cannot read the frontmatter"):
+            markdown.load_yaml(text)
+
+
 def test_pages_of_a_small_file_are_dealt_over_the_cores(spark, tmp_path):
     from quillmesh.plans import datasets
 
