@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import SPACE, bounded_batches, column, n_groups, numbered_words, slices, utf8
+from quillmesh.llm.common import SPACE, bounded_batches, column, n_groups, numbered_words, release, slices, utf8
 
 MAGIC = b"QMPLANE1"
 SHARD_IDS = 1 << 20
@@ -245,6 +245,13 @@ def encoder_for(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def forget_encoders() -> None:
+    """Drops the worker's encoders and gives their memory back."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        release()
+
+
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, kind: str = "byte", doc_id: str = "doc_id", text: str = "text", order: list[Column] | None = None) -> None:
     """Writes the shard table: part (of the order, by default that of doc_id), seq, n_docs, n_ids, shard."""
     picked = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(c.alias(f"__{i}") for i, c in enumerate(order or [])))
@@ -284,6 +291,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
     base = meta.join(parts.select("part", before.alias("before")), "part").select("part", "seq", (F.col("before") + inside).alias("base"))
 
     def run(batches):
+        forget_encoders()  # what is read has been encoded
         for batch in batches:
             for part, seq, shard in zip(*(column(batch, c).to_pylist() for c in ("part", "seq", "shard")), strict=True):
                 index = read_index(shard)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 
 import numpy as np
@@ -41,6 +42,14 @@ def n_groups(docs: DataFrame, text: str = "text", each: int = GROUP_BYTES) -> in
     return int(max(1, -(-total // each)))
 
 
+def release() -> None:
+    """Gives back what a worker has freed: workers are reused, and stay beside the JVM while later stages run in it alone."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc only
+        trim(0)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

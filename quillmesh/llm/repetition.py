@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmesh.llm.anchors import Rolling
-from quillmesh.llm.common import bounded_batches, column, mix64, slices, utf8
+from quillmesh.llm.common import bounded_batches, column, mix64, release, slices, utf8
 
 #: n-gram length -> largest share of characters inside n-grams of that length found twice or more.
 LIMITS = {5: 0.25, 8: 0.20, 10: 0.15}
@@ -115,5 +115,6 @@ def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         for batch in slices(batches, text=text):
             yield batch.filter(pa.array([measure(x)[-1] for x in utf8(column(batch, text))], pa.bool_()))
+        release()
 
     return bounded_batches(docs).mapInArrow(run, docs.schema)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import bounded_batches, column, distinct, mix64, shared_dir, slices, utf8, written
+from quillmesh.llm.common import bounded_batches, column, distinct, mix64, release, shared_dir, slices, utf8, written
 from quillmesh.sources.shared import passing
 
 BANDS = 6
@@ -392,11 +392,13 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id:
                 nodes.append(xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes()))
                 keys.append(sketch(shingles))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text_hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "fp", "keys"])
+        release()
 
     def sets(batches):
         for batch in slices(batches):
             found = [shingle_set(x, k) for x in utf8(column(batch, "text"))]
             yield pa.RecordBatch.from_arrays([column(batch, "node"), column(batch, "root"), pa.array([len(x) for x in found], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], names=["node", "root", "n", "shingles"])
+        release()
 
     # Sketches and sets go at once; only the groups stay for what comes after.
     path = shared_dir(docs.sparkSession)

@@ -1,5 +1,7 @@
 """The pipeline's stages, each on its own input, against plain versions."""
 
+import weakref
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -82,3 +84,13 @@ def test_stages_on_empty_tables(spark, tmp_path):
     for _, stage in P.STAGES:
         docs = written(stage(spark, docs, f"file://{tmp_path}"))
         assert docs.count() == 0
+
+
+def test_a_worker_can_drop_its_encoders():
+    from quillmesh.llm import bitplanes
+
+    encoder = bitplanes.encoder_for(public_tokenizers.path(P.TOKENIZER))
+    gone = weakref.ref(encoder)
+    del encoder
+    bitplanes.forget_encoders()
+    assert gone() is None and not bitplanes._ENCODERS
