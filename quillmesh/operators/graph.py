@@ -34,10 +34,22 @@ def with_ids(pages: DataFrame, root: str = "", taken: DataFrame | None = None) -
     Explicit ids come first. The pages without one take their slug in order of path; whoever
     finds it taken adds eight hex digits of the path's SHA-256, then a number.
     """
-    explicit = pages.where("id <> ''").select(F.col("id").alias("__taken"))
-    explicit = (explicit if taken is None else explicit.union(taken.select("id"))).distinct()
-    given = pages.where("id <> ''").withColumn("id_derived", F.lit(False))
-    rest = written(pages.where("id = ''").withColumns({"__slug": derived_slug(root), "__row": F.monotonically_increasing_id()}))
+    given = with_given(pages)
+    explicit = given.select("id")
+    return given.unionByName(with_derived(pages.where("id = ''"), explicit if taken is None else explicit.union(taken.select("id")), root))
+
+
+def with_given(pages: DataFrame) -> DataFrame:
+    """Those of the pages that have an id, and `id_derived`."""
+    return pages.where("id <> ''").withColumn("id_derived", F.lit(False))
+
+
+def with_derived(pages: DataFrame, taken: DataFrame, root: str = "") -> DataFrame:
+    """pages, none with an id, with a derived one and `id_derived`. taken: (id) of all explicit ones."""
+    rest = written(pages.withColumns({"__slug": derived_slug(root), "__row": F.monotonically_increasing_id()}))
+    if rest.isEmpty():
+        return rest.limit(0).select(*pages.columns, F.lit(True).alias("id_derived"))
+    explicit = taken.select(F.col("id").alias("__taken")).distinct()
     lowest = rest.groupBy("__slug").agg(F.min(F.struct("source_path", "title", "__row")).alias("f"))
     first = lowest.join(explicit, F.col("__slug") == F.col("__taken"), "left_anti").select("f.__row")
     plain = rest.join(first, "__row", "left_semi").withColumn("id", F.col("__slug"))
@@ -46,8 +58,7 @@ def with_ids(pages: DataFrame, root: str = "", taken: DataFrame | None = None) -
     # Ids are numbered from 2 on where an explicit one is in the way.
     late = late.join(explicit, late["__id"] == explicit["__taken"], "left").withColumn("n", F.col("n") + F.col("__taken").isNotNull().cast("int"))
     late = late.withColumn("id", F.when(F.col("n") > 1, F.concat_ws("-", "__id", F.col("n").cast("string"))).otherwise(F.col("__id")))
-    derived = plain.select(*pages.columns).unionByName(late.select(*pages.columns)).withColumn("id_derived", F.lit(True))
-    return given.unionByName(derived.select(*given.columns))
+    return plain.select(*pages.columns).unionByName(late.select(*pages.columns)).withColumn("id_derived", F.lit(True))
 
 
 def numbered(rows: DataFrame, key: str, order: list[str], row: str) -> DataFrame:
@@ -94,27 +105,39 @@ def common_items(blocks: DataFrame, key: str, keys: list[str]) -> DataFrame:
 
 
 def claims_of(pages: DataFrame, *more: str) -> DataFrame:
-    """(key, page_id, more): what each page can be called."""
+    """(key, page_id, more): what each page can be called, no key of a page twice."""
     entities = F.flatten(F.transform("entities", lambda e: F.concat(F.array(e["name"]), e["aliases"])))
-    names = F.concat(F.array("id", "title", stem(F.col("source_path"))), entities)
-    claimed = pages.select(F.col("id").alias("page_id"), *more, F.explode(names).alias("name")).select(reconcile_key(F.col("name")).alias("key"), "page_id", *more)
-    return claimed.where("key <> ''").distinct()
+    names = F.array_distinct(F.concat(F.array("id", "title", stem(F.col("source_path"))), entities))
+    keys = F.array_distinct(F.transform(names, reconcile_key))
+    return pages.select(F.explode(keys).alias("key"), F.col("id").alias("page_id"), *more).where("key <> ''")
 
 
 def edges_of(pages: DataFrame, *more: str) -> DataFrame:
-    """src, written, type, strength, semantic, ord, more, key: edges as the pages declare them."""
+    """src, written, type, strength, semantic, ord, more: edges as the pages declare them."""
     told = lambda name, semantic: F.transform(name, lambda r: F.struct(r["target"].alias("target"), r["type"].alias("type"), r["strength"].alias("strength"), F.lit(semantic).alias("semantic")))
     both = F.concat(told("relationships", False), told("semantic_relationships", True))
     edges = pages.select(F.col("id").alias("src"), *more, F.posexplode(both).alias("ord", "e")).select("src", F.col("e.target").alias("written"), "e.type", "e.strength", "e.semantic", "ord", *more)
-    return edges.where("written <> ''").withColumn("key", reconcile_key(F.col("written")))
+    return edges.where("written <> ''")
 
 
-def resolved(edges: DataFrame, ids: DataFrame, owners: DataFrame) -> DataFrame:
-    """edges with target and resolved. ids: (id) of pages that a key names; owners: (key, page_id). An id goes before a key."""
-    by_id = edges.join(ids.select(F.col("id").alias("__id")), F.col("written") == F.col("__id"), "left")
-    both = by_id.join(owners.select("key", F.col("page_id").alias("__alias")), "key", "left")
+def named_by(edges: DataFrame) -> DataFrame:
+    """(written, key): the texts that edges name their targets by, each once."""
+    return edges.select("written").distinct().withColumn("key", reconcile_key(F.col("written")))
+
+
+def targets(names: DataFrame, ids: DataFrame, owners: DataFrame) -> DataFrame:
+    """(written, target, resolved) of each of the names. ids: (id) of pages that a key names; owners: (key, page_id). An id goes before a key."""
+    known = ids.join(names.select(F.col("written").alias("id")), "id", "left_semi").distinct()
+    wanted = owners.join(names, "key", "left_semi")
+    by_id = names.join(known.select(F.col("id").alias("__id")), F.col("written") == F.col("__id"), "left")
+    both = by_id.join(wanted.select("key", F.col("page_id").alias("__alias")), "key", "left")
     target = F.coalesce("__id", "__alias")
-    return both.withColumns({"target": F.coalesce(target, "written"), "resolved": target.isNotNull()}).drop("__id", "__alias")
+    return both.select("written", F.coalesce(target, "written").alias("target"), target.isNotNull().alias("resolved"))
+
+
+def resolved(edges: DataFrame, ids: DataFrame, owners: DataFrame) -> DataFrame:
+    """edges with target and resolved. Each text is resolved once, however many edges name it; few texts are broadcast, so that edges to a popular target stay where they are."""
+    return edges.join(written(targets(written(named_by(edges)), ids, owners)), "written")
 
 
 @dataclass(frozen=True)
@@ -134,7 +157,7 @@ class KnowledgeGraph:
     @cached_property
     def claims(self) -> DataFrame:
         """(key, page_id): what each page can be called."""
-        return written(claims_of(self.pages))
+        return written(claims_of(self.pages).distinct())
 
     @cached_property
     def aliases(self) -> DataFrame:
@@ -152,8 +175,8 @@ class KnowledgeGraph:
         An exact id goes before an alias; an edge to nothing known keeps its text. A page that no
         key names can't be resolved to, not even by its id.
         """
-        ids = self.claims.select(F.col("page_id").alias("id")).distinct()
-        return written(resolved(edges_of(self.pages), ids, self.aliases).select(*DECLARED))
+        ids = self.claims.select(F.col("page_id").alias("id"))
+        return written(resolved(written(edges_of(self.pages)), ids, self.aliases.select("key", "page_id")).select(*DECLARED))
 
     @cached_property
     def edges(self) -> DataFrame:

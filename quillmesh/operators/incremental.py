@@ -5,10 +5,11 @@ Tables of a version: pages (with ids), claims, owners (the lowest page of each k
 
 * which slugs lost or gained a page or an explicit id: only pages of those get their ids anew,
 * which keys and ids lost or gained a claim: only their owners are recomputed,
-* which edges stand on changed pages or name such a key or id: only they are resolved again.
+* which texts name such a key or id, or are new: only they are resolved again, each once for all edges.
 
 All else is copied without a shuffle, as what has changed is written first and is small enough to be broadcast where
-its size on disk says so. A version is read once its last table is whole, so an update that fails leaves the one before.
+its size on disk says so. What follows from a table reads it as the version holds it. A version is read once its last
+table is whole, so an update that fails leaves the one before.
 
 Pages are told apart by source_path; of several changed pages with one path that with the greatest
 content stays. Pages without a path are left out. An update without changes makes no version.
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.operators.graph import DECLARED, KnowledgeGraph, claims_of, derived_slug, edges_of, resolved, with_ids
+from quillmesh.operators.graph import DECLARED, KnowledgeGraph, claims_of, derived_slug, edges_of, named_by, resolved, targets, with_derived, with_given, with_ids
 from quillmesh.schema import conform
 from quillmesh.sources.shared import written
 from quillmesh.sources.versions import Versions
@@ -42,19 +43,23 @@ class GraphTables:
 
     def graph(self) -> KnowledgeGraph:
         """The newest version; what it holds is read and not worked out again."""
-        held = self.versions.read()
+        return self._graph(self.versions.read())
+
+    def _graph(self, held: dict[str, DataFrame]) -> KnowledgeGraph:
         graph = KnowledgeGraph(held["pages"].drop("slug"))
         graph.__dict__["claims"] = held["claims"].select("key", "page_id").distinct()
         graph.__dict__["declared"] = held["declared"].select(*DECLARED)
         return graph
 
     def build(self, pages: DataFrame) -> KnowledgeGraph:
-        named = written(_slugged(with_ids(_one_each(pages), self.root), self.root))
-        claims = written(claims_of(named, PATH))
-        ids = claims.select(F.col("page_id").alias("id")).distinct()
-        owners = written(_owners(claims))
-        self.versions.write({"pages": named, "claims": claims, "owners": owners, "declared": resolved(edges_of(named, PATH), ids, owners)})
-        return self.graph()
+        n, new = self.versions.begin(), {}
+        put = lambda table, df: new.setdefault(table, self.versions.put(n, table, df))
+        named = put("pages", _slugged(with_ids(written(_one_each(pages)), self.root), self.root))
+        claims = put("claims", claims_of(named, PATH))
+        owners = put("owners", _owners(claims))
+        put("declared", resolved(written(edges_of(named, PATH)), claims.select(F.col("page_id").alias("id")), owners))
+        self.versions.finish()
+        return self._graph(new)
 
     def update(self, changed: DataFrame, removed: DataFrame | None = None) -> KnowledgeGraph:
         """changed: pages that are new or have another content; removed: (source_path)."""
@@ -62,41 +67,46 @@ class GraphTables:
             return self.build(changed)
         held, fresh = self.versions.read(), written(_one_each(changed))
         paths = fresh.select(PATH)
-        paths = written((paths if removed is None else paths.union(removed.where(F.col(PATH).isNotNull()).select(PATH))).distinct())
+        paths = written(paths if removed is None else paths.union(removed.where(F.col(PATH).isNotNull()).select(PATH)))
         if paths.isEmpty():
-            return self.graph()
-        pages = held["pages"]
+            return self._graph(held)
+        n, new, pages = self.versions.begin(), {}, held["pages"]
+        put = lambda table, df: new.setdefault(table, self.versions.put(n, table, df))
         gone, stay = pages.join(paths, PATH, "left_semi"), pages.join(paths, PATH, "left_anti")
 
         # Identity. An explicit id can be in the way of a slug, or of a slug with a path's hash.
-        explicit = gone.where("NOT id_derived").select("id").union(fresh.where("id <> ''").select("id"))
-        slugs = gone.where("id_derived").select("slug").union(fresh.where("id = ''").select(derived_slug(self.root))).union(explicit).union(explicit.select(F.regexp_replace("id", "-[0-9a-f]{8}$", "")))
-        slugs = written(slugs.toDF("slug").distinct())
-        mates = written(stay.where("id_derived").join(slugs, "slug", "left_semi"))
-        plain = mates.withColumnRenamed("id", "__was").withColumn("id", F.lit("")).select(*fresh.columns)
-        named = with_ids(fresh.unionByName(plain), self.root, stay.where("NOT id_derived").select("id"))
+        ways = F.array(F.col("id"), F.regexp_replace("id", "-[0-9a-f]{8}$", ""))
+        slugs = gone.select(F.explode(F.when(F.col("id_derived"), F.array("slug")).otherwise(ways)).alias("slug")).union(fresh.select(F.explode(F.when(F.col("id") == "", F.array(derived_slug(self.root))).otherwise(ways))))
+        behind = stay.where("id_derived")
+        mates = behind.limit(0) if pages.where("id_derived").isEmpty() else written(behind.join(slugs, "slug", "left_semi"))
+        plain = mates.withColumn("id", F.lit("")).select(*fresh.columns)
+        given = with_given(fresh)
+        derived = with_derived(fresh.where("id = ''").unionByName(plain), given.select("id").union(stay.where("NOT id_derived").select("id")), self.root)
         was = mates.select(PATH, F.col("id").alias("__was"))
-        named = written(_slugged(named, self.root).join(was, PATH, "left").where("__was IS NULL OR __was <> id").drop("__was"))
-        moved = written(paths.union(named.select(PATH)).distinct())
+        derived = written(_slugged(derived, self.root).join(was, PATH, "left").where("__was IS NULL OR __was <> id").drop("__was"))
+        named, moved = _slugged(given, self.root).unionByName(derived), written(paths.union(derived.select(PATH)))
+        put("pages", pages.join(moved, PATH, "left_anti").unionByName(named))
 
         # Names. Keys and ids that lose or gain a claim may resolve otherwise.
-        lost, won = held["claims"].join(moved, PATH, "left_semi"), written(claims_of(named, PATH))
-        touched = written(lost.select("key", "page_id").union(won.select("key", "page_id")).distinct())
-        claims = held["claims"].join(moved, PATH, "left_anti").unionByName(won)
-        keys, some = touched.select("key").distinct(), touched.select(F.col("page_id").alias("id")).distinct()
-        lowest = written(_owners(claims.join(keys, "key", "left_semi")))
-        owners = held["owners"].join(keys, "key", "left_anti").unionByName(lowest)
-
-        # Edges of moved pages, and those that name what was touched.
-        edges = held["declared"].join(moved, PATH, "left_anti").withColumn("__row", F.monotonically_increasing_id())
-        named_by = edges.join(keys.withColumnRenamed("key", "__k"), F.col("key") == F.col("__k"), "left").join(some.withColumnRenamed("id", "__i"), F.col("written") == F.col("__i"), "left")
-        hit = F.col("__k").isNotNull() | F.col("__i").isNotNull()
-        again = written(named_by.where(hit).drop("__k", "__i", "__row", "target", "resolved").unionByName(edges_of(named, PATH)))
-        ids = claims.join(again.select(F.col("written").alias("page_id")).distinct(), "page_id", "left_semi").select(F.col("page_id").alias("id")).distinct()
-        wanted = owners.join(again.select("key").distinct(), "key", "left_semi")
-        declared = named_by.where(~hit).drop("__k", "__i", "__row").unionByName(resolved(again, ids, wanted))
-        self.versions.write({"pages": stay.join(moved, PATH, "left_anti").unionByName(named), "claims": claims, "owners": owners, "declared": declared})
-        return self.graph()
+        lost, won = written(held["claims"].join(moved, PATH, "left_semi")), written(claims_of(named, PATH))
+        touched = lost.select("key", "page_id").union(won.select("key", "page_id"))
+        claims = put("claims", held["claims"].join(moved, PATH, "left_anti").unionByName(won))
+        keys = touched.select("key")
+        owners = put("owners", held["owners"].join(keys, "key", "left_anti").unionByName(_owners(claims.join(keys, "key", "left_semi"))))
+
+        # Edges of moved pages, and texts that name what was touched: a page's id is one of its keys, but for an id without letters and digits.
+        edges = held["declared"].join(moved, PATH, "left_anti").select(*DECLARED, PATH)
+        fresh_edges = written(edges_of(named, PATH))
+        bare = touched.where(~F.lower("page_id").rlike("[a-z0-9]")).select(F.concat(F.lit("="), "page_id"))
+        name = F.when(F.col("key") == "", F.concat(F.lit("="), "written")).otherwise(F.col("key"))
+        again = named_by(edges).withColumn("name", name).join(keys.union(bare).toDF("name"), "name", "left_semi")
+        names = written(again.select("written", "key").union(named_by(fresh_edges)).distinct())
+        found = written(targets(names, claims.select(F.col("page_id").alias("id")), owners))
+        now = found.select("written", F.col("target").alias("__target"), F.col("resolved").alias("__resolved"))
+        edges = edges.join(now, "written", "left").withColumns({"target": F.coalesce("__target", "target"), "resolved": F.coalesce("__resolved", "resolved")}).drop("__target", "__resolved")
+        put("declared", edges.unionByName(fresh_edges.join(found, "written")))
+        self.versions.finish()
+        return self._graph(new)
 
 
 def _one_each(pages: DataFrame) -> DataFrame:

@@ -447,7 +447,7 @@ def _updated(spark, sf_dir) -> KnowledgeGraph:
     pages = company(spark, sf_dir).withColumn("source_path", F.concat(F.lit("/kb/"), F.col("id"), F.lit(".md")))
     supplier = F.col("entity_type") == "organization"
     before = pages.where("entity_type <> 'person'").withColumn("title", F.when(supplier, F.concat(F.lit("Planet "), F.col("title"))).otherwise(F.col("title")))
-    extra = conform(spark.createDataFrame([("aaa", "Planet 3", "/kb/old.md")], "id string, title string, source_path string"))
+    extra = conform(spark.range(1).select(F.lit("aaa").alias("id"), F.lit("Planet 3").alias("title"), F.lit("/kb/old.md").alias("source_path")))
     tables = GraphTables(spark, shared_dir(spark), "/kb")
     tables.build(before.unionByName(extra))
     return tables.update(pages.where(supplier | (F.col("entity_type") == "person")), extra.select("source_path"))

@@ -70,13 +70,13 @@ def company(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = page(t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")), F.concat(lit("nation-"), text("n_nationkey")), "n_name", "place", lit(0.8), F.array(lit("nation"), F.concat(lit("group-"), text(F.col("n_nationkey") % 2))), F.array(edge(F.col("r_name"), "located_in", 0.9)), none)
     k = F.col("s_suppkey")
     suppliers = page(
-        t("supplier"), F.concat(lit("supplier-"), text(k)), "s_name", "organization", lit(0.5) + (k % 5) / 10, F.array(lit("supplier"), F.concat(lit("tier-"), text(k % 4))),
+        spread(t("supplier"), "s_suppkey"), F.concat(lit("supplier-"), text(k)), "s_name", "organization", lit(0.5) + (k % 5) / 10, F.array(lit("supplier"), F.concat(lit("tier-"), text(k % 4))),
         F.array(edge(F.concat(lit("nation-"), text("s_nationkey")), "based_in", 0.7), edge(F.concat(lit("nation-"), text("s_nationkey")), "based_in", 0.7), edge(F.concat(lit("nation-"), text("s_nationkey")), "ships_to", 0.2)),
         F.array(edge(F.concat(lit("Region "), text(k % 5)), "mentions", 0.5), edge(F.when(k % 10 == 0, F.concat(lit("Planet "), text(k % 7))).otherwise(""), "mentions", 0.5)),
     )
     c = F.col("c_custkey")
     customers = page(
-        t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")), F.concat(lit("customer-"), text(c)), "c_name", "person", lit(0.6), F.array(F.lower("c_mktsegment")),
+        spread(t("customer"), "c_custkey").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")), F.concat(lit("customer-"), text(c)), "c_name", "person", lit(0.6), F.array(F.lower("c_mktsegment")),
         F.concat(F.array(edge(F.col("n_name"), "lives_in", 0.6)), F.when(c % 50 == 0, F.array(edge(F.concat(lit("Unknown Corp "), text(c % 7)), "works_for", 0.3))).otherwise(none)), none,
     )
     return conform(regions.unionByName(nations).unionByName(suppliers).unionByName(customers))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmesh.sources.shared import written
+
 
 class Versions:
     """Readers see the newest version whose last table is whole. One writer at a time; `keep` versions stay."""
@@ -32,14 +34,26 @@ class Versions:
             raise FileNotFoundError(f"no version below {self.root}")
         return {t: self.spark.read.parquet(f"{self.root}/{n}/{t}") for t in self.tables}
 
-    def write(self, tables: dict[str, DataFrame]) -> int:
-        """The next version. Versions older than those that are kept go, as do such as were never whole."""
-        n = max(self.numbers(), default=0) + 1
-        for t in self.tables:
-            tables[t].write.mode("overwrite").parquet(f"{self.root}/{n}/{t}")
+    def begin(self) -> int:
+        """The number of the next version."""
+        return max(self.numbers(), default=0) + 1
+
+    def put(self, n: int, table: str, df: DataFrame) -> DataFrame:
+        """Writes a table of the version that has begun, the last one last, and reads it."""
+        return written(df, f"{self.root}/{n}/{table}")
+
+    def finish(self) -> None:
+        """Versions older than those that are kept go, as do such as were never whole."""
         fs = self._fs()
         whole = [k for k in self.numbers() if fs.exists(self._path(str(k), self.tables[-1], "_SUCCESS"))]
         for k in self.numbers():
             if k not in whole[-self.keep :]:
                 fs.delete(self._path(str(k)), True)
+
+    def write(self, tables: dict[str, DataFrame]) -> int:
+        """The next version, all at once."""
+        n = self.begin()
+        for t in self.tables:
+            self.put(n, t, tables[t])
+        self.finish()
         return n

@@ -4,10 +4,13 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillmesh.operators.graph import KnowledgeGraph
+from quillmesh.functions.text import reconcile_key
+from quillmesh.operators.graph import KnowledgeGraph, resolved
 from quillmesh.operators.incremental import GraphTables
 from quillmesh.schema import PAGE, conform
+from quillmesh.sources.shared import written
 from quillmesh.sources.versions import Versions
 
 
@@ -45,6 +48,27 @@ def test_updates_are_rebuilds(spark, tmp_path):
     assert len(tables.versions.numbers()) == 2  # older versions are gone
 
 
+def test_ids_without_a_slug(spark, tmp_path):
+    """An id that has no key of its own is found by its text only, and lost with its page."""
+    held = {"/kb/a.md": {"source_path": "/kb/a.md", "id": "a", "title": "A", "relationships": [{"target": t, "type": "t", "strength": 0.5} for t in ("日", "語", "a", "B")]}, "/kb/c.md": {"source_path": "/kb/c.md", "id": "c", "title": "C"}}
+    tables = GraphTables(spark, str(tmp_path / "graph"), "/kb")
+    tables.build(frame(spark, held.values()))
+    added = {"/kb/b.md": {"source_path": "/kb/b.md", "id": "日", "title": "語"}}
+    for changed, removed in ((added, []), ({}, ["/kb/b.md"]), (added, ["/kb/a.md"])):
+        got = told(tables.update(frame(spark, changed.values()), spark.createDataFrame([(p,) for p in removed], "source_path string")))
+        held = {p: v for p, v in (held | changed).items() if p not in removed}
+        assert got == told(KnowledgeGraph.build(frame(spark, held.values()), "/kb"))
+
+
+def test_a_popular_target_is_resolved_once(spark):
+    """Edges are not dealt by their target, of which many have the same: they meet the few texts, resolved before."""
+    many = spark.range(1_000_000).select(F.concat(F.lit("page-"), "id").alias("id"))
+    edges = written(spark.range(1000).select(F.col("id").cast("string").alias("src"), F.concat(F.when(F.col("id") % 50 == 0, "nobody-").otherwise("Page "), (F.col("id") % 2).cast("string")).alias("written")).withColumn("key", reconcile_key(F.col("written"))))
+    got = resolved(edges, many, many.select(F.col("id").alias("key"), F.col("id").alias("page_id")))
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in got.groupBy("written", "target", "resolved").count().collect()} == {("Page 0", "page-0", True, 480), ("Page 1", "page-1", True, 500), ("nobody-0", "nobody-0", False, 20)}
+
+
 def test_versions(spark, tmp_path):
     """A version that fails on the way leaves the one before to read."""
     held = Versions(spark, str(tmp_path / "v"), ("a", "b"))
