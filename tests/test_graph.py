@@ -291,3 +291,39 @@ def test_roots_with_the_same_next_pages_walk_as_one(spark):
         assert sorted(map(tuple, nodes.where(F.col("root") == root).select("id", "depth").collect())) == sorted(map(tuple, one.collect()))
         assert sorted(map(tuple, edges.where(F.col("root") == root).drop("root").collect())) == sorted(map(tuple, its.collect()))
     assert traverse.breadth_first_many(g, ids, 0)[0].count() == 92
+
+
+@pytest.mark.parametrize(("direction", "types"), [("forward", None), ("both", ["t"])])
+def test_many_roots_in_small_tiles(spark, monkeypatch, direction, types):
+    for name, size in (("ROOTS", 3), ("ROWS", 5), ("TILES", 2)):
+        monkeypatch.setattr(traverse, name, size)
+    g = wide(spark, 40)
+    roots = g.pages.select("id")
+    nodes, edges = traverse.breadth_first_many(g, roots, 2, direction, types)
+    got, scanned = [tuple(r) for r in nodes.collect()], [tuple(r) for r in edges.collect()]
+    assert len(got) == len(set(got)) and sorted(got) == sorted(map(tuple, traverse.breadth_first_many_nodes(g, roots, 2, direction, types).collect()))
+    assert sorted(scanned) == sorted(map(tuple, traverse.breadth_first_many_edges(g, roots, 2, direction, types).collect()))
+    steps = [tuple(r) for r in traverse.oriented(g, direction, types).select("node", "visit", "edge_from", "edge_to", "type", "strength").collect()]
+    ids, want, passed = {r["id"] for r in roots.collect()}, set(), []
+    for root in ids:
+        depth, front = {root: 0}, {root}
+        for d in (1, 2):
+            front = {v for n, v, *_ in steps if n in front and v in ids and v not in depth}
+            depth |= dict.fromkeys(front, d)
+        want |= {(root, i, d) for i, d in depth.items()}
+        passed += [(root, *e[2:]) for e in steps if depth.get(e[0], 2) < 2]
+    assert set(got) == want and sorted(scanned) == sorted(passed)
+
+
+def test_files_of_many_roots_hold_few_distinct_ids(spark, tmp_path):
+    """Told root by root, every file had all roots, more than a dictionary holds in a large table; and a row then takes the bytes of its texts."""
+    rows = [{"id": f"hub{h}", "title": f"Hub {h}"} for h in range(12)]
+    rows += [{"id": f"leaf{h}-{i}", "title": f"Leaf {h} {i}", "relationships": [rel(f"hub{h}", "t")]} for h in range(12) for i in range(200)]
+    g = KnowledgeGraph.build(pages(spark, *rows))
+    nodes, _ = traverse.breadth_first_many(g, g.pages.where("id LIKE 'leaf%'").select("id"), 2, "both")
+    nodes.write.parquet(str(tmp_path / "nodes"))
+    told = spark.read.parquet(str(tmp_path / "nodes")).where("depth = 2")
+    assert told.count() == 12 * 200 * 199
+    # 2,400 roots in tiles of 1,024: no file of rows two steps off has them all.
+    files = told.groupBy(F.input_file_name().alias("file")).agg(F.count_distinct("root").alias("roots"), F.count(F.lit(1)).alias("n"))
+    assert files.agg(F.max("roots")).first()[0] < 2400
